@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressmill.llm import leaks as _leaks
-from pressmill.llm import packing, site_lines, splitting
+from pressmill.llm import languages, packing, quality, site_lines, splitting
 from pressmill.session import table
 
 WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -38,6 +38,20 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.with_text(splitting.split_texts(articles), articles)
 
 
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "articles").select("id", F.col("language").alias("label"), "content")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = _labelled(spark, d)
+    return languages.mislabelled_lines(docs, languages.train(docs))
+
+
+def p5_documents(spark: SparkSession, d: str) -> DataFrame:
+    docs = _labelled(spark, d)
+    return languages.language_of_documents(languages.language_of_lines(docs, languages.train(docs)))
+
+
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", packing.byte_tokens().alias("tokens"))
 
@@ -67,6 +81,14 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaked(spark, d).groupBy("item_id").agg(F.count("*").alias("docs"), F.max("words").alias("longest"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.lacking_prose(table(spark, d, "documents"))
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_quality(table(spark, d, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
