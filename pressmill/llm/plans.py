@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressmill.llm import leaks as _leaks
-from pressmill.llm import languages, packing, quality, site_lines, splitting
+from pressmill.llm import languages, near_duplicates, packing, quality, site_lines, splitting
 from pressmill.session import table
 
 WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -29,6 +29,15 @@ def p1_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.without_repeated_lines(_sourced(spark, d))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.pairs(table(spark, d, "articles").select("id", "title", "content"), width=3, similarity=0.6)
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """With the usual five words and a similarity of 0.8."""
+    return near_duplicates.groups(table(spark, d, "articles").select("id", "title", "content"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_texts(table(spark, d, "articles")).where("piece = 0").select("id", "boundary")
 

@@ -11,7 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CHARS_AT_ONCE = 1_000_000
+CHARS_AT_ONCE, TEXTS_AT_ONCE = 1_000_000, 50_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M = (1 << 64) - 1
 SPACE = 32
@@ -64,11 +64,11 @@ class Words:
 
 
 def chunks(texts: list[str | None]):
-    """Slices of texts of at most CHARS_AT_ONCE characters together (a longer text alone)."""
+    """Slices of texts of at most TEXTS_AT_ONCE texts and CHARS_AT_ONCE characters together (a longer text alone)."""
     begin, total = 0, 0
     for k, t in enumerate(texts):
         n = len(t or "") + 1
-        if k > begin and total + n > CHARS_AT_ONCE:
+        if k > begin and (total + n > CHARS_AT_ONCE or k - begin >= TEXTS_AT_ONCE):
             yield begin, k
             begin, total = k, 0
         total += n
