@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressmill.llm import leaks as _leaks
-from pressmill.llm import languages, near_duplicates, packing, quality, site_lines, splitting
+from pressmill.llm import languages, near_duplicates, packing, quality, site_lines, splitting, vector_search
 from pressmill.session import table
 
 WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -61,6 +61,19 @@ def p5_documents(spark: SparkSession, d: str) -> DataFrame:
     return languages.language_of_documents(languages.language_of_lines(docs, languages.train(docs)))
 
 
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "article_embeddings").select("id", F.col("model_name").alias("model"), "embedding")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return vector_search.similar_pairs(_vectors(spark, d))
+
+
+def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar vectors, however similar, of every vector whose hashed id is divisible by 50."""
+    return vector_search.neighbours(_vectors(spark, d), queries="pmod(xxhash64(id), 50) = 0")
+
+
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", packing.byte_tokens().alias("tokens"))
 
