@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # Words that judging queries drop.
 JUDGE_STOP_WORDS = "a an and the or of to in on at by for with from is are was were be been being it its as that this these those news article search query".split()
@@ -152,9 +153,7 @@ def stem_english(w: str) -> str:
     return w
 
 
-@F.pandas_udf("array<string>")
-def stems(toks: pd.Series) -> pd.Series:
-    """Stems of arrays of tokens; each distinct word of a batch is stemmed once."""
+def _stem_arrays(toks: pd.Series) -> pd.Series:
     known: dict[str, str] = {}
 
     def one(ws):
@@ -163,3 +162,8 @@ def stems(toks: pd.Series) -> pd.Series:
         return [known[w] if w in known else known.setdefault(w, stem_english(w)) for w in ws]
 
     return toks.map(one)
+
+
+def stems(toks: Column) -> Column:
+    """Stems of arrays of tokens; each distinct word of a batch is stemmed once."""
+    return F.pandas_udf(_stem_arrays, ArrayType(StringType()))(toks)
