@@ -122,7 +122,7 @@ def _close(candidates: DataFrame, most: int) -> DataFrame:
 
 def classes_and_links(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(members(id, cls), links(a, b, similarity)) where a < b are classes of different sets."""
-    total = CHUNKS * SYMBOLS
+    total, docs = CHUNKS * SYMBOLS, docs.select("id", "title", "content")
     sign = materialize(signed(docs, width).withColumn("row", F.monotonically_increasing_id()), "signatures")
     members = sign.select("id", "cls").distinct()
     # every class but for its first row leaves the join; where classes have one row each, nothing is shuffled for that

@@ -102,5 +102,5 @@ def without_repeated_lines(docs: DataFrame, min_docs: int = 5, min_block: int =
     """docs without their covered lines: (id, content, removed), a row per id; documents without any are unchanged."""
     gone = covered_lines(docs, min_docs, min_block).groupBy("id").agg(F.collect_set("line_no").alias("gone"))
     kept = "array_join(filter(split(content, '\n', -1), (l, k) -> NOT array_contains(gone, k)), '\n')"
-    out = docs.dropDuplicates(["id"]).join(gone, "id", "left")
+    out = docs.select("id", "content").dropDuplicates(["id"]).join(gone, "id", "left")
     return out.select("id", F.expr(f"if(gone IS NULL OR content IS NULL, content, {kept})").alias("content"), F.expr("coalesce(size(gone), 0)").alias("removed"))
