@@ -144,6 +144,8 @@ def interpretations(value: str | None, home: str | None) -> tuple[int | None, in
 
 def _step(p: tuple, q: tuple, a: int, b: int) -> float:
     """Cost of going from reading a of record p to reading b of record q."""
+    if p[a] is None or q[b] is None:
+        return np.inf
     back = p[a] - q[b]
     return SWITCH * (a != b) + (BACK * min(1.0, back / 3.15e13) if back > 0 else 0.0)
 
