@@ -2,7 +2,7 @@
 
 Items are spread by hash over shards of about SHARD items, and packed online in each: an item goes to the fill level for
 which the sum over levels of the squared number of open containers grows least; ties go to the fullest one. The levels are
-one array of counts, an item costs a few array operations. Only ids and sizes are shuffled; a shard has a bounded
+one array of counts, an item costs a few array operations; a shard's items arrive largest first. Only ids and sizes are shuffled; a shard has a bounded
 number of items, whatever the sizes or sources are, and leaves at most the few containers open that it can't fill.
 
 Items beyond the capacity are cut into full containers and a rest that is packed like an item; no other is cut.
@@ -63,10 +63,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Data
     shards = max(1, -(-items.count() // shard))
 
     def fill(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["order", "doc_id"])
+        g = g.sort_values(["tokens", "order", "doc_id"], ascending=False)
         size = g["tokens"].to_numpy()
         whole, rest = size // capacity, size % capacity
-        exact = (rest == 0) & (whole > 0)
         packed = np.where(size <= capacity, size, rest)
         item = np.flatnonzero(packed > 0)
         box = place(packed[item], capacity)
@@ -75,7 +74,6 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Data
         owner = np.repeat(np.arange(len(g)), full)
         part = np.arange(len(owner)) - np.repeat(np.cumsum(full) - full, full)
         ids = g["doc_id"].to_numpy()
-        del exact
         return pd.DataFrame({
             "doc_id": np.concatenate((ids[owner], ids[item])), "shard": g["shard"].iloc[0],
             "container": np.concatenate((used + np.arange(len(owner)), box)), "part": np.concatenate((part, full[item])).astype(np.int32),

@@ -21,8 +21,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """How many blocks of each length start in each source."""
-    return site_lines.repeated_blocks(_sourced(spark, d)).groupBy("src", "length").agg(F.count("*").alias("starts"))
+    """How many blocks of each power of two of lines each source repeats, and in how many places."""
+    return site_lines.repeated_blocks(_sourced(spark, d)).groupBy("src", "length").agg(F.count_distinct("cls").alias("blocks"), F.count("*").alias("places"))
 
 
 def p1_cleaned(spark: SparkSession, d: str) -> DataFrame:

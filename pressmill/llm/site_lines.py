@@ -3,8 +3,8 @@
 Each source's documents are one concatenated sequence of line identifiers (a hash of a line's letters, lower-cased). The
 suffix array of that sequence is built by prefix doubling: suffixes that agree in 2^r lines form a class, and classes of
 2^(r+1) lines are pairs of those. Only suffixes in a class that spans enough documents go into the next round, so after
-the first round just the repeated lines are left. A suffix's longest common prefix that still spans enough documents
-is then put together from the largest powers downwards; the blocks that start there cover the lines to remove.
+the first round just the repeated lines are left. Prefixes of any other length are put together from its powers of two; the
+lines covered by blocks that span enough documents are the ones to remove.
 
 Every round is a partially aggregated count by (source, class) and a join with the frequent classes, so that a source or a
 line with a third of all rows is never gathered in one task. A source's documents are counted, not rows.
@@ -47,55 +47,52 @@ def repeated_lines(sequences: DataFrame, min_docs: int) -> DataFrame:
     return hits.join(_frequent(hits, min_docs), ["src", "cls"]).select("src", "id", "line_no", "cls")
 
 
-def repeated_blocks(docs: DataFrame, min_docs: int = 5) -> DataFrame:
-    """(src, id, line_no, length): the longest block from each line that spans at least min_docs documents of its source.
+def block_levels(docs: DataFrame, min_docs: int = 5) -> list[DataFrame]:
+    """One table (src, id, line_no, cls) per power of two: where blocks of that many lines start that span at least min_docs documents.
 
-    Lines from which no block starts are left out. Every covered line starts a block of its own, a suffix of the longer one.
+    Stops at the first power without any. Equal classes are equal blocks.
     """
-    sequences = materialize(line_sequences(docs), "sequences")
-    level = materialize(repeated_lines(sequences, min_docs), "level-0")
+    level = materialize(repeated_lines(materialize(line_sequences(docs), "sequences"), min_docs), "level")
     levels, step = [level], 1
     while True:
-        ahead = level.select("src", "id", (F.col("line_no") - step).alias("line_no"), F.col("cls").alias("next"))
-        pairs = level.join(ahead, ["src", "id", "line_no"]).select("src", "id", "line_no", F.xxhash64("cls", "next").alias("cls"))
-        pairs = materialize(pairs, "pairs")
-        level = materialize(pairs.join(_frequent(pairs, min_docs).drop("docs"), ["src", "cls"]).select("src", "id", "line_no", "cls"), "level")
+        pairs = materialize(_longer(level, level, step), "pairs")
+        level = materialize(pairs.join(_frequent(pairs, min_docs), ["src", "cls"]).select("src", "id", "line_no", "cls"), "level")
         if level.isEmpty():
-            break
+            return levels
         levels.append(level)
         step *= 2
-    top = len(levels) - 1
-    reached = levels[0].join(levels[top].select("src", "id", "line_no", F.col("cls").alias("far")), ["src", "id", "line_no"], "left")
-    reached = reached.select("src", "id", "line_no", F.coalesce("far", "cls").alias("cls"), F.expr(f"if(far IS NULL, 1, {2**top})").alias("length"), F.expr("far IS NOT NULL").alias("grown"))
-    for r in range(top - 1, -1, -1):
-        # a suffix that has nothing yet starts with its class of this round; one that has is extended by the class behind it
-        here = levels[r].select("src", "id", "line_no", F.col("cls").alias("start"))
-        behind = levels[r].select("src", "id", F.col("line_no").alias("end"), F.col("cls").alias("more"))
-        tried = (
-            reached.join(here, ["src", "id", "line_no"], "left").withColumn("end", F.col("line_no") + F.col("length"))
-            .join(behind, ["src", "id", "end"], "left")
-            .select("src", "id", "line_no", "length", "grown", F.col("cls").alias("old"), "start", F.expr("if(grown AND more IS NOT NULL, xxhash64(cls, length, more), null)").alias("cls"))
-        )
-        tried = materialize(tried, "tried")
-        good = _frequent(tried.where("cls IS NOT NULL"), min_docs).select("src", "cls", F.lit(True).alias("good"))
-        reached = materialize(
-            tried.join(good, ["src", "cls"], "left").select(
-                "src", "id", "line_no",
-                F.expr("CASE WHEN good THEN cls WHEN NOT grown AND start IS NOT NULL THEN start ELSE old END").alias("cls"),
-                F.expr(f"CASE WHEN good THEN length + {2**r} WHEN NOT grown AND start IS NOT NULL THEN {2**r} ELSE length END").alias("length"),
-                F.expr("grown OR start IS NOT NULL").alias("grown"),
-            ),
-            "reached",
-        )
-    return reached.select("src", "id", "line_no", "length")
+
+
+def _longer(front: DataFrame, behind: DataFrame, size: int) -> DataFrame:
+    """Blocks made of one in front, of ``size`` lines, and the one right behind it."""
+    behind = behind.select("src", "id", (F.col("line_no") - size).alias("line_no"), F.col("cls").alias("next"))
+    return front.join(behind, ["src", "id", "line_no"]).select("src", "id", "line_no", F.xxhash64("cls", "next").alias("cls"))
+
+
+def repeated_blocks(docs: DataFrame, min_docs: int = 5, min_block: int = 1) -> DataFrame:
+    """(src, id, line_no, length, cls): blocks of at least min_block lines spanning min_docs documents of a source.
+
+    Of longer blocks every run of min_block lines and of a higher power of two of them is a row: these cover the same lines.
+    """
+    levels = block_levels(docs, min_docs)
+    if min_block >> len(levels):
+        return levels[0].limit(0).select("src", "id", "line_no", F.lit(min_block).alias("length"), "cls")
+    # blocks of exactly min_block lines from the powers of two in it
+    out, size = None, 0
+    for r, level in enumerate(levels):
+        if min_block >> r & 1:
+            out, size = (level, 2**r) if out is None else (_longer(out, level, size), size + 2**r)
+    exact = materialize(out, "exact")
+    found = exact.join(_frequent(exact, min_docs), ["src", "cls"]).select("src", "id", "line_no", F.lit(min_block).alias("length"), "cls")
+    for r, level in enumerate(levels):
+        if 2**r > min_block:
+            found = found.unionByName(level.select("src", "id", "line_no", F.lit(2**r).alias("length"), "cls"))
+    return found
 
 
 def covered_lines(docs: DataFrame, min_docs: int = 5, min_block: int = 1) -> DataFrame:
     """(id, line_no) of every line that lies in a block of at least min_block lines spanning min_docs documents."""
-    blocks = repeated_blocks(docs, min_docs).where(F.col("length") >= min_block)
-    if min_block == 1:
-        return blocks.select("id", "line_no")
-    return blocks.select("id", F.explode(F.expr("sequence(line_no, line_no + length - 1)")).alias("line_no")).distinct()
+    return repeated_blocks(docs, min_docs, min_block).select("id", F.explode(F.expr("sequence(line_no, line_no + length - 1)")).alias("line_no")).distinct()
 
 
 def without_repeated_lines(docs: DataFrame, min_docs: int = 5, min_block: int = 1) -> DataFrame:

@@ -56,16 +56,20 @@ def cut(texts: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[n
     doc = owner[last]
     final = np.append(np.diff(doc) > 0, True)[: len(doc)]
     gap = feeds[np.append(run_begin[1:], 0)] - feeds[run_end]
-    rank = np.where(final | (gap >= 2), 4, np.where(gap == 1, 3, np.where(np.isin(codes[run_end - 1], _ENDS), 2, 1)))
-    # the kind of each text: units end at boundaries of at least that rank
+    stop = np.isin(codes[run_end - 1], _ENDS)
+    rank = np.where(final | (gap >= 2), 4, np.where(gap == 1, 3, np.where(stop, 2, 1)))
+    # the kind of each text, by the boundaries of each kind alone; cuts may also fall on those of a coarser one
     kind = np.full(len(texts), 4)
-    for r in (4, 3, 2, 1):
-        e = np.flatnonzero(rank >= r)
+    for r, own in ((4, gap >= 2), (3, gap >= 1), (2, stop), (1, gap >= 0)):
+        e = np.flatnonzero(own | final)
         b = np.concatenate(([0], e[:-1] + 1))[: len(e)]
         long = run_end[e] - run_begin[b] > limit
-        kind[doc[e[long]]] = r - 1
-    # boundaries in order of place, with the finest ones inside long runs
-    place, run = _inside(run_begin, run_end, max(1, limit - overlap))
+        over = np.zeros(len(texts), bool)
+        over[doc[e[long]]] = True
+        kind[over & (kind == r)] = r - 1
+    # boundaries in order of place; where two are more than a step apart, with places in between
+    behind = np.where(np.append(False, doc[1:] == doc[:-1])[: len(doc)], np.append(0, run_end[:-1])[: len(doc)], run_begin)
+    place, run = _inside(behind, run_end, max(1, limit - overlap))
     node = np.concatenate((run_end, place))
     order = np.argsort(node, kind="stable")
     node, node_rank, node_doc = node[order], np.concatenate((rank, np.zeros(len(place), np.int64)))[order], np.concatenate((doc, doc[run]))[order]

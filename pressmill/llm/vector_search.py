@@ -117,7 +117,6 @@ def nearest(query: np.ndarray, data: np.ndarray, k: int, floor: float | None, su
     pq, pd = (query @ g).astype(np.float32), (data @ g).astype(np.float32)
     leaves = _leaves(pd[:, :INDEXED], LEAF)
     lo, hi = (np.stack([f(pd[x, :INDEXED], axis=0) for x in leaves]).astype(np.float64) for f in (np.min, np.max))
-    size = np.array([len(x) for x in leaves])
     farthest = 4.0 if floor is None else 2 - 2 * floor
     t_index, t_all = quantile(sure, INDEXED), quantile(sure, DIMENSIONS)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -155,7 +154,6 @@ def nearest(query: np.ndarray, data: np.ndarray, k: int, floor: float | None, su
             last = place == k - 1
             worst[q[last]] = np.minimum(worst[q[last]], np.maximum(0, 2 - 2 * c[last]))
         out.append((rows[found[0]], found[1], found[2]))
-    del size
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
