@@ -240,14 +240,16 @@ def fit(labelled: list[tuple[str, str]]) -> LanguageModels | None:
     size = np.bincount(li, (w.end - w.start + 1) * alpha, len(lines))
     test = held & (np.bincount(li, minlength=len(lines)) >= 4) & (size > 0)
     truth = language[test]
-    best, out.temperature = np.inf, 1.0
-    for x in (0.02, 0.05, 0.1, 0.2, 0.5, 1.0):
-        c = _confidence(total[:, test], out.classes, len(languages), x)
-        loss = -np.log(np.maximum(c[truth, np.arange(len(truth))], 1e-12)).sum()
+    # one more error than was seen keeps the confidence below certainty where there was none
+    best, out.temperature, slack = np.inf, 1.0, 1 / (len(truth) + 2)
+    for x in (0.01, 0.02, 0.03, 0.05, 0.07, 0.1, 0.15, 0.2, 0.3, 0.5, 1.0):
+        c = np.log(np.maximum(_confidence(total[:, test], out.classes, len(languages), x), 1e-300))
+        right = c[truth, np.arange(len(truth))]
+        loss = -((1 - slack) * right + slack * (c.sum(0) - right) / max(1, len(languages) - 1)).sum()
         if loss < best:
             best, out.temperature = loss, x
     rate = total.min(0)[test] / size[test]
-    out.limits = np.array([rate[truth == a].mean() + 8 * rate[truth == a].std() + 0.5 if (truth == a).any() else np.inf for a in range(len(languages))])
+    out.limits = np.array([rate[truth == a].mean() + 8 * rate[truth == a].std() + 1.5 if (truth == a).any() else np.inf for a in range(len(languages))])
     return out
 
 
@@ -258,7 +260,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModels | None:
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample / n))])
-    some = named.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share[F.col("language")] * 1_000_000)
+    some = named.where(F.pmod(F.xxhash64("id"), F.lit(10**15)) < share[F.col("language")] * 10.0**15)
     rows = some.select("id", "language", "content").orderBy(F.xxhash64("id"), "id").limit(4 * sample * len(LABELS)).collect()
     return fit(list({r["id"]: (r["language"], r["content"]) for r in rows}.values()))
 

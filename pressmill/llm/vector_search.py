@@ -3,7 +3,7 @@
 Unit vectors are projected onto DIMENSIONS Gaussian directions. The squared distance of two projections is their squared
 distance times a chi-square variable, so once the next projected neighbour is so far that a vector closer than the k-th best
 one found would lie within with probability ``sure``, the search stops. A kd-tree over the first INDEXED projections,
-fitted on at most SAMPLE vectors of a model, cuts each model into cells of about CELL vectors; every vector is indexed. A
+fitted on about SAMPLE vectors of a model (those with the smallest hashes), cuts each model into cells of about CELL vectors; every vector is indexed. A
 vector goes as a query to each cell that the test can't rule out, in blocks of at most about BLOCK queries; there, a kd-tree of
 the cell gives the leaves in order of projected distance, the remaining projections sieve, and the rest is compared exactly,
 in double. Only vectors with a cosine of at least ``floor`` are wanted; with floor None nothing is ruled out beforehand.
@@ -172,10 +172,10 @@ def neighbours(vectors: DataFrame, k: int = 5, floor: float | None = None, dim:
         classes = classes.withColumn("asked", F.lit(True))
     classes = materialize(classes.select("cls", F.coalesce("model", F.lit("")).alias("model"), "ids", "embedding", F.coalesce("asked", F.lit(False)).alias("asked")), "classes")
     counts = {r["model"]: (r["n"], r["q"]) for r in classes.groupBy("model").agg(F.count("*").alias("n"), F.count_if("asked").alias("q")).collect()}
-    sample = classes.select("model", "embedding", F.row_number().over(Window.partitionBy("model").orderBy("cls")).alias("r")).where(F.col("r") <= SAMPLE).drop("r")
     trees = {}
     for model, (n, q) in counts.items():
-        x = _matrix(sample.where(F.col("model") == model).select("embedding").toArrow()["embedding"], dim)
+        some = classes.where((F.col("model") == model) & (F.pmod("cls", F.lit(10**15)) < min(1.0, SAMPLE / n) * 10.0**15)).limit(2 * SAMPLE)
+        x = _matrix(some.select("embedding").toArrow()["embedding"], dim)
         depth = max(0, math.ceil(math.log2(n / CELL)))
         trees[model] = (*split_tree((_unit(x) @ directions(dim))[:, :INDEXED], depth), max(1, -(-q // BLOCK)))
     reach = None if floor is None else quantile(sure, INDEXED) * (2 - 2 * floor)
