@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pressmill.operators import articles
 from pressmill.operators.timestamps import resolve_instants
 from pressmill.session import table
 from pressmill.sources.records import parse_records, preprocess_report
@@ -42,5 +43,16 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return r.withColumn("drops", F.to_json("drops"))
 
 
+def mapped_articles(spark: SparkSession, d: str) -> DataFrame:
+    """The records that load, as article rows."""
+    return articles.as_articles(_parsed(spark, d))
+
+
+def articles_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The articles, then the mapped records over them."""
+    current = table(spark, d, "articles").select("id", "title", "content", "created_at").dropDuplicates(["id"])
+    return articles.upsert(current, mapped_articles(spark, d).select("id", "title", "content", "created_at")).select("id", "title")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_inferred_order, p7_found, p7_loaded, p7_report)}
+    return {f.__name__: f for f in (p2_found, p2_inferred_order, p7_found, p7_loaded, p7_report, mapped_articles, articles_upsert)}
