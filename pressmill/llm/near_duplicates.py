@@ -1,11 +1,12 @@
 """Near-duplicate documents: an exact join of signatures under a Hamming distance, and an exact check of what it finds.
 
-A document is the set of its runs of WIDTH consecutive words. Its signature has CHUNKS x SYMBOLS minima of that set under
-random orders, so two documents of similarity s differ in each symbol with probability 1 - s. The join is multi-index: by
-pigeonhole, signatures at distance of at most CHUNKS * (ERRORS + 1) - 1 have a chunk with at most ERRORS differing symbols,
-and each way to leave ERRORS symbols out of a chunk is one key. All pairs under that distance are found for certain; of
-pairs beyond it a chunk still agrees with probability 1 - (1 - p)^CHUNKS, where p = P(Binomial(SYMBOLS, 1 - s) <= ERRORS):
-for s = 0.6 that is 0.9985, for 0.7 more than 0.9999. Candidates whose whole signatures are farther apart than SPREAD standard
+A document is the set of its runs of WIDTH consecutive words. Its signature has c chunks of w minima of that set under random
+orders, so two documents of similarity s differ in each symbol with probability 1 - s. The join is multi-index: by
+pigeonhole, signatures at distance of at most c * (ERRORS + 1) - 1 have a chunk with at most ERRORS differing symbols, and
+each way to leave ERRORS symbols out of a chunk is one key. All pairs under that distance are found for certain; of pairs
+beyond it a chunk still agrees with probability 1 - (1 - p)^c, where p = P(Binomial(w, 1 - s) <= ERRORS). ``layout`` takes the
+longest chunks, and so the most selective keys, for which a pair just at ``similarity`` is missed with probability MISS at
+most and a document has at most MOST_KEYS keys: 17 chunks of 5 for 0.6, 10 of 8 for 0.8. Candidates whose whole signatures are farther apart than SPREAD standard
 deviations above the distance expected of ``similarity`` are dropped, all others are compared set by set.
 
 Documents with the same set are one class, and only class representatives are joined, so that a group of copies costs what
@@ -20,6 +21,7 @@ pair with nothing; repeated rows of an id count once. Sets are compared by 48-bi
 from __future__ import annotations
 
 from itertools import combinations
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,23 @@ from pyspark.sql import functions as F
 from pressmill.llm.text_arrays import chunks, grams, mix, words
 from pressmill.session import materialize
 
-WIDTH, CHUNKS, SYMBOLS, ERRORS = 5, 16, 5, 1
+WIDTH, ERRORS, MISS, MOST_KEYS = 5, 1, 1e-3, 90
 SIMILARITY, SPREAD = 0.8, 4.5
 _LOW = np.uint64((1 << 48) - 1)
 
 
+def layout(similarity: float) -> tuple[int, int]:
+    """(chunks, symbols of each)."""
+    best = None
+    for w in range(ERRORS + 2, 40):
+        p = sum(comb(w, k) * (1 - similarity) ** k * similarity ** (w - k) for k in range(ERRORS + 1))
+        chunks_n = 1 if p >= 1 else ceil(log(MISS) / log(1 - p))
+        if chunks_n * comb(w, ERRORS) > MOST_KEYS and best:
+            break
+        best = (chunks_n, w)
+    return best
+
+
 def shingles(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, 48-bit hash) of the distinct shingles, in order; texts are at most 65,536."""
     w = words(texts)
@@ -70,7 +84,7 @@ def _text(title: str | None, content: str | None) -> str | None:
     return None if content is None or not content.strip() else f"{title or ''} {content}"
 
 
-def signed(docs: DataFrame, width: int, chunks_n: int = CHUNKS, symbols: int = SYMBOLS, errors: int = ERRORS) -> DataFrame:
+def signed(docs: DataFrame, width: int, chunks_n: int, symbols: int, errors: int = ERRORS) -> DataFrame:
     """docs(id, title, content) to (id, cls, n, sketch, keys): the class of equal sets, the set's size, a byte of each symbol, the keys."""
 
     def sign(batches):
@@ -122,8 +136,9 @@ def _close(candidates: DataFrame, most: int) -> DataFrame:
 
 def classes_and_links(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(members(id, cls), links(a, b, similarity)) where a < b are classes of different sets."""
-    total, docs = CHUNKS * SYMBOLS, docs.select("id", "title", "content")
-    sign = materialize(signed(docs, width).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    chunks_n, symbols = layout(similarity)
+    total, docs = chunks_n * symbols, docs.select("id", "title", "content")
+    sign = materialize(signed(docs, width, chunks_n, symbols).withColumn("row", F.monotonically_increasing_id()), "signatures")
     members = sign.select("id", "cls").distinct()
     # every class but for its first row leaves the join; where classes have one row each, nothing is shuffled for that
     several = sign.groupBy("cls").agg(F.min("row").alias("first"), F.count("*").alias("rows")).where("rows > 1")
