@@ -136,6 +136,19 @@ WHEN {_longest("content", "\\n")} <= 4000 THEN 'line'
 WHEN {_longest("regexp_replace(content, '([.!?…])" + WHITE + "', '\\1' || chr(1), 'g')", chr(1))} <= 4000 THEN 'sentence'
 WHEN {_longest("content", WHITE + "+")} <= 4000 THEN 'word' ELSE 'none' END AS boundary
 FROM (SELECT DISTINCT id, content FROM articles WHERE length(content) > 4000)""",
+        "p3_found": r"""
+WITH a AS (SELECT id, max(coalesce(title, '')) || ' ' || max(content) AS t FROM articles WHERE trim(content, chr(9) || chr(10) || chr(13) || ' ') <> '' GROUP BY id),
+w AS (SELECT id, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS w FROM a),
+s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM w, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS i)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+p AS (SELECT x.id AS id_a, y.id AS id_b, count(*) AS c FROM s x JOIN s y USING (g) WHERE x.id < y.id GROUP BY ALL)
+SELECT id_a, id_b FROM p JOIN n na ON na.id = id_a JOIN n nb ON nb.id = id_b WHERE c >= 0.6e0 * (na.n + nb.n - c)""",
+        "p6_found": """
+WITH v AS (SELECT id, any_value(model_name) AS m, any_value(embedding)::DOUBLE[] AS e FROM article_embeddings
+WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY id),
+c AS (SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.e, y.e) AS c FROM v x JOIN v y ON x.m = y.m AND x.id <> y.id),
+r AS (SELECT a, b, c FROM c QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 5)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE c >= 0.9e0""",
         "p8_found": "SELECT doc_id FROM documents WHERE strlen(text) + 1 > 4096",
         "p9_found": f"SELECT DISTINCT doc_id, item_id FROM ({grams.format('doc_id', words, 'documents')}) JOIN ({grams.format('item_id', words, 'bench_items')}) USING (g)",
     }
