@@ -12,7 +12,7 @@ blocks are then resolved in parallel with their outer states fixed. A source wit
 
 Defined results: null, blank, placeholder, relative or impossible values, years 0 and 1 and local values without a known
 zone give no instant; a repeated local hour means the earlier instant, a skipped one is read with the offset before the
-change; digits beyond microseconds are cut. Repeated rows of a key give one row. Rows without a source are read on their
+change; digits beyond microseconds are cut. Repeated rows of an id give one row, rows without an id none. Rows without a source are read on their
 own, all-digit dates day first.
 """
 
@@ -250,7 +250,7 @@ def resolve_instants(rows: DataFrame, sources: DataFrame, use_declared_order: bo
     known = sources.select(key("source").alias("src"), "home_zone", "date_order").where("src IS NOT NULL").dropDuplicates(["src"])
     declared = F.expr("CASE date_order WHEN 'dmy' THEN 0 WHEN 'mdy' THEN 1 ELSE -1 END") if use_declared_order else F.lit(-1)
     read = (
-        rows.where("value IS NOT NULL").select("id", "value", key("source").alias("src"), F.col("at").cast("timestamp").alias("at"))
+        rows.where("value IS NOT NULL AND id IS NOT NULL").select(F.col("id").cast("string"), "value", key("source").alias("src"), F.col("at").cast("timestamp").alias("at"))
         .join(known, "src", "left")
         .select("id", "src", "at", "value", "home_zone", declared.alias("declared"))
         .mapInPandas(_read, "id string, src string, at timestamp, declared int, us0 long, us1 long")

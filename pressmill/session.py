@@ -27,7 +27,7 @@ def build_session(app: str = "pressmill", master: str | None = None, partitions:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share (spark.checkpoint.dir), or a temporary one if the session names none."""
-    own = spark.conf.get("spark.checkpoint.dir", None)
+    own = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not own:
         own = tempfile.mkdtemp(prefix="pressmill-")
         spark.conf.set("spark.checkpoint.dir", own)

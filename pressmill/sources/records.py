@@ -255,7 +255,7 @@ def parse_records(records: DataFrame, mappings: DataFrame) -> DataFrame:
                 if fmt == "jsonl":
                     fields[i] = json_fields(raws[i])
             judged = [judge(f, known.get(k, [])) for f, k in zip(fields, keys)]
-            yield pd.DataFrame({"record_id": g["record_id"], "dataset": g["dataset"], "batch": g["batch"], "reason": [j[0] for j in judged], "fields": [j[1] for j in judged]})
+            yield pd.DataFrame({"record_id": pd.array([None if x is None or x != x else int(x) for x in g["record_id"]], dtype="Int64"), "dataset": g["dataset"], "batch": g["batch"], "reason": [j[0] for j in judged], "fields": [j[1] for j in judged]})
 
     return records.select("record_id", "dataset", "fmt", "batch", "raw").mapInPandas(parse, "record_id long, dataset string, batch string, reason string, fields map<string,string>")
 
