@@ -11,7 +11,7 @@ The models are fitted on a bounded sample: about SAMPLE labelled documents of ea
 of their id. Labels may be wrong and documents mixed: lines are relabelled by a first fit before the second one.
 
 Defined results: null and empty contents have no lines; a line without words with letters has no language; repeated rows of an
-id count once; labels that name no supported language train nothing. Without any usable label there is no model and no row.
+id count once, rows without an id not at all; labels that name no supported language train nothing. Without any usable label there is no model and no row.
 """
 
 from __future__ import annotations
@@ -268,7 +268,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModels | None:
 def language_of_lines(docs: DataFrame, models: LanguageModels | None, least_words: int = 1) -> DataFrame:
     """docs(id, label, content) to a row per line of at least least_words words; language is null where rejected."""
     spark = docs.sparkSession
-    docs = docs.select("id", "label", "content").where("content IS NOT NULL")
+    docs = docs.select(F.col("id").cast("string"), "label", "content").where("content IS NOT NULL AND id IS NOT NULL")
     if models is None:
         return spark.createDataFrame([], LINES)
     sent = spark.sparkContext.broadcast(models)

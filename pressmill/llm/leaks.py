@@ -8,7 +8,7 @@ The held-out side is sent to all tasks only if it has at most MOST_HELD_OUT_WORD
 larger one goes the other way: fingerprints of both sides are shuffled by hash, candidate pairs are reduced to distinct
 (document, item), and the texts of just those are joined and compared. Both ways give the same rows.
 
-Defined results: null and short texts have no fingerprints and no leaks; repeated rows of an id count once; words are
+Defined results: null and short texts have no fingerprints and no leaks; repeated rows of an id count once, rows without an id not at all; words are
 compared by 64-bit hashes. An item that is repeated under several ids is reported under each.
 """
 
@@ -88,7 +88,8 @@ def hits(doc_ids: np.ndarray, texts: list[str | None], held: HeldOut, shared: in
 
 def leaks(docs: DataFrame, items: DataFrame, shared: int = SHARED, k: int = K, most_words: int = MOST_HELD_OUT_WORDS) -> DataFrame:
     """docs(doc_id, text), items(item_id, text) to (doc_id, item_id, words): pairs that share at least ``shared`` words in a row."""
-    docs, items = docs.select("doc_id", "text"), items.select("item_id", "text").where("text IS NOT NULL")
+    docs = docs.select("doc_id", "text").where("text IS NOT NULL AND doc_id IS NOT NULL")
+    items = items.select("item_id", "text").where("text IS NOT NULL AND item_id IS NOT NULL")
     spark = docs.sparkSession
     # a word takes at least two bytes of text with the blank behind it
     size = items.agg(F.sum(F.octet_length("text") + 1).alias("n")).first()["n"] or 0

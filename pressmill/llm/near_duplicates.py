@@ -15,7 +15,7 @@ those of candidates. ``links`` returns pairs of class representatives, ``pairs``
 has a row per document.
 
 Defined results: null titles count as empty; null or blank contents, and texts of fewer than WIDTH words, have no set and
-pair with nothing; repeated rows of an id count once. Sets are compared by 48-bit hashes.
+pair with nothing; repeated rows of an id count once, rows without an id not at all. Sets are compared by 48-bit hashes.
 """
 
 from __future__ import annotations
@@ -137,7 +137,7 @@ def _close(candidates: DataFrame, most: int) -> DataFrame:
 def classes_and_links(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(members(id, cls), links(a, b, similarity)) where a < b are classes of different sets."""
     chunks_n, symbols = layout(similarity)
-    total, docs = chunks_n * symbols, docs.select("id", "title", "content")
+    total, docs = chunks_n * symbols, docs.where("id IS NOT NULL").select(F.col("id").cast("string"), "title", "content")
     sign = materialize(signed(docs, width, chunks_n, symbols).withColumn("row", F.monotonically_increasing_id()), "signatures")
     members = sign.select("id", "cls").distinct()
     # every class but for its first row leaves the join; where classes have one row each, nothing is shuffled for that

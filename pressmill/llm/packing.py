@@ -8,7 +8,7 @@ number of items, whatever the sizes or sources are, and leaves at most the few c
 Items beyond the capacity are cut into full containers and a rest that is packed like an item; no other is cut.
 
 Defined results: a null text has no size and isn't packed; an empty one has size 1 (the end token). Repeated ids are packed
-once. Containers are numbered within their shard.
+once, rows without an id not at all. Containers are numbered within their shard.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ def place(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
 
 def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """items(doc_id, tokens) to a row per piece: (doc_id, shard, container, part, tokens, split)."""
-    items = items.where("tokens IS NOT NULL").groupBy("doc_id").agg(F.max("tokens").cast("long").alias("tokens"))
+    items = items.where("tokens IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("tokens").cast("long").alias("tokens"))
     shards = max(1, -(-items.count() // shard))
 
     def fill(g: pd.DataFrame) -> pd.DataFrame:

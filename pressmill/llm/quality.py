@@ -10,6 +10,7 @@ in a usual order: how usually one follows the other is counted over the whole co
 a chunk of documents; only the pair counts, added up in each task, and repeated ids are shuffled.
 
 Defined results: a null or blank text has no characters, so that its shares are null and it isn't reported as lacking prose.
+Rows without an id are left out; repeated ids give one row.
 """
 
 from __future__ import annotations
@@ -213,7 +214,7 @@ def text_quality(docs: DataFrame) -> DataFrame:
                     columns.append(pa.array(m[name], pa.int64() if name == "words" else pa.float64(), from_pandas=True))
                 yield pa.RecordBatch.from_arrays(columns, NAMES)
 
-    return docs.select("doc_id", "text").mapInArrow(rows, STATS).dropDuplicates(["doc_id"])
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(rows, STATS).dropDuplicates(["doc_id"])
 
 
 def lacking_prose(docs: DataFrame, least: float = 0.5) -> DataFrame:

@@ -10,7 +10,7 @@ Every round is a partially aggregated count by (source, class) and a join with t
 line with a third of all rows is never gathered in one task. A source's documents are counted, not rows.
 
 Defined results: lines without letters, null contents and documents without a source are never repeated lines; they end
-blocks. Repeated rows of an id count once. An empty table gives an empty result.
+blocks. Repeated rows of an id count once; rows without an id are left out. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ LETTERS = "regexp_replace(line, '[^\\\\p{L}]+', '')"
 def line_sequences(docs: DataFrame) -> DataFrame:
     """docs(id, source, content) to (id, src, lines array<long>): the identifiers of each line, null without letters."""
     ids = f"transform(split(content, '\n', -1), line -> if(rlike(line, '\\\\p{{L}}'), xxhash64(lower({LETTERS})), null))"
-    return docs.where("content IS NOT NULL").select("id", F.expr(f"xxhash64({SOURCE})").alias("src"), F.expr(SOURCE).alias("s"), F.expr(ids).alias("lines")).where("s IS NOT NULL").drop("s")
+    return docs.where("content IS NOT NULL AND id IS NOT NULL").select("id", F.expr(f"xxhash64({SOURCE})").alias("src"), F.expr(SOURCE).alias("s"), F.expr(ids).alias("lines")).where("s IS NOT NULL").drop("s")
 
 
 def _frequent(positions: DataFrame, min_docs: int) -> DataFrame:
@@ -99,5 +99,5 @@ def without_repeated_lines(docs: DataFrame, min_docs: int = 5, min_block: int =
     """docs without their covered lines: (id, content, removed), a row per id; documents without any are unchanged."""
     gone = covered_lines(docs, min_docs, min_block).groupBy("id").agg(F.collect_set("line_no").alias("gone"))
     kept = "array_join(filter(split(content, '\n', -1), (l, k) -> NOT array_contains(gone, k)), '\n')"
-    out = docs.select("id", "content").dropDuplicates(["id"]).join(gone, "id", "left")
+    out = docs.where("id IS NOT NULL").select("id", "content").dropDuplicates(["id"]).join(gone, "id", "left")
     return out.select("id", F.expr(f"if(gone IS NULL OR content IS NULL, content, {kept})").alias("content"), F.expr("coalesce(size(gone), 0)").alias("removed"))

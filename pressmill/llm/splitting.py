@@ -11,7 +11,7 @@ white space to a place every LIMIT - OVERLAP characters.
 
 Defined results: texts of at most LIMIT characters (code points) and nulls yield no row; a text that is within the limit once
 trimmed is one piece; one of nothing but white space is one empty piece of kind paragraph. Repeated rows of an id yield their
-pieces once. There is no shuffle but for that.
+pieces once, rows without an id none. There is no shuffle but for that.
 """
 
 from __future__ import annotations
@@ -128,7 +128,7 @@ def split_texts(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) ->
                     ["id", "piece", "begin", "length", "boundary"],
                 )
 
-    return docs.where(F.char_length("content") > limit).select("id", "content").mapInArrow(pieces, PIECES).dropDuplicates(["id", "piece"])
+    return docs.where((F.char_length("content") > limit) & F.col("id").isNotNull()).select(F.col("id").cast("string"), "content").mapInArrow(pieces, PIECES).dropDuplicates(["id", "piece"])
 
 
 def with_text(pieces: DataFrame, docs: DataFrame) -> DataFrame:

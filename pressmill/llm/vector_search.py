@@ -11,7 +11,7 @@ in double. Only vectors with a cosine of at least ``floor`` are wanted; with flo
 Equal vectors are one class: a class is searched once, and since ties go to the smaller id, only its k + 1 smallest ids can be
 anybody's neighbours. So copies of one vector cost no more than that, however many there are.
 
-Defined results: vectors that are null, of another length, with nulls or values that aren't finite, or all zero take no part; an id
+Defined results: vectors that are null, of another length, with nulls or values that aren't finite, or all zero, or without an id take no part; an id
 that comes with several vectors has the one with the smallest hash; a model of one vector has no neighbours.
 """
 
@@ -159,7 +159,7 @@ def nearest(query: np.ndarray, data: np.ndarray, k: int, floor: float | None, su
 
 def neighbours(vectors: DataFrame, k: int = 5, floor: float | None = None, dim: int = 64, queries: str | None = None, sure: float = SURE) -> DataFrame:
     """vectors(id, model, embedding) to (id, neighbour, cosine, rank): the k highest cosines of each id, or of those that the condition ``queries`` picks."""
-    own = vectors.where(usable("embedding", dim)).withColumn("h", F.xxhash64("embedding")).withColumn("h2", F.hash("embedding"))
+    own = vectors.where(usable("embedding", dim) & F.col("id").isNotNull()).withColumn("h", F.xxhash64("embedding")).withColumn("h2", F.hash("embedding"))
     own = own.groupBy("id").agg(F.min(F.struct("h", "h2", "model", "embedding")).alias("v")).select("id", "v.*")
     own = materialize(own.withColumn("cls", F.xxhash64("model", "h", "h2")), "vectors")
     asked = own.where(queries) if queries else own
