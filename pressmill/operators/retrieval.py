@@ -1,8 +1,9 @@
 """Search over articles: every query is one plan of scan, filter, score and top-k; only ids and scores are ordered.
 
-Term counts come from each row's own tokens, so matching and scoring need no shuffle; the corpus statistics of BM25 are one
-global aggregate (a row). Article columns are joined to the k best ids afterwards. ``postings`` gives the inverted form for
-materialising. Defined results: null fields are empty; repeated rows of an id count once; ties go to the larger id.
+Term counts come from each row's own tokens; what is shuffled to count repeated rows of an id once are those counts, never
+texts. The corpus statistics of BM25 are one global aggregate (a row). Article columns are joined to the k best ids afterwards.
+``postings`` gives the inverted form for materialising. Defined results: null fields are empty; repeated rows of an id count
+once; ties go to the larger id.
 """
 
 from __future__ import annotations
@@ -80,7 +81,7 @@ def postings(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     out = per[0]
     for p in per[1:]:
         out = out.unionByName(p)
-    return out.groupBy("id", "field", "label", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    return out.groupBy("id", "field", "label", "term").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
 
 
 def _counts(toks: Column, terms: list[str], fuzziness: int) -> list[Column]:
@@ -104,6 +105,7 @@ def scored(docs: DataFrame, q: Match) -> DataFrame:
         cols.append(F.size(f).alias(f"dl_{f}"))
         cols += [c.alias(f"tf_{f}_{i}") for i, c in enumerate(_counts(F.col(f), terms, q.fuzziness))]
     counted = toks.select("id", *cols)
+    counted = counted.groupBy("id").agg(*[F.max(c).alias(c) for c in counted.columns if c != "id"])
     stats = counted.agg(
         F.count("*").alias("n"),
         *[F.avg(f"dl_{f}").alias(f"dl_{f}") for f in q.fields],
@@ -153,14 +155,14 @@ def match_phrase(docs: DataFrame, q: Phrase) -> DataFrame:
     """(id, fields): in how many of the fields the phrase occurs."""
     toks = analyzed(docs, q.fields)
     n = sum((F.coalesce(phrase_predicate(q, F.col(f)), F.lit(False)).cast("int") for f in q.fields), F.lit(0))
-    return toks.select("id", n.alias("fields")).where("fields > 0")
+    return toks.select("id", n.alias("fields")).where("fields > 0").groupBy("id").agg(F.max("fields").alias("fields"))
 
 
 def match_boolean(docs: DataFrame, q: Boolean) -> DataFrame:
     """(id) of the articles whose fields together satisfy the expression; phrases don't run across fields."""
     tree = boolean.parse(q.expression)
     together = F.concat(*[x for f in q.fields for x in (F.col(f), F.array(F.lit("\n")))])
-    return analyzed(docs, q.fields).select("id", together.alias("all")).where(boolean.predicate(tree, F.col("all"))).select("id")
+    return analyzed(docs, q.fields).select("id", together.alias("all")).where(boolean.predicate(tree, F.col("all"))).select("id").distinct()
 
 
 def page(hits: DataFrame, size: int = PAGE_DEFAULT, after: tuple[float, str] | None = None) -> DataFrame:
@@ -174,10 +176,10 @@ def page(hits: DataFrame, size: int = PAGE_DEFAULT, after: tuple[float, str] | N
 
 
 def normalized(hits: DataFrame) -> DataFrame:
-    """Adds score_normalized (by the highest score), max_score and total_matches in one pass over the hits."""
-    top = hits.agg(F.max("score").alias("max_score"), F.count("*").alias("total_matches"))
-    safe = F.when(F.col("max_score") > 0, F.col("max_score")).otherwise(1.0)
-    return hits.join(F.broadcast(top)).withColumn("score_normalized", T.round4(F.col("score") / safe))  # top is one row
+    """Adds score_normalized (by the highest score), max_score and total_matches."""
+    best = hits.agg(F.max("score").alias("top"), F.count("*").alias("n")).first()
+    safe = best["top"] if best["top"] and best["top"] > 0 else 1.0
+    return hits.withColumns({"max_score": F.lit(best["top"]), "total_matches": F.lit(best["n"]), "score_normalized": T.round4(F.col("score") / safe)})
 
 
 def encode_cursor(score: float, id: str) -> str:
@@ -209,10 +211,15 @@ def with_ranks(leg: DataFrame, k: int, order: list[Column]) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int, threshold: float | None = None) -> DataFrame:
-    """(id, distance) of the k smallest cosine distances to a query vector, exactly; smaller ids first among equals."""
+    """(id, distance) of the k smallest cosine distances to a query vector, exactly; smaller ids first among equals.
+
+    Where vectors have a column ``version``, the highest one of an id counts; only distances are shuffled for that.
+    """
     q = F.array(*[F.lit(float(x)) for x in query])
     d = F.floor((1 - T.cosine(F.col("embedding"), q)) * 1e6 + 0.5) / 1e6
-    out = vectors.where(F.size("embedding") == len(query)).select("id", d.alias("distance"))
+    out = vectors.where(F.size("embedding") == len(query)).select("id", d.alias("distance"), *[c for c in vectors.columns if c == "version"])
+    if "version" in vectors.columns:
+        out = out.groupBy("id").agg(F.max_by("distance", "version").alias("distance"))
     if threshold is not None:
         out = out.where(F.col("distance") < threshold)
     return out.orderBy("distance", "id").limit(k)
@@ -244,4 +251,4 @@ def ts_rank(docs: DataFrame, terms: list[str], weights: dict[str, float] | None
         first = F.array_position(weight_list, best)
         series = F.aggregate(F.transform(weight_list, lambda w, j: w / F.pow(j + 1, F.lit(2))), F.lit(0.0), lambda s, x: s + x)
         total = total + F.when(F.size(weight_list) > 0, (best + series - best / F.pow(first, F.lit(2))) / 1.64493406685).otherwise(0.0)
-    return toks.select("id", T.round4(total / len(wanted)).alias("score")).where("score > 0")
+    return toks.select("id", T.round4(total / len(wanted)).alias("score")).where("score > 0").distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pressmill.operators import embeddings as E
 from pressmill.operators import evaluation as V
 from pressmill.operators import judging as J
-from pressmill.plans.search_queries import DIM, MODEL, VECTORS, vectors
+from pressmill.plans.search_queries import DIM, MODEL, VECTORS, versions
 from pressmill.session import table
 from pressmill.sources import files
 
@@ -183,8 +183,10 @@ def _pooled(spark: SparkSession, d: str) -> DataFrame:
     """The pool with the texts, and as a query's text and vector: the text of its first item and the vector of its first document."""
     pooled = V.pool(table(spark, d, "runs")).select("query_id", "doc_id")
     texts = table(spark, d, "bench_items").groupBy("query_id").agg(F.min_by("text", "item_id").alias("query_text"))
-    docs = table(spark, d, "articles").groupBy(F.col("id").alias("doc_id")).agg(*[F.max(c).alias(c) for c in ("title", "description", "content")])
-    v = vectors(spark, d).select(F.col("id").alias("doc_id"), "embedding")
+    wanted = pooled.select(F.col("doc_id").alias("id"))
+    docs = E.by_ids(table(spark, d, "articles"), wanted).groupBy(F.col("id").alias("doc_id")).agg(*[F.max(c).alias(c) for c in ("title", "description", "content")])
+    own = E.by_ids(versions(spark, d), wanted)
+    v = own.groupBy(F.col("id").alias("doc_id")).agg(F.max_by("embedding", "version").alias("embedding"))
     first = pooled.join(v, "doc_id").groupBy("query_id").agg(F.min_by("embedding", "doc_id").alias("query_vector"))
     return pooled.join(docs, "doc_id").join(texts, "query_id").join(v, "doc_id", "left").join(first, "query_id", "left")
 

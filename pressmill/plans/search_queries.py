@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressmill.functions import text as T
@@ -62,7 +62,7 @@ TOP = "ORDER BY score DESC, id DESC LIMIT {}"
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return R.articles_once(table(spark, d, "articles"))
+    return table(spark, d, "articles").select("id", *R.FIELDS)
 
 
 Q_OR, Q_AND = R.Match("council budget"), R.Match("council library", operator="and")
@@ -74,7 +74,7 @@ Q_FUZZY = R.Match("libary counsil", ("content",), fuzziness=2)
 
 @_query(f"WITH {ONCE} SELECT id, title, concat_ws(' ', coalesce(title, ''), coalesce(description, ''), coalesce(content, '')) AS search_text FROM a")
 def articles_view(spark, d):
-    docs = _docs(spark, d)
+    docs = R.articles_once(table(spark, d, "articles"))
     return docs.select("id", "title", F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in R.FIELDS]).alias("search_text"))
 
 
@@ -131,7 +131,8 @@ _COUNT = f"WITH {ONCE} " + " UNION ALL ".join(f"SELECT '{f}' AS field, count(*)
 @_query(_COUNT)
 def field_match_counts(spark, d):
     toks = R.analyzed(_docs(spark, d))
-    one = toks.agg(*[F.count_if(F.array_contains(f, "strike")).alias(f) for f in R.FIELDS])
+    each = toks.select("id", *[F.array_contains(f, "strike").alias(f) for f in R.FIELDS]).groupBy("id").agg(*[F.max(f).alias(f) for f in R.FIELDS])
+    one = each.agg(*[F.count_if(f).alias(f) for f in R.FIELDS])
     return one.select(F.expr(f"stack({len(R.FIELDS)}, " + ", ".join(f"'{f}', {f}" for f in R.FIELDS) + ") AS (field, matches)"))
 
 
@@ -213,35 +214,34 @@ VECTORS = f"v AS (SELECT article_id AS id, embedding::DOUBLE[] AS e FROM (SELECT
 DISTANCE = "floor((1e0 - list_cosine_similarity(e, w)) * 1e6 + 0.5e0) / 1e6"
 
 
-def vectors(spark: SparkSession, d: str) -> DataFrame:
-    """The latest usable vector of each article: (id, embedding)."""
+def versions(spark: SparkSession, d: str) -> DataFrame:
+    """All usable vectors: (id, embedding, version); the highest version of an id is its latest."""
     ok = F.expr(f"size(embedding) = {DIM} AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(embedding, x -> x <> 0)")
     own = table(spark, d, "article_embeddings").where((F.col("model_name") == MODEL) & ok)
-    last = Window.partitionBy("article_id").orderBy(F.desc("created_at"), F.desc("id"))
-    return own.withColumn("r", F.row_number().over(last)).where("r = 1").select(F.col("article_id").alias("id"), "embedding")
+    return own.select(F.col("article_id").alias("id"), "embedding", F.struct("created_at", F.col("id").alias("row")).alias("version"))
 
 
 def _query_vector(v: DataFrame) -> list[float]:
-    first = v.orderBy("id").limit(1).collect()
+    first = v.orderBy("id", F.desc("version")).limit(1).collect()
     return list(first[0]["embedding"]) if first else []
 
 
 @_query(f"WITH {VECTORS} SELECT id, {DISTANCE} AS distance FROM v, q ORDER BY distance, id LIMIT 20")
 def semantic_topk(spark, d):
-    v = vectors(spark, d)
+    v = versions(spark, d)
     return R.nearest(v, _query_vector(v), 20)
 
 
 @_query(f"WITH {VECTORS} SELECT id, {DISTANCE} AS distance FROM v, q WHERE {DISTANCE} < 0.7e0 ORDER BY distance, id LIMIT 100")
 def semantic_threshold(spark, d):
-    v = vectors(spark, d)
+    v = versions(spark, d)
     return R.nearest(v, _query_vector(v), 100, 0.7)
 
 
 @_query(f"WITH {VECTORS}, {ONCE}, n AS (SELECT id, {DISTANCE} AS distance FROM v, q ORDER BY distance, id LIMIT 20) SELECT n.id, distance, title FROM n JOIN a USING (id)")
 def semantic_join_articles(spark, d):
-    v = vectors(spark, d)
-    return _docs(spark, d).select("id", "title").join(R.nearest(v, _query_vector(v), 20), "id").select("id", "distance", "title")
+    v = versions(spark, d)
+    return _docs(spark, d).select("id", "title").join(R.nearest(v, _query_vector(v), 20), "id").select("id", "distance", "title").distinct()
 
 
 Q_HYBRID = R.Match("council budget", ("title", "content"))
@@ -250,7 +250,7 @@ _FUSED = "SELECT coalesce(l.id, m.id) AS id, floor((coalesce(1e0 / (60e0 + l.ran
 
 
 def _legs(spark, d):
-    v = vectors(spark, d)
+    v = versions(spark, d)
     lexical = R.with_ranks(R.search(_docs(spark, d), Q_HYBRID), R.CANDIDATES, [F.desc("score"), F.desc("id")])
     semantic = R.with_ranks(R.nearest(v, _query_vector(v), R.CANDIDATES), R.CANDIDATES, [F.col("distance"), F.col("id")])
     return lexical, semantic
@@ -279,29 +279,29 @@ def _trigrams(words: str) -> str:
 @_query(f"WITH {ONCE}, t AS (SELECT id, {_trigrams(_toks('title'))} AS x, {_trigrams(_toks(chr(39) + 'senat resored' + chr(39)))} AS y FROM a), u AS (SELECT id, CASE WHEN len(list_distinct(list_concat(x, y))) > 0 THEN len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE ELSE 0 END AS raw FROM t) SELECT id, floor(raw * 1e4 + 0.5e0) / 1e4 AS score FROM u WHERE raw > 0.2e0")
 def fuzzy_trigram(spark, d):
     s = T.trigram_similarity(F.col("title"), F.lit("senat resored"))
-    return _docs(spark, d).select("id", s.alias("raw")).where("raw > 0.2D").select("id", T.round4(F.col("raw")).alias("score"))
+    return _docs(spark, d).select("id", s.alias("raw")).where("raw > 0.2D").select("id", T.round4(F.col("raw")).alias("score")).distinct()
 
 
 @_query(f"WITH {ONCE} SELECT id, len(list_filter(string_split(lower(coalesce(title, '')), ' '), lambda w: levenshtein(w, 'senat') <= 2)) AS near FROM a WHERE len(list_filter(string_split(lower(coalesce(title, '')), ' '), lambda w: levenshtein(w, 'senat') <= 2)) > 0")
 def fuzzy_levenshtein(spark, d):
     near = F.size(F.filter(F.split(F.lower(F.coalesce("title", F.lit(""))), " "), lambda w: F.levenshtein(w, F.lit("senat"), 2) >= 0))
-    return _docs(spark, d).select("id", near.alias("near")).where("near > 0")
+    return _docs(spark, d).select("id", near.alias("near")).where("near > 0").distinct()
 
 
 @_query(f"WITH {ONCE}, t AS (SELECT id, {_toks('content')} AS k FROM a) SELECT id FROM t WHERE len(list_filter(range(1, len(k) + 1), lambda i: k[i] = 'council' AND list_contains(k[greatest(i - 5, 1):i + 5], 'budget'))) > 0")
 def proximity_unordered(spark, d):
-    return R.analyzed(_docs(spark, d), ("content",)).where(T.near(F.col("content"), "council", "budget", 5)).select("id")
+    return R.analyzed(_docs(spark, d), ("content",)).where(T.near(F.col("content"), "council", "budget", 5)).select("id").distinct()
 
 
 @_query(f"WITH {ONCE}, t AS (SELECT id, {_toks('content')} AS k FROM a) SELECT id, len(list_filter(k, lambda x: starts_with(x, 'librar'))) AS hits FROM t WHERE len(list_filter(k, lambda x: starts_with(x, 'librar'))) > 0")
 def prefix_terms(spark, d):
     hits = F.size(F.filter("content", lambda w: F.startswith(w, F.lit("librar"))))
-    return R.analyzed(_docs(spark, d), ("content",)).select("id", hits.alias("hits")).where("hits > 0")
+    return R.analyzed(_docs(spark, d), ("content",)).select("id", hits.alias("hits")).where("hits > 0").distinct()
 
 
 @_query(f"WITH {ONCE}, t AS (SELECT id, content, instr(lower(content), 'harbour') AS p FROM a) SELECT id, substr(content, greatest(p - 40, 1), p - greatest(p - 40, 1)) || '[' || substr(content, p, 7) || ']' || substr(content, p + 7, 40) AS snippet FROM t WHERE p > 0")
 def snippets(spark, d):
-    return _docs(spark, d).select("id", T.snippet(F.col("content"), "harbour").alias("snippet")).where("snippet IS NOT NULL")
+    return _docs(spark, d).select("id", T.snippet(F.col("content"), "harbour").alias("snippet")).where("snippet IS NOT NULL").distinct()
 
 
 @_query()
@@ -319,7 +319,8 @@ def lookup_by_ids(spark, d):
 @_query(f"WITH {VECTORS}, i AS (SELECT DISTINCT doc_id AS id FROM runs WHERE rank <= 3) SELECT id, len(e) AS size FROM v WHERE id IN (SELECT id FROM i)")
 def vectors_by_ids(spark, d):
     ids = table(spark, d, "runs").where("rank <= 3").select(F.col("doc_id").alias("id"))
-    return embeddings.by_ids(vectors(spark, d), ids).select("id", F.size("embedding").cast("long").alias("size"))
+    own = embeddings.by_ids(versions(spark, d), ids)
+    return own.groupBy("id").agg(F.max_by("embedding", "version").alias("embedding")).select("id", F.size("embedding").cast("long").alias("size"))
 
 
 def queries() -> dict:
