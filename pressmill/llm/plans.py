@@ -115,6 +115,14 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
 
+_LINES = r"""
+WITH a AS (SELECT DISTINCT id, lower(trim(metadata.source_name)) AS s, content FROM articles WHERE trim(metadata.source_name) <> '' AND content IS NOT NULL),
+l AS (SELECT id, s, unnest(string_split(content, chr(10))) AS line, unnest(range(len(string_split(content, chr(10))))) AS line_no FROM a),
+k AS (SELECT id, s, line_no, lower(regexp_replace(line, '\P{L}+', '', 'g')) AS k FROM l),
+f AS (SELECT s, k FROM k WHERE k <> '' GROUP BY s, k HAVING count(DISTINCT id) >= 5)
+"""
+
+
 def _longest(text: str, separator: str) -> str:
     """SQL for the largest trimmed length of the parts of a text."""
     return f"list_max(list_transform(regexp_split_to_array({text}, '{separator}'), lambda x: length(regexp_replace(x, '^{WHITE}+|{WHITE}+$', '', 'g'))))"
@@ -124,12 +132,12 @@ def oracle_sql() -> dict[str, str]:
     words = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
     grams = "SELECT {0}, list_aggregate(w[i:i + 11], 'string_agg', ' ') AS g FROM (SELECT {0}, {1} AS w FROM {2}), LATERAL (SELECT unnest(range(1, len(w) - 10)) AS i)"
     return {
-        "p1_found": r"""
-WITH a AS (SELECT DISTINCT id, lower(trim(metadata.source_name)) AS s, content FROM articles WHERE trim(metadata.source_name) <> '' AND content IS NOT NULL),
-l AS (SELECT id, s, unnest(string_split(content, chr(10))) AS line, unnest(range(len(string_split(content, chr(10))))) AS line_no FROM a),
-k AS (SELECT id, s, line_no, lower(regexp_replace(line, '\P{L}+', '', 'g')) AS k FROM l),
-f AS (SELECT s, k FROM k WHERE k <> '' GROUP BY s, k HAVING count(DISTINCT id) >= 5)
-SELECT id, line_no FROM k JOIN f USING (s, k)""",
+        "p1_found": _LINES + "SELECT id, line_no FROM k JOIN f USING (s, k)",
+        "p1_cleaned": _LINES
+        + """, g AS (SELECT k.id, k.line_no, k.line, f.k IS NOT NULL AS gone FROM (SELECT k.*, l.line FROM k JOIN l USING (id, s, line_no)) k LEFT JOIN f USING (s, k)),
+c AS (SELECT id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone), '') AS content, count(*) FILTER (gone) AS removed FROM g GROUP BY id)
+SELECT a.id, CASE WHEN c.id IS NULL OR removed = 0 THEN a.content ELSE c.content END AS content, coalesce(removed, 0)::INT AS removed
+FROM (SELECT DISTINCT id, content FROM articles) a LEFT JOIN c USING (id)""",
         "p4_found": f"""
 SELECT id, CASE WHEN {_longest("content", "\\n" + WHITE + "*\\n")} <= 4000 THEN 'paragraph'
 WHEN {_longest("content", "\\n")} <= 4000 THEN 'line'
