@@ -20,13 +20,13 @@ from pressmill.operators import boolean
 
 FIELDS = ("title", "description", "content")
 LABELS = {"title": "A", "description": "B", "content": "C", "subtitle": "D", "author": "D"}
-K1, B = 1.2, 0.75
+K1, B, AUTO = 1.2, 0.75, -1
 PAGE_DEFAULT, PAGE_MOST, MOST_SLOP, RRF_K, CANDIDATES = 100, 10_000, 3, 60, 200
 
 
 @dataclass(frozen=True)
 class Match:
-    """Terms in some fields; operator "and" or "or"; weights per field; fuzziness in edits per term."""
+    """Terms in some fields; operator "and" or "or"; weights per field; fuzziness in edits per term, or AUTO by its length."""
 
     text: str
     fields: tuple[str, ...] = FIELDS
@@ -84,11 +84,14 @@ def postings(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     return out.groupBy("id", "field", "label", "term").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
 
 
+def edits(term: str, fuzziness: int) -> int:
+    """Edits allowed for a term: none up to two characters, one up to five, two beyond, where fuzziness is AUTO."""
+    return (len(term) > 2) + (len(term) > 5) if fuzziness == AUTO else fuzziness
+
+
 def _counts(toks: Column, terms: list[str], fuzziness: int) -> list[Column]:
-    if not fuzziness:
-        return [T.term_count(toks, t) for t in terms]
-    close = lambda t: lambda w: F.levenshtein(w, F.lit(t), fuzziness) >= 0
-    return [F.size(F.filter(toks, close(t))) for t in terms]
+    close = lambda t, n: lambda w: F.levenshtein(w, F.lit(t), n) >= 0
+    return [F.size(F.filter(toks, close(t, edits(t, fuzziness)))) if edits(t, fuzziness) else T.term_count(toks, t) for t in terms]
 
 
 def bm25(tf: Column, dl: Column, df: int, n: int, average: float, k1: float = K1, b: float = B) -> Column:

@@ -33,7 +33,7 @@ def _toks(column: str) -> str:
 
 def _counted(terms: list[str], fields: tuple[str, ...], fuzz: int = 0) -> str:
     """CTEs c (id, lengths and term counts) and s (statistics)."""
-    hit = (lambda t: f"levenshtein(x, '{t}') <= {fuzz}") if fuzz else (lambda t: f"x = '{t}'")
+    hit = lambda t: f"levenshtein(x, '{t}') <= {R.edits(t, fuzz)}" if R.edits(t, fuzz) else f"x = '{t}'"
     c = ", ".join(f"len(k_{f}) AS dl_{f}, " + ", ".join(f"len(list_filter(k_{f}, lambda x: {hit(t)})) AS tf_{f}_{i}" for i, t in enumerate(terms)) for f in fields)
     s = ", ".join(f"avg(dl_{f}) AS avg_{f}, " + ", ".join(f"count(*) FILTER (WHERE tf_{f}_{i} > 0) AS df_{f}_{i}" for i in range(len(terms))) for f in fields)
     k = ", ".join(f"{_toks(f)} AS k_{f}" for f in fields)
@@ -58,6 +58,7 @@ def _search_sql(q: R.Match, tail: str = "") -> str:
     return f"WITH {_counted(terms, q.fields, q.fuzziness)} SELECT id, {_bm25(terms, q.fields, q.weights, q.best_fields)} AS score FROM c, s WHERE {_where(terms, q.fields, q.operator.upper())} {tail}"
 
 
+BOTH = "concat_ws(' ', title, description)"
 TOP = "ORDER BY score DESC, id DESC LIMIT {}"
 
 
@@ -69,6 +70,7 @@ Q_OR, Q_AND = R.Match("council budget"), R.Match("council library", operator="an
 Q_TITLE, Q_CONTENT = R.Match("senate restored", ("title",), "and"), R.Match("harbour strike", ("content",))
 Q_BEST = R.Match("library vote", weights={"title": 3.0, "description": 2.0}, best_fields=True)
 Q_ZERO = R.Match("library vote", weights={"title": 0.0})
+Q_AUTO = R.Match("harbor vot", ("title", "content"), "and", fuzziness=R.AUTO)
 Q_FUZZY = R.Match("libary counsil", ("content",), fuzziness=2)
 
 
@@ -125,6 +127,11 @@ def fuzzy_token_bm25(spark, d):
     return R.search(_docs(spark, d), Q_FUZZY)
 
 
+@_query(_search_sql(Q_AUTO))
+def fuzzy_auto(spark, d):
+    return R.search(_docs(spark, d), Q_AUTO)
+
+
 _COUNT = f"WITH {ONCE} " + " UNION ALL ".join(f"SELECT '{f}' AS field, count(*) FILTER (WHERE list_contains({_toks(f)}, 'strike')) AS matches FROM a" for f in R.FIELDS)
 
 
@@ -282,6 +289,13 @@ def fuzzy_trigram(spark, d):
     return _docs(spark, d).select("id", s.alias("raw")).where("raw > 0.2D").select("id", T.round4(F.col("raw")).alias("score")).distinct()
 
 
+@_query(f"WITH {ONCE}, t AS (SELECT id, {_trigrams(_toks(BOTH))} AS x, {_trigrams(_toks(chr(39) + 'the senate was restored and the permit audited as the town awaits public evacuation' + chr(39)))} AS y FROM a), u AS (SELECT id, CASE WHEN len(list_distinct(list_concat(x, y))) > 0 THEN len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE ELSE 0 END AS raw FROM t) SELECT id, floor(raw * 1e4 + 0.5e0) / 1e4 AS score FROM u WHERE raw > 0.15e0")
+def fuzzy_trigram_fields(spark, d):
+    """Title and description together, with the lower bound."""
+    s = T.trigram_similarity(F.concat_ws(" ", "title", "description"), F.lit("the senate was restored and the permit audited as the town awaits public evacuation"))
+    return _docs(spark, d).select("id", s.alias("raw")).where("raw > 0.15D").select("id", T.round4(F.col("raw")).alias("score")).distinct()
+
+
 @_query(f"WITH {ONCE} SELECT id, len(list_filter(string_split(lower(coalesce(title, '')), ' '), lambda w: levenshtein(w, 'senat') <= 2)) AS near FROM a WHERE len(list_filter(string_split(lower(coalesce(title, '')), ' '), lambda w: levenshtein(w, 'senat') <= 2)) > 0")
 def fuzzy_levenshtein(spark, d):
     near = F.size(F.filter(F.split(F.lower(F.coalesce("title", F.lit(""))), " "), lambda w: F.levenshtein(w, F.lit("senat"), 2) >= 0))
