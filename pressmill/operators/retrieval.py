@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from pressmill.functions import text as T
 from pressmill.operators import boolean
+from pressmill.session import materialize
 
 FIELDS = ("title", "description", "content")
 LABELS = {"title": "A", "description": "B", "content": "C", "subtitle": "D", "author": "D"}
@@ -108,7 +109,8 @@ def scored(docs: DataFrame, q: Match) -> DataFrame:
         cols.append(F.size(f).alias(f"dl_{f}"))
         cols += [c.alias(f"tf_{f}_{i}") for i, c in enumerate(_counts(F.col(f), terms, q.fuzziness))]
     counted = toks.select("id", *cols)
-    counted = counted.groupBy("id").agg(*[F.max(c).alias(c) for c in counted.columns if c != "id"])
+    # a narrow table, written so that the texts are read and split once for the statistics and the scores
+    counted = materialize(counted.groupBy("id").agg(*[F.max(c).alias(c) for c in counted.columns if c != "id"]), "counts")
     stats = counted.agg(
         F.count("*").alias("n"),
         *[F.avg(f"dl_{f}").alias(f"dl_{f}") for f in q.fields],
