@@ -6,8 +6,10 @@ digits, word lengths, lines that end in punctuation, and common words of the sup
 neighbours (sentences may be wrapped anywhere). A line counts as prose if it is made of words, common ones other than articles
 among them, and isn't part of an aligned run without them. Words thrown together at random have common words enough, but not
 in a usual order: how usually one follows the other is counted over the whole collection for pairs of the listed words
-(so the counts have a fixed bound), and a block whose pairs are unusual isn't prose. Everything is computed on arrays over
-a chunk of documents; only the pair counts, added up in each task, and repeated ids are shuffled.
+(so the counts have a fixed bound), and a block whose pairs are unusual isn't prose. Texts of the same words count once and a
+text's own pairs don't count for it, so that neither it nor its copies make their own order usual. Everything is computed on
+arrays over a chunk of documents; only the listed words of each text, the pair counts, added up in each task, and repeated ids
+are shuffled.
 
 Defined results: a null or blank text has no characters, so that its shares are null and it isn't reported as lacking prose.
 Rows without an id are left out; repeated ids give one row.
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pressmill.llm.splitting import _white
-from pressmill.llm.text_arrays import Words, chunks, is_word, words
+from pressmill.llm.text_arrays import Words, chunks, is_word, mix, words
 
 # Frequent function words of English, German, French, Spanish and Serbian (both scripts); articles by themselves.
 COMMON = (
@@ -87,28 +89,62 @@ def _pairs(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return at, k[at] * n + k[at + 1]
 
 
+def _streams(w: Words) -> tuple[np.ndarray, list[bytes]]:
+    """Per text a hash of its words in order, and the numbers of its listed words, with a mark where others stand between."""
+    k, n = _which(w), len(_listed()[0])
+    k = np.where(k < 0, n, k)
+    keep = k < n
+    keep[1:] |= (k[:-1] < n) & (w.text[1:] == w.text[:-1])
+    place = np.arange(len(k)) - w.first[w.text]
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(w.hash + mix(place + 1)))))
+    at = np.searchsorted(w.text[keep], np.arange(len(w.first)))
+    codes = k[keep].astype(np.uint16)
+    return (sums[w.first[1:]] - sums[w.first[:-1]]).view(np.int64), [codes[x:y].tobytes() for x, y in zip(at[:-1], at[1:])]
+
+
 def usual_pairs(docs: DataFrame) -> np.ndarray:
-    """For every pair of listed words the log of how usually one follows the other, counted over all documents."""
+    """How often each pair of listed words (as in _pairs), then each listed word, occurs in all documents; texts of the same words count once."""
     n = len(_listed()[0])
 
-    def count(batches):
-        total = np.zeros(n * n + n, np.int64)
+    def listed(batches):
         for b in batches:
             texts = b.column(0).to_pylist()
             for s, e in chunks(texts):
-                w = words(texts[s:e])
-                k = _which(w)
-                total += np.bincount(np.concatenate((_pairs(w)[1], n * n + k[k >= 0])), minlength=n * n + n)
+                key, streams = _streams(words(texts[s:e]))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(streams, pa.binary())], ["key", "listed"])
+
+    def count(batches):
+        total = np.zeros(n * n + n, np.int64)
+        for b in batches:
+            k = np.frombuffer(b"\xff\xff".join(b.column(0).to_pylist()), np.uint16).astype(np.int64)
+            both = (k[:-1] < n) & (k[1:] < n)
+            total += np.bincount(np.concatenate(((k[:-1] * n + k[1:])[both], n * n + k[k < n])), minlength=n * n + n)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["pair", "n"])
 
-    # at most n * n + n rows, whatever the input
-    rows = docs.select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg({"n": "sum"}).collect()
+    # only the listed words of a text are shuffled; in the end at most n * n + n rows, whatever the input
+    once = docs.select("text").mapInArrow(listed, "key long, listed binary").where("length(listed) > 0").dropDuplicates(["key"])
     total = np.zeros(n * n + n)
-    for pair, c in rows:
+    for pair, c in once.select("listed").mapInArrow(count, "pair long, n long").groupBy("pair").agg({"n": "sum"}).collect():
         total[pair] = c
-    single = np.maximum(total[n * n :], 1)
-    return np.log((total[: n * n].reshape(n, n) + 0.01) / np.sqrt(np.outer(single, single))).ravel()
+    return total
+
+
+def _usualness(w: Words, usual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the first word, log of how usually the second follows it in other texts) of the adjacent listed words that others tell about."""
+    n = len(_listed()[0])
+    at, pair = _pairs(w)
+    k = _which(w)
+    listed = np.flatnonzero(k >= 0)
+    _, which, own = np.unique(w.text[listed] * n + k[listed], return_inverse=True, return_counts=True)
+    single = np.zeros(len(k))
+    single[listed] = usual[n * n + k[listed]] - own[which]
+    _, which, own = np.unique(w.text[at] * n * n + pair, return_inverse=True, return_counts=True)
+    together = np.maximum(usual[pair] - own[which], 0)
+    likely = np.sqrt(np.maximum(single[at], 1) * np.maximum(single[at + 1], 1))
+    # a pair never seen says something only if a usual one would have been
+    told = (together > 0) | (likely * np.exp(LEAST_USUAL) >= 1)
+    return at[told], np.log((together + 0.01) / likely)[told]
 
 
 def measure(texts: list[str | None], usual: np.ndarray | None = None) -> dict[str, np.ndarray]:
@@ -181,11 +217,11 @@ def measure(texts: list[str | None], usual: np.ndarray | None = None) -> dict[st
     prose = wordy & (share >= LEAST_COMMON) & ((own >= LEAST_COMMON / 2) | (some <= 8) & ~listed) & ~((aligned | listed) & (own < LEAST_COMMON))
     if usual is not None and L:
         block = np.cumsum(~continues) - 1
-        at, pair = _pairs(w)
+        at, score = _usualness(w, usual)
         inner = block[wl[at]] == block[wl[at + 1]]
-        at, pair = at[inner], pair[inner]
+        at, score = at[inner], score[inner]
         pairs_n = np.bincount(block[wl[at]], minlength=block[-1] + 1)
-        odd = (pairs_n >= 2) & (np.bincount(block[wl[at]], usual[pair], block[-1] + 1) < LEAST_USUAL * pairs_n)
+        odd = (pairs_n >= 2) & (np.bincount(block[wl[at]], score, block[-1] + 1) < LEAST_USUAL * pairs_n)
         prose &= ~odd[block]
     of_text = lambda x: np.bincount(text, x, n)
     solid_n, lines_n, words_n = of_text(full), of_text((~blank).astype(float)), of_text(some)

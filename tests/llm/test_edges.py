@@ -33,3 +33,11 @@ def test_a_third_are_copies(spark):
     n = vector_search.neighbours(df.select("id", "model", "embedding"), 5, 0.9, 4)
     mine = {r["neighbour"] for r in n.where("id = 'c0499'").collect()}
     assert mine == {f"c{i:04}" for i in range(5)} and {r["neighbour"] for r in n.where("id = 'c0001'").collect()} == {f"c{i:04}" for i in (0, 2, 3, 4, 5)}
+
+
+def test_copies_of_random_words_are_not_prose(spark):
+    odd = " ".join(reversed(PROSE.replace(",", "").replace(". ", "").split())) + "."
+    rows = [(i, f"Name{i} came. {PROSE}Then Place{i} followed.") for i in range(400)] + [(1000 + i, odd if i % 2 else odd.upper() + "\n") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r[0] for r in quality.lacking_prose(df).collect()} == {i for i, _ in rows if i >= 1000}
+    assert quality.lacking_prose(spark.createDataFrame([(1, PROSE * 3), (2, PROSE * 3)], df.schema)).count() == 0
