@@ -280,7 +280,7 @@ def url_normalize(spark, d):
 @_query(r"""SELECT DISTINCT id, epoch_us(try_cast(replace(rtrim(trim(published_at), 'Z'), 'T', ' ') AS TIMESTAMP)) AS us FROM articles
 WHERE regexp_matches(trim(published_at), '^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(\.\d{1,6})?Z?$') AND trim(published_at) >= '0001-01-02' AND try_cast(replace(rtrim(trim(published_at), 'Z'), 'T', ' ') AS TIMESTAMP) IS NOT NULL""")
 def datetime_fallbacks(spark, d):
-    """Date and time layouts tried in turn, without zones."""
+    """Date and time layouts tried in turn, without zones; datetime_fallbacks_all has all layouts."""
     t = F.trim("published_at")
     shape = t.rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(\.\d{1,6})?Z?$") & (t >= "0001-01-02")
     plain = F.regexp_replace(F.regexp_replace(t, "Z$", ""), "T", " ")
@@ -289,6 +289,26 @@ def datetime_fallbacks(spark, d):
     return table(spark, d, "articles").where(shape).select("id", F.unix_micros(ts).alias("us")).where("us IS NOT NULL").distinct()
 
 
+@_query(r"""WITH t AS (SELECT DISTINCT id, trim(published_at) AS t FROM articles),
+p AS (SELECT id, regexp_extract(t, '^(\d{4}-\d{2}-\d{2})[ T](\d{2}:\d{2}:\d{2})', 1) || ' ' || regexp_extract(t, '^(\d{4}-\d{2}-\d{2})[ T](\d{2}:\d{2}:\d{2})', 2) AS local,
+regexp_extract(t, '[.,](\d+)', 1) AS f, regexp_extract(t, '([+-]\d{2}:\d{2})$', 1) AS z FROM t
+WHERE regexp_matches(t, '^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}:\d{2}([.,]\d+)?Z?|T\d{2}:\d{2}:\d{2}([.,]\d+)?[+-]\d{2}:\d{2})$') AND t >= '0001-01-02'),
+o AS (SELECT *, CASE WHEN z = '' THEN 0 ELSE z[2:3]::BIGINT END AS h, CASE WHEN z = '' THEN 0 ELSE z[5:6]::BIGINT END AS m FROM p)
+SELECT id, epoch_us(try_cast(local AS TIMESTAMP)) + rpad(f[1:6], 6, '0')::BIGINT - CASE WHEN z[1:1] = '-' THEN -1 ELSE 1 END * (h * 60 + m) * 60000000 AS us
+FROM o WHERE try_cast(local AS TIMESTAMP) IS NOT NULL AND h <= 24 AND m <= 60 GROUP BY ALL""")
+def datetime_fallbacks_all(spark, d):
+    """All fallback layouts: fractions of any length, cut to microseconds, and after a T also offsets, which are applied; local values are UTC."""
+    t = F.trim("published_at")
+    clock = r"\d{2}:\d{2}:\d{2}([.,]\d+)?"
+    shape = t.rlike(rf"^\d{{4}}-\d{{2}}-\d{{2}}([ T]{clock}Z?|T{clock}[+-]\d{{2}}:\d{{2}})\z") & (t >= "0001-01-02")
+    offset = F.regexp_extract(t, r"([+-]\d{2}:\d{2})\z", 1)
+    hours, minutes = (F.coalesce(F.substring(offset, k, 2).try_cast("long"), F.lit(0)) for k in (2, 5))
+    fraction = F.rpad(F.substring(F.regexp_extract(t, r"[.,](\d+)", 1), 1, 6), 6, "0").cast("long")
+    local = F.concat(F.substring(t, 1, 10), F.lit(" "), F.substring(t, 12, 8), F.lit("+00:00")).try_cast("timestamp")
+    us = F.unix_micros(local) + fraction - F.when(offset.startswith("-"), -1).otherwise(1) * (hours * 60 + minutes) * 60_000_000
+    return table(spark, d, "articles").where(shape & (hours <= 24) & (minutes <= 60)).select("id", us.alias("us")).where("us IS NOT NULL").distinct()
+
+
 @_query()
 def canonical_records(spark, d):
     """The flat interchange record of every row; times rendered as text."""

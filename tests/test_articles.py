@@ -1,9 +1,10 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from pressmill.operators import articles as A
+from pressmill.plans import evaluation_queries
 
 
 def test_mapping_faults():
@@ -30,3 +31,17 @@ def test_articles(spark, tmp_path):
     c = spark.createDataFrame([("12812abd-31d6-4e36-a812-584bd0461200", "2020-01-01T00:00:00Z"), ("no", "x")], "id string, created_at string")
     got = A.from_canonical(c).collect()
     assert [r["bad"] for r in got] == [False, True] and got[0]["created_at"] == datetime(2020, 1, 1) and got[1]["created_at"] is not None
+
+
+def test_datetime_fallbacks_take_offsets_and_long_fractions(spark, tmp_path):
+    values = {
+        "a": "2016-06-09T17:31:54+02:00", "b": "2019-01-24T22:11:35.732084150Z", "c": " 2019-01-24T22:11:35.5-05:30 ", "d": "2016-02-07T07:44:29", "e": "2018-09-07 19:46:52.625395", "f": "2018-09-07 19:46:52.1234567",
+        "g": "2019-01-24T22:11:35+25:00", "h": "2019-02-30T22:11:35Z", "i": "2018-05-04 01:19:24 +0530", "j": "2018-05-04", "k": None, "l": "2018-05-04 01:19:24+05:30", "m": "2018-05-04T24:19:24Z",
+    }
+    spark.createDataFrame(list(values.items()), "id string, published_at string").write.parquet(str(tmp_path / "articles.parquet"))
+    got = {r["id"]: r["us"] for r in evaluation_queries.datetime_fallbacks_all(spark, str(tmp_path)).collect()}
+    us = lambda *a: (datetime(*a) - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+    assert got == {
+        "a": us(2016, 6, 9, 15, 31, 54), "b": us(2019, 1, 24, 22, 11, 35, 732084), "c": us(2019, 1, 25, 3, 41, 35, 500000), "d": us(2016, 2, 7, 7, 44, 29),
+        "e": us(2018, 9, 7, 19, 46, 52, 625395), "f": us(2018, 9, 7, 19, 46, 52, 123456),
+    }
