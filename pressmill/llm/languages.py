@@ -7,8 +7,10 @@ bits of their words. A sentence takes another language than its line only if tha
 of most of its words. Confidence is the posterior under a temperature fitted on held-out lines; a line is rejected if its
 confidence is under LEAST_CONFIDENCE, or if its bits per character are beyond what held-out lines of the language need.
 
-The models are fitted on a bounded sample: about SAMPLE labelled documents of each language, the ones with the smallest hash
-of their id. Labels may be wrong and documents mixed: lines are relabelled by a first fit before the second one.
+The models are fitted on a bounded sample: about SAMPLE different labelled texts of each language and script, the ones with the
+smallest hash. Labels may be wrong and documents mixed: lines are relabelled by a first fit before the second one. A script is
+modelled from LEAST_WORDS words of LEAST_DOCS documents on (a language's main script from one), whatever its share, unless
+another language explains its lines.
 
 Defined results: null and empty contents have no lines; a line without words with letters has no language; repeated rows of an
 id count once, rows without an id not at all; labels that name no supported language train nothing. Without any usable label there is no model and no row.
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from pressmill.llm.text_arrays import Words, chunks, mix, words
 
 ORDER, SAMPLE, ROUNDS, STAY, LEAST_CONFIDENCE = 5, 400, 2, 10.0, 0.5
+LEAST_WORDS, LEAST_DOCS, MUCH_BETTER = 100, 3, 0.85
 # How labels name each language, by English or own name or ISO code.
 LABELS = {
     "english": "english en eng",
@@ -203,8 +206,44 @@ def _confidence(total: np.ndarray, classes: np.ndarray, n: int, temperature: flo
     return by / by.sum(0)
 
 
-def fit(labelled: list[tuple[str, str]]) -> LanguageModels | None:
-    """Models from (language, text) rows."""
+def _models(t: Letters, word: np.ndarray, li: np.ndarray, alpha: np.ndarray, language: np.ndarray, script: np.ndarray, doc: np.ndarray, weight: np.ndarray, held: np.ndarray) -> dict[tuple[int, bool], CharacterModel]:
+    """A model of each (language, script) kind of lines, however small its share of the language.
+
+    Of each language the kind that stands for most documents has one. Another needs lines of several documents, and has none
+    if some model of another language predicts half of them about as well as one of the other half: their labels are wrong.
+    """
+    size = int(t.word[-1]) + 1
+    characters = np.bincount(t.word, t.depth > 0, size)[word]
+    made = lambda pick: CharacterModel(t, np.bincount(word[pick], minlength=size))
+    kinds = {}
+    for a, cyr in set(zip(language.tolist(), script.tolist())):
+        own = (language == a) & (script == cyr) & ~held
+        pick = own[li] & alpha
+        if pick.sum() >= LEAST_WORDS:
+            docs = np.unique(doc[own])
+            kinds[a, cyr] = weight[docs].sum(), docs, pick
+    total = np.bincount([a for a, _ in kinds], [n for n, _, _ in kinds.values()]) if kinds else []
+    # wrong labels are a smaller share of their language than right ones
+    order = sorted(kinds, key=lambda k: (-kinds[k][0] / total[k[0]], k))
+    main = {a: (a, cyr) for a, cyr in reversed(order)}
+    out = {k: made(kinds[k][2]) for k in order if main[k[0]] == k}
+    for k in order:
+        if k in out or len(kinds[k][1]) < LEAST_DOCS:
+            continue
+        _, docs, pick = kinds[k]
+        half = np.isin(doc, docs[::2])[li]
+        test = pick & ~half
+        if not test.any() or not (pick & half).any():
+            continue
+        rate = lambda m: m.bits(t, size)[word[test]].sum() / characters[test].sum()  # noqa: B023, E731
+        others = [rate(m) for x, m in out.items() if x[0] != k[0]]
+        if not others or rate(made(pick & half)) < MUCH_BETTER * min(others):
+            out[k] = made(pick)
+    return dict(sorted(out.items()))
+
+
+def fit(labelled: list[tuple[str, str]], stands_for: list[float] | None = None) -> LanguageModels | None:
+    """Models from (language, text) rows; stands_for: how many documents each row was sampled from, 1 if not given."""
     languages = [x for x in LABELS if any(a == x for a, _ in labelled)]
     if not languages:
         return None
@@ -214,6 +253,9 @@ def fit(labelled: list[tuple[str, str]]) -> LanguageModels | None:
     given = np.array([languages.index(a) for a, _ in labelled])[w.text]
     language = np.zeros(len(lines), np.int64)
     language[li] = given
+    doc = np.zeros(len(lines), np.int64)
+    doc[li] = w.text
+    weight = np.ones(len(labelled)) if stands_for is None else np.array(stands_for)
     cyrillic = np.concatenate(([0], np.cumsum((w.codes >= 0x400) & (w.codes < 0x530))))
     script = np.bincount(li, cyrillic[w.end] - cyrillic[w.start], len(lines)) * 2 > np.bincount(li, w.end - w.start, len(lines))
     u, at, word = np.unique(w.hash, return_index=True, return_inverse=True)
@@ -221,15 +263,8 @@ def fit(labelled: list[tuple[str, str]]) -> LanguageModels | None:
     held = (mix(lines.astype(np.uint64)) % np.uint64(8)) == 0
     out = None
     for r in range(ROUNDS):
-        kinds = sorted(set(zip(language.tolist(), script.tolist())))
-        models, classes = [], []
-        for a, cyr in kinds:
-            own = (language == a) & (script == cyr) & ~held
-            pick = own[li] & alpha
-            # a script in which a language is hardly written comes from wrong labels
-            if pick.sum() >= 100 and own.sum() >= 0.1 * ((language == a) & ~held).sum():
-                models.append(CharacterModel(t, np.bincount(word[pick], minlength=len(u))))
-                classes.append(a)
+        found = _models(t, word, li, alpha, language, script, doc, weight, held)
+        models, classes = list(found.values()), [a for a, _ in found]
         if not models:
             return None
         out = LanguageModels(languages, np.array(classes), models)
@@ -254,15 +289,20 @@ def fit(labelled: list[tuple[str, str]]) -> LanguageModels | None:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModels | None:
-    """Models from docs(id, label, content): about ``sample`` documents of each language that a label names."""
+    """Models from docs(id, label, content): about ``sample`` different texts of each language that a label names and each script."""
     named = docs.select("id", named_language(F.col("label")).alias("language"), "content").where("language IS NOT NULL AND content IS NOT NULL")
-    counts = {r["language"]: r["n"] for r in named.groupBy("language").agg(F.count("*").alias("n")).collect()}
+    letters = F.length(F.regexp_replace("content", r"[^\p{L}]+", ""))
+    cyrillic = F.length(F.regexp_replace("content", r"[^\u0400-\u052f]+", "")) * 2 > letters
+    # copies have the same hash and are taken once
+    named = named.select("language", "content", F.xxhash64("content").alias("hash"), cyrillic.cast("int").alias("script"))
+    counts = {(r["language"], r["script"]): r["n"] for r in named.groupBy("language", "script").agg(F.approx_count_distinct("hash").alias("n")).collect()}
     if not counts:
         return None
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample / n))])
-    some = named.where(F.pmod(F.xxhash64("id"), F.lit(10**15)) < share[F.col("language")] * 10.0**15)
-    rows = some.select("id", "language", "content").orderBy(F.xxhash64("id"), "id").limit(4 * sample * len(LABELS)).collect()
-    return fit(list({r["id"]: (r["language"], r["content"]) for r in rows}.values()))
+    shares = {k: min(1.0, sample / n) for k, n in counts.items()}
+    share = F.create_map(*[F.lit(x) for (a, s), v in shares.items() for x in (f"{a} {s}", v)])
+    some = named.where(F.pmod("hash", F.lit(10**15)) < share[F.concat_ws(" ", "language", "script")] * 10.0**15).dropDuplicates(["language", "hash"])
+    rows = some.select("hash", "language", "script", "content").orderBy("hash", "language").limit(4 * sample * len(shares)).collect()
+    return fit([(r["language"], r["content"]) for r in rows], [1 / shares[r["language"], r["script"]] for r in rows])
 
 
 def language_of_lines(docs: DataFrame, models: LanguageModels | None, least_words: int = 1) -> DataFrame:

@@ -41,3 +41,19 @@ def test_copies_of_random_words_are_not_prose(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r[0] for r in quality.lacking_prose(df).collect()} == {i for i, _ in rows if i >= 1000}
     assert quality.lacking_prose(spark.createDataFrame([(1, PROSE * 3), (2, PROSE * 3)], df.schema)).count() == 0
+
+
+def test_a_rare_script_is_modelled(spark):
+    latin = "savet je rekao u petak da novi most neće biti otvoren pre leta jer još uvek nema novca a ljudi ga traže već dugo".split()
+    cyrillic = "савет је рекао у петак да нови мост неће бити отворен пре лета јер још увек нема новца а људи га траже већ дуго".split()
+    english = PROSE.lower().replace(",", "").replace(".", "").split()
+    turned = lambda w, i: " ".join(w[i % len(w) :] + w[: i % len(w)]) + "\n" + " ".join(w[(i * 7) % len(w) :] + w[: (i * 5) % len(w)])
+    rows = [(f"l{i}", "sr", turned(latin, i) + "\n" + turned(latin, i + 3)) for i in range(24)] + [(f"e{i}", "en", turned(english, i)) for i in range(20)]
+    rows += [(f"k{i:03}", "sr", "\n".join(turned(latin, j) for j in range(20))) for i in range(100)]
+    rows += [(f"c{i}", "sr", turned(cyrillic, i)) for i in range(8)] + [(f"w{i}", "en", turned(cyrillic, i + 10)) for i in range(3)] + [("m", "sr", turned(english, 2))]
+    df = spark.createDataFrame(rows, "id string, label string, content string")
+    models = languages.train(df)
+    kinds = [models.languages[c] for c in models.classes]
+    assert sorted(kinds) == ["english", "serbian", "serbian"]
+    got = {(r["id"], r["true_language"]) for r in languages.mislabelled_lines(df, models).collect()}
+    assert got == {("w0", "serbian"), ("w1", "serbian"), ("w2", "serbian"), ("m", "english")}
