@@ -1,9 +1,9 @@
 """Statistics of each document's text that tell running prose from lists, tables and junk.
 
-Layout: runs of lines with the same number of the same delimiter (vertical alignment), periodic indentation and the
-autocorrelation of line lengths mark tables, lists, code and encoded data. Content: shares of letters, symbols and
-digits, word lengths, lines that end in punctuation, and common words of the supported languages over a line and its
-neighbours (sentences may be wrapped anywhere). A line counts as prose if it is made of words, common ones other than articles
+Layout: runs of lines with the same number of the same delimiter (vertical alignment) and list marks mark tables and lists;
+periodic indentation, the autocorrelation of line lengths and lines that end in punctuation are only reported. Content: shares
+of letters and symbols, word lengths, and common words of the supported languages over a line and its neighbours (sentences
+may be wrapped anywhere). A line counts as prose if it is made of words, common ones other than articles
 among them, and isn't part of an aligned run without them. Words thrown together at random have common words enough, but not
 in a usual order: how usually one follows the other is counted over the whole collection for pairs of the listed words
 (so the counts have a fixed bound), and a block whose pairs are unusual isn't prose. Texts of the same words count once and a
