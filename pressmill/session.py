@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+log = logging.getLogger(__name__)
+FOLDER = "spark.checkpoint.dir"
+_written: dict[str, SparkSession] = {}
+_own: list[str] = []
 
 
-def build_session(app: str = "pressmill", master: str | None = None, partitions: int = 8) -> SparkSession:
-    """A session for local work; a cluster brings its own."""
+def build_session(app: str = "pressmill", master: str | None = None, partitions: int = 8, folder: str | None = None) -> SparkSession:
+    """A session for local work; a cluster brings its own. ``folder`` is where intermediate tables go."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+    if folder:
+        b = b.config(FOLDER, folder)
     return (
         b.config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -26,36 +32,47 @@ def build_session(app: str = "pressmill", master: str | None = None, partitions:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir), or a temporary one if the session names none."""
-    own = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not own:
-        own = tempfile.mkdtemp(prefix="pressmill-")
-        spark.conf.set("spark.checkpoint.dir", own)
-    return own.rstrip("/")
+    """The folder all executors share: spark.checkpoint.dir of the session, or its context's checkpoint folder.
+
+    A session that names none gets a temporary folder if it runs within one machine; on a cluster that is an error.
+    """
+    context = spark.sparkContext
+    named = context.getConf().get(FOLDER) or spark.conf.get(FOLDER, None) or context.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError(f"{FOLDER} must name a folder that all executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="pressmill-"))
+    return f"file://{_own[0]}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     The result survives lost executors, is computed once, and has a known size, so that the planner's broadcast
-    threshold is checked against real bytes. Files are removed when the driver ends, or by ``release``.
+    threshold is checked against real bytes. Files are removed by ``release``, at the latest when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/pressmill-{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._pressmill_path = path
+    return out
 
 
-def release() -> None:
-    """Delete every table that materialize has written."""
-    while _written:
-        spark, path = _written.pop()
+def release(*tables: DataFrame) -> None:
+    """Delete what materialize has written: the given tables, which nothing may read any more, or all of them."""
+    for path in [t._pressmill_path for t in tables] if tables else list(_written):
+        spark = _written.pop(path, None)
+        if spark is None:
+            continue
         try:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:
-            pass
+        except Exception as e:  # the session may have ended
+            log.warning("could not delete %s: %s", path, e)
 
 
 atexit.register(release)
