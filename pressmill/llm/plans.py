@@ -21,8 +21,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """How many blocks of each power of two of lines each source repeats, and in how many places."""
-    return site_lines.repeated_blocks(_sourced(spark, d)).groupBy("src", "length").agg(F.count_distinct("cls").alias("blocks"), F.count("*").alias("places"))
+    """For each length up to eight lines: how many blocks of that many lines each source repeats, and in how many places."""
+    return site_lines.count_blocks(_sourced(spark, d))
 
 
 def p1_cleaned(spark: SparkSession, d: str) -> DataFrame:
@@ -133,6 +133,11 @@ def oracle_sql() -> dict[str, str]:
     grams = "SELECT {0}, list_aggregate(w[i:i + 11], 'string_agg', ' ') AS g FROM (SELECT {0}, {1} AS w FROM {2}), LATERAL (SELECT unnest(range(1, len(w) - 10)) AS i)"
     return {
         "p1_found": _LINES + "SELECT id, line_no FROM k JOIN f USING (s, k)",
+        "p1_blocks": _LINES
+        + """, w AS (SELECT id, s, list(nullif(k, '') ORDER BY line_no) AS w FROM k GROUP BY id, s),
+b AS (SELECT id, s, m AS length, w[i:i + m - 1] AS block FROM w, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i), LATERAL (SELECT unnest(range(1, 9)) AS m) WHERE i + m - 1 <= len(w)),
+g AS (SELECT s, length, block, count(*) AS n FROM b WHERE len(list_filter(block, lambda x: x IS NULL)) = 0 GROUP BY ALL HAVING count(DISTINCT id) >= 5)
+SELECT s AS source, length::INT AS length, count(*) AS blocks, sum(n)::BIGINT AS places FROM g GROUP BY ALL""",
         "p1_cleaned": _LINES
         + """, g AS (SELECT k.id, k.line_no, k.line, f.k IS NOT NULL AS gone FROM (SELECT k.*, l.line FROM k JOIN l USING (id, s, line_no)) k LEFT JOIN f USING (s, k)),
 c AS (SELECT id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone), '') AS content, count(*) FILTER (gone) AS removed FROM g GROUP BY id)

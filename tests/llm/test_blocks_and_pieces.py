@@ -42,6 +42,46 @@ def test_lines_equal_brute_force(spark):
     assert site_lines.covered_lines(df.limit(0)).count() == 0
 
 
+def test_blocks_across_parts(spark, monkeypatch):
+    """Parts of a few places each: most blocks begin in one part and end in another; a third of the documents are copies."""
+    monkeypatch.setattr(site_lines, "PART", 25)
+    rng = random.Random(5)
+    rows = [(f"{i:03}", "s" if i % 3 else "t", "a\nb\nc\nd\ne\nf\ng" if i % 3 == 1 else "\n".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))) for i in range(90)]
+    df = spark.createDataFrame(rows, "id string, source string, content string")
+    for size in (1, 2, 5):
+        assert {tuple(r) for r in site_lines.covered_lines(df, 4, size).collect()} == covered(rows, 4, size), size
+    want = defaultdict(lambda: defaultdict(set))
+    for i, s, c in rows:
+        lines = c.split("\n")
+        for m in range(1, 9):
+            for k in range(len(lines) - m + 1):
+                want[s, m][tuple(lines[k : k + m])].add((i, k))
+    often = {k: [at for at in b.values() if len({i for i, _ in at}) >= 4] for k, b in want.items()}
+    got = {(r["source"], r["length"]): (r["blocks"], r["places"]) for r in site_lines.count_blocks(df, 4).collect()}
+    assert got == {k: (len(b), sum(map(len, b))) for k, b in often.items() if b}
+
+
+def test_suffix_array(spark):
+    rows = [("1", "s", "b\na\nb\na"), ("2", "s", "a\nb\n\nb"), ("3", "t", "a")]
+    seq = site_lines.line_sequences(spark.createDataFrame(rows, "id string, source string, content string"))
+    order = site_lines.suffix_array(seq, 3).toPandas()
+    keys = [order[f"k{j}"].astype("Int64") for j in range(3)]
+    valid = [k.notna().to_numpy() for k in keys]
+    size, common = site_lines.prefixes(order["src"].to_numpy(), [k.fillna(0).to_numpy("int64") for k in keys], valid)
+    docs = {r["doc"]: r["lines"] for r in seq.collect()}
+
+    def suffix(k):
+        at = int(order["line_no"][k])
+        rest = docs[order["doc"][k]][at : at + 3]
+        return rest[: rest.index(None)] if None in rest else rest
+
+    assert len(order) == 8 and size.tolist() == [len(suffix(k)) for k in range(8)]
+    for k in range(1, 8):
+        a, b = suffix(k - 1), suffix(k)
+        same = 0 if order["src"][k - 1] != order["src"][k] else next((j for j, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert common[k] == same and (order["src"][k - 1] != order["src"][k] or a <= b)
+
+
 def greedy_kind(text, limit):
     import re
 
