@@ -2,8 +2,8 @@
 
 Items are spread by hash over shards of about SHARD items, and packed online in each: an item goes to the fill level for
 which the sum over levels of the squared number of open containers grows least; ties go to the fullest one. The levels are
-one array of counts, an item costs a few array operations; a shard's items arrive largest first. Only ids and sizes are shuffled; a shard has a bounded
-number of items, whatever the sizes or sources are, and leaves at most the few containers open that it can't fill.
+one array of counts, an item costs a few array operations; a shard's items arrive in the order of their ids, whatever their sizes. Only ids and sizes are
+shuffled; a shard has a bounded number of items, whatever the sizes or sources are, and leaves at most the few containers open that it can't fill.
 
 Items beyond the capacity are cut into full containers and a rest that is packed like an item; no other is cut.
 
@@ -63,7 +63,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Data
     shards = max(1, -(-items.count() // shard))
 
     def fill(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["tokens", "order", "doc_id"], ascending=False)
+        g = g.sort_values("doc_id")
         size = g["tokens"].to_numpy()
         whole, rest = size // capacity, size % capacity
         packed = np.where(size <= capacity, size, rest)
@@ -80,10 +80,24 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Data
             "tokens": np.concatenate((np.full(len(owner), capacity), packed[item])).astype(np.int32), "split": np.concatenate((np.ones(len(owner), bool), size[item] > capacity)),
         })
 
-    spread = items.withColumn("order", F.xxhash64("doc_id")).withColumn("shard", F.pmod("order", F.lit(shards)).cast("int"))
+    spread = items.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
     return spread.groupBy("shard").applyInPandas(fill, PLACED)
 
 
 def containers(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """A row per container: its documents and unused tokens."""
     return placed.groupBy("shard", "container").agg(F.count("*").alias("pieces"), (F.lit(capacity) - F.sum("tokens")).alias("unused"))
+
+
+def cut_items(placed: DataFrame) -> DataFrame:
+    """(doc_id) of the items that didn't go into one container."""
+    return placed.where("part = 1").select("doc_id")
+
+
+def summary(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: containers, those filled beyond the capacity, tokens placed, and the share of the containers' room that is used."""
+    each = containers(placed, capacity)
+    return each.agg(
+        F.count("*").alias("containers"), F.count_if(F.col("unused") < 0).alias("over"), F.sum(capacity - F.col("unused")).alias("tokens"),
+        (1 - F.sum("unused") / (F.lit(capacity) * F.count("*"))).alias("used"),
+    )

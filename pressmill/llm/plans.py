@@ -43,8 +43,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
-    articles = table(spark, d, "articles")
-    return splitting.with_text(splitting.split_texts(articles), articles)
+    return splitting.split_texts(table(spark, d, "articles"), with_text=True)
+
+
+def p4_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces put together again: all within the limit and overlapping by 200, they give back the trimmed text."""
+    return splitting.rejoined(p4_pieces(spark, d)).select("id", "within", "overlapping", F.md5("text").alias("text"))
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -79,13 +83,23 @@ def _sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(_sizes(spark, d)).where("split").select("doc_id").distinct()
+    return packing.cut_items(packing.pack(_sizes(spark, d)))
 
 
 def p8_placed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(_sizes(spark, d))
 
 
+def p8_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document its placed tokens and pieces."""
+    return packing.pack(_sizes(spark, d)).groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"))
+
+
+def p8_summary(spark: SparkSession, d: str) -> DataFrame:
+    """No container is too full, no token is lost, and nine tenths of the room are used at least."""
+    return packing.summary(packing.pack(_sizes(spark, d))).select("over", "tokens", (F.col("used") >= 0.9).alias("well_used"))
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(packing.pack(_sizes(spark, d)))
 
@@ -162,6 +176,9 @@ WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL
 c AS (SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.e, y.e) AS c FROM v x JOIN v y ON x.m = y.m AND x.id <> y.id),
 r AS (SELECT a, b, c FROM c QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 5)
 SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE c >= 0.9e0""",
+        "p4_rejoined": f"SELECT DISTINCT id, true AS within, true AS overlapping, md5(regexp_replace(content, '^{WHITE}+|{WHITE}+$', '', 'g')) AS text FROM articles WHERE length(content) > 4000",
+        "p8_documents": "SELECT doc_id, strlen(text) + 1 AS tokens, ceil((strlen(text) + 1) / 4096e0)::BIGINT AS pieces FROM documents WHERE text IS NOT NULL",
+        "p8_summary": "SELECT 0::BIGINT AS over, sum(strlen(text) + 1)::BIGINT AS tokens, true AS well_used FROM documents WHERE text IS NOT NULL",
         "p8_found": "SELECT doc_id FROM documents WHERE strlen(text) + 1 > 4096",
         "p9_found": f"SELECT DISTINCT doc_id, item_id FROM ({grams.format('doc_id', words, 'documents')}) JOIN ({grams.format('item_id', words, 'bench_items')}) USING (g)",
     }

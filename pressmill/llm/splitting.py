@@ -1,17 +1,18 @@
 """Splitting oversized texts at natural boundaries, with overlap, by pointer doubling.
 
 All boundaries of a chunk of texts are laid out as one array. Each is joined (by binary search) to its farthest legal
-successor: the last boundary of the text's kind that still leaves the next piece, which begins OVERLAP characters before
-this boundary, within LIMIT. The table of successors is then squared again and again; after k squarings the first 2^k
+successor, the last boundary within LIMIT, and the table of successors is squared again and again; after k squarings the first 2^k
 greedy cuts of every text are known, so that long texts take a logarithmic number of array operations and no loop over pieces.
 
-The kind of a text is the first of paragraph, line, sentence, word between whose boundaries no trimmed unit exceeds LIMIT,
-else none. Where the overlap leaves no room for the next unit, that cut falls back to a finer kind, and inside a run without
+That is done first for each kind of boundary by itself, without overlap: a boundary with no legal successor, because the unit behind
+it exceeds LIMIT, leads to itself, and the kind of a text is the first of paragraph, line, sentence, word by whose table the
+text's beginning reaches its end; none if none does. Then for the cuts themselves, where the next piece begins OVERLAP characters
+before the boundary: where that leaves no room for the next unit, the cut falls back to a finer kind, and inside a run without
 white space to a place every LIMIT - OVERLAP characters.
 
 Defined results: texts of at most LIMIT characters (code points) and nulls yield no row; a text that is within the limit once
 trimmed is one piece; one of nothing but white space is one empty piece of kind paragraph. Repeated rows of an id yield their
-pieces once, rows without an id none. There is no shuffle but for that.
+pieces once (such rows are taken to agree), rows without an id none. There is no shuffle but for that, of pieces only.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pressmill.llm.text_arrays import chunks, code_points
 
 LIMIT, OVERLAP = 4000, 200
 KINDS = ("none", "word", "sentence", "line", "paragraph")
-PIECES = "id string, piece int, begin int, length int, boundary string"
+PIECES = "id string, piece int, begin int, length int, boundary string, text string"
 _ENDS = np.array([ord(c) for c in ".!?…"], np.uint32)
 
 
@@ -43,6 +44,15 @@ def _inside(begin: np.ndarray, end: np.ndarray, step: int) -> tuple[np.ndarray,
     return begin[run] + step * (np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + 1), run
 
 
+def squared(following: np.ndarray) -> np.ndarray:
+    """Where each place leads in the end, by doubling: a place that leads to itself stays."""
+    while True:
+        twice = following[following]
+        if (twice == following).all():
+            return following
+        following = twice
+
+
 def cut(texts: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, piece, begin, length, kind) of all pieces of the texts."""
     codes, at = code_points(texts)
@@ -58,14 +68,19 @@ def cut(texts: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[n
     gap = feeds[np.append(run_begin[1:], 0)] - feeds[run_end]
     stop = np.isin(codes[run_end - 1], _ENDS)
     rank = np.where(final | (gap >= 2), 4, np.where(gap == 1, 3, np.where(stop, 2, 1)))
-    # the kind of each text, by the boundaries of each kind alone; cuts may also fall on those of a coarser one
+    # the kind of each text: the first by whose boundaries alone its beginning leads to its end
     kind = np.full(len(texts), 4)
     for r, own in ((4, gap >= 2), (3, gap >= 1), (2, stop), (1, gap >= 0)):
-        e = np.flatnonzero(own | final)
-        b = np.concatenate(([0], e[:-1] + 1))[: len(e)]
-        long = run_end[e] - run_begin[b] > limit
+        e = np.flatnonzero(own | final)  # the runs that end a unit
+        b = np.concatenate(([0], e[:-1] + 1))[: len(e)]  # and those that begin it
+        units, home = np.arange(len(e)), doc[e]
+        opening = np.append(True, np.diff(home) > 0)[: len(e)]
+        closing = np.searchsorted(home, home, "right") - 1
+        reach = np.minimum(np.searchsorted(run_end[e], run_begin[b] + limit, "right") - 1, closing)
+        behind = np.where(reach < units, units, np.where(reach == closing, len(e), reach + 1))
+        stuck = squared(np.append(behind, len(e)))[:-1] < len(e)
         over = np.zeros(len(texts), bool)
-        over[doc[e[long]]] = True
+        over[home[opening & stuck]] = True
         kind[over & (kind == r)] = r - 1
     # boundaries in order of place; where two are more than a step apart, with places in between
     behind = np.where(np.append(False, doc[1:] == doc[:-1])[: len(doc)], np.append(0, run_end[:-1])[: len(doc)], run_begin)
@@ -115,22 +130,34 @@ def cut(texts: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[n
     return tuple(np.concatenate(x) for x in ((who, empty), (piece, z), (starts - at[who], z), (node[ends] - starts, z), (kind[who], kind[empty])))
 
 
-def split_texts(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """docs(id, content) to (id, piece, begin, length, boundary): offsets in characters of each piece of the longer texts."""
+def split_texts(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, with_text: bool = False) -> DataFrame:
+    """docs(id, content) to (id, piece, begin, length, boundary[, text]): offsets in characters, and the text, of each piece of the longer texts."""
 
     def pieces(batches):
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             for s, e in chunks(texts):
                 who, piece, begin, length, kind = cut(texts[s:e], limit, overlap)
+                text = [texts[s + w][x : x + n] for w, x, n in zip(who.tolist(), begin.tolist(), length.tolist())] if with_text else None
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(who + s)), pa.array(piece, pa.int32()), pa.array(begin, pa.int32()), pa.array(length, pa.int32()), pa.array([KINDS[k] for k in kind], pa.string())],
-                    ["id", "piece", "begin", "length", "boundary"],
-                )
-
-    return docs.where((F.char_length("content") > limit) & F.col("id").isNotNull()).select(F.col("id").cast("string"), "content").mapInArrow(pieces, PIECES).dropDuplicates(["id", "piece"])
-
-
-def with_text(pieces: DataFrame, docs: DataFrame) -> DataFrame:
-    """Adds the text of each piece."""
-    return pieces.join(docs.select("id", "content").dropDuplicates(["id"]), "id").withColumn("text", F.expr("substring(content, begin + 1, length)")).drop("content")
+                    [
+                        ids.take(pa.array(who + s)), pa.array(piece, pa.int32()), pa.array(begin, pa.int32()), pa.array(length, pa.int32()), pa.array([KINDS[k] for k in kind], pa.string()),
+                        pa.array(text, pa.string()) if with_text else pa.nulls(len(who), pa.string()),
+                    ],
+                    ["id", "piece", "begin", "length", "boundary", "text"],
+                )
+
+    long = docs.where((F.char_length("content") > limit) & F.col("id").isNotNull()).select(F.col("id").cast("string"), "content")
+    out = long.mapInArrow(pieces, PIECES)
+    return (out if with_text else out.drop("text")).dropDuplicates(["id", "piece"])
+
+
+def rejoined(pieces: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(id, within, overlapping, text) of pieces with text: whether all are within the limit and overlap as asked, and what they say without the overlaps."""
+    each = pieces.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("piece", "begin", "length", "text"))).alias("p"))
+    shared = "p[i - 2].begin + p[i - 2].length - p[i - 1].begin"
+    return each.select(
+        "id", F.expr(f"forall(p, x -> x.length <= {limit} AND x.length = char_length(x.text))").alias("within"),
+        F.expr(f"forall(sequence(1, size(p)), i -> i = 1 OR {shared} = {overlap})").alias("overlapping"),
+        F.expr(f"array_join(transform(sequence(1, size(p)), i -> if(i = 1, p[0].text, substring(p[i - 1].text, {shared} + 1))), '')").alias("text"),
+    )

@@ -119,7 +119,9 @@ def test_split_edges(spark):
     df = spark.createDataFrame([("a", "x " * 3000, 1), ("a", "x " * 3000, 1), ("b", None, 1), ("c", "short", 1), ("d", " " * 5000, 1), ("e", "é" * 4001, 1), ("f", "é" * 4000, 1)], "id string, content string, piece int")
     got = splitting.split_texts(df)
     assert {(r["id"], r["boundary"]) for r in got.collect()} == {("a", "word"), ("d", "paragraph"), ("e", "none")}
-    text = {(r["id"], r["piece"]): r["text"] for r in splitting.with_text(got, df).collect()}
+    whole = splitting.split_texts(df, with_text=True)
+    text = {(r["id"], r["piece"]): r["text"] for r in whole.collect()}
+    assert {tuple(r) for r in splitting.rejoined(whole).collect()} == {("a", True, True, ("x " * 3000).strip()), ("d", True, True, ""), ("e", True, True, "é" * 4001)}
     assert len(text["a", 0]) <= 4000 and text["a", 0][-200:] == text["a", 1][:200]
     assert splitting.split_texts(df.limit(0)).count() == 0
 
@@ -141,5 +143,7 @@ def test_packing(spark):
     assert dict(total) == {**dict(enumerate(sizes)), 3000: 1000, 3001: 800} and pieces[3000] == 3 and pieces[3001] == 2 and {pieces[i] for i in range(3000)} == {1}
     c = packing.containers(placed, 400).collect()
     assert all(0 <= r["unused"] < 400 for r in c)
-    assert {r["doc_id"] for r in placed.where("split").collect()} == {3000, 3001}
+    assert {r["doc_id"] for r in placed.where("split").collect()} == {3000, 3001} == {r[0] for r in packing.cut_items(placed).collect()}
+    s = packing.summary(placed, 400).first()
+    assert s["containers"] == len(c) and s["over"] == 0 and s["tokens"] == sum(sizes) + 1800 and s["used"] > 0.85
     assert packing.pack(spark.createDataFrame([], "doc_id long, tokens int")).count() == 0
