@@ -1,14 +1,19 @@
 """Mixed timestamp notations and zones: one UTC instant per value, or none.
 
-Every value yields an array of interpretations, one per reading order of all-digit dates (day first, month first); values
-whose reading doesn't depend on the order have the same instant in both places, impossible readings are null. A Viterbi
-pass over each source's record order then chooses the readings: a date that depends on the order is never read against
-the source's declared one, being in the other order costs ``PRIOR`` elsewhere, a change of the order between neighbours
-``SWITCH``, a step backwards in time up to ``BACK``. So a declared order always decides; without one, the sequence does.
+Every value yields the array of its interpretations, one per reading convention (``CONVENTIONS``): all-digit dates day first or month
+first, and what else can be read in two ways (a repeated or skipped local hour, an abbreviation of two zones, the unit of a count
+since 1970) in the usual or the other way. A value that doesn't depend on a convention has the same instant under both; an
+impossible reading, such as month 25, is null: no instant.
 
-The pass is exact and distributed: records are range-partitioned by (source, record order), each block is reduced to a
-2 x 2 min-plus matrix, the matrices of a source are chained (a row per block, never a row per record), and the
-blocks are then resolved in parallel with their outer states fixed. A source with a third of all rows is so many blocks.
+A Viterbi pass over each source's record order chooses among them: a reading against the source's declared order costs ``PRIOR``,
+the other way of what the rules settle ``RULE``, giving up a value that another reading explains ``NONE`` (nothing under the declared order: a date
+that doesn't exist there has no instant), a change of convention between neighbours ``SWITCH`` each, a step backwards in time up to
+``BACK``. Neighbours can save 5 at most by one reading, so a declared order or rule always prevails; where none speaks, the sequence does.
+
+The pass is exact and distributed: records are sorted by range of (source, record order) into parts of about ``PART``. What a
+source at a part's end needs of its neighbour parts is a min-plus matrix of its records there, over the conventions at its first and last one; the
+matrices of a source are chained (a row per part, never per record), then all parts are resolved in parallel with their ends
+fixed. Within a part, blocks of records go step by step side by side as arrays. A source with a third of all rows is so many parts.
 
 Defined results: null, blank, placeholder, relative or impossible values, years 0 and 1 and local values without a known
 zone give no instant; a repeated local hour means the earlier instant, a skipped one is read with the offset before the
@@ -19,19 +24,23 @@ own, all-digit dates day first.
 from __future__ import annotations
 
 import re
+from math import ceil, isqrt
 from datetime import UTC, datetime, timedelta, timezone
 from functools import lru_cache
 from zoneinfo import ZoneInfo
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressmill.session import materialize
 
-PRIOR, SWITCH, BACK = 1000.0, 1.0, 0.5
-ORDERS = ("dmy", "mdy")
+PRIOR, RULE, NONE, SWITCH, BACK, LIKE_FIRST = 1000.0, 1000.0, 100.0, 1.0, 0.5, 1e-3
+CONVENTIONS = (("dmy", "usual"), ("mdy", "usual"), ("dmy", "other"), ("mdy", "other"))
+N, YEAR, PART = len(CONVENTIONS), 3.15e13, 500_000
 
 # Month names of the supported languages, in calendar order.
 MONTH_NAMES = (
@@ -53,6 +62,9 @@ ABBREVIATIONS = {
     "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420, "AKST": -540, "AKDT": -480, "HST": -600,
 }
 
+# What some of them mean elsewhere.
+OTHERWISE = {"IST": 120, "CST": 480, "BST": 360, "EST": 600, "MST": 480}
+
 _TIME = r"(?P<h>\d{1,2})[:.](?P<mi>\d{2})(?:[:.](?P<s>\d{2})(?:[.,](?P<f>\d+))?)?(?:\s*(?P<ap>[AaPp])\.?[Mm]\.?)?(?:\s*(?:Uhr|uhr|h|часова|časova))?"
 _ZONE = r"(?:\s*(?P<off>[+-]\d{2}:?\d{2}|[+-]\d{2})|\s*(?P<abbr>[A-Z]{1,5})(?P<aoff>[+-]\d{1,2}(?::?\d{2})?)?)?(?:\s*\[(?P<zone>[A-Za-z_+\-/0-9]+)\])?(?:\s*\([A-Za-z ]+\))?"
 _JOIN = r"(?:T|t|[\s,.]+(?:(?:à|at|um|u|у|a\s+las|-)\s+)?)"
@@ -82,8 +94,8 @@ def _minutes(text: str) -> int | None:
     return sign * (60 * hours + minutes) if hours <= 18 and minutes < 60 else None
 
 
-def _instant(y: int, mo: int, d: int, g: dict, home: str | None) -> int | None:
-    """Microseconds since 1970 of one reading, or None."""
+def _instant(y: int, mo: int, d: int, g: dict, home: str | None, other: bool) -> int | None:
+    """Microseconds since 1970 of one reading, in the usual or the other way, or None."""
     h, mi, s = int(g.get("h") or 0), int(g.get("mi") or 0), int(g.get("s") or 0)
     if half := g.get("ap"):
         if not 1 <= h <= 12:
@@ -100,6 +112,7 @@ def _instant(y: int, mo: int, d: int, g: dict, home: str | None) -> int | None:
     elif g.get("abbr"):
         if (base := ABBREVIATIONS.get(g["abbr"])) is None:
             return None
+        base = OTHERWISE.get(g["abbr"], base) if other else base
         more = _minutes(g["aoff"]) if g.get("aoff") else 0
         if more is None:
             return None
@@ -109,23 +122,24 @@ def _instant(y: int, mo: int, d: int, g: dict, home: str | None) -> int | None:
         if tz is None:
             return None
     try:
-        t = datetime(y, mo, d, h, mi, s, us, tzinfo=tz) - _EPOCH
+        t = datetime(y, mo, d, h, mi, s, us, tzinfo=tz, fold=int(other)) - _EPOCH
     except (ValueError, OverflowError):
         return None
     return (t.days * 86_400 + t.seconds) * 1_000_000 + t.microseconds
 
 
-def interpretations(value: str | None, home: str | None) -> tuple[int | None, int | None]:
-    """The instants of a value read day first and month first."""
+def interpretations(value: str | None, home: str | None) -> list[int | None]:
+    """The instants of a value under each of CONVENTIONS."""
     v = (value or "").strip()
     if not v:
-        return None, None
+        return [None] * N
     if v.isdigit() and v.isascii() and len(v) != 8 and not (len(v) == 14 and v[:2] in ("19", "20")):
-        for longest, per in ((11, 1_000_000), (14, 1_000), (17, 1), (20, 0)):
+        units = (1_000_000_000, 1_000_000, 1_000, 1)  # nanoseconds of seconds, milliseconds, microseconds, nanoseconds
+        for k, longest in enumerate((11, 14, 17, 20)):
             if 8 < len(v) <= longest:
-                t = int(v) * per if per else int(v) // 1000
-                return t, t
-        return None, None
+                usual, other = int(v) * units[k] // 1000, int(v) * units[min(k + 1, 3)] // 1000
+                return [usual, usual, other, other]
+        return [None] * N
     for k, form in enumerate(_FORMS):
         if not (m := form.match(v)):
             continue
@@ -133,111 +147,171 @@ def interpretations(value: str | None, home: str | None) -> tuple[int | None, in
         y = int(g["y"])
         if k == 1:
             a, b = int(g["a"]), int(g["b"])
-            return _instant(y, b, a, g, home), _instant(y, a, b, g, home)
+            return [_instant(y, mo, d, g, home, other) for other in (False, True) for mo, d in ((b, a), (a, b))]
         mo = MONTHS.get(g["name"].lower()) if "name" in g else int(g["mo"])
         if mo is None:
             continue
-        t = _instant(y, mo, int(g["d"]), g, home)
-        return t, t
-    return None, None
-
-
-def _step(p: tuple, q: tuple, a: int, b: int) -> float:
-    """Cost of going from reading a of record p to reading b of record q."""
-    if p[a] is None or q[b] is None:
-        return np.inf
-    back = p[a] - q[b]
-    return SWITCH * (a != b) + (BACK * min(1.0, back / 3.15e13) if back > 0 else 0.0)
-
-
-def _emission(r: tuple, declared: int) -> list[float]:
-    return [np.inf if r[k] is None else PRIOR * (declared >= 0 and declared != k) for k in (0, 1)]
-
-
-def _rows(g: pd.DataFrame) -> list[tuple]:
-    none = lambda x: None if x is pd.NA or x != x else int(x)
-    return [(none(a), none(b)) for a, b in zip(g["us0"].astype(object), g["us1"].astype(object))]
-
-
-def _forward(rows: list[tuple], declared: int, start: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
-    """Costs at the last record from the start costs at the first, and the way back."""
-    cost, back = list(start), []
-    for p, q in zip(rows, rows[1:]):
-        emit, best, came = _emission(q, declared), [np.inf, np.inf], [0, 0]
-        for b in (0, 1):
-            if emit[b] < np.inf:
-                options = [cost[a] + _step(p, q, a, b) if cost[a] < np.inf else np.inf for a in (0, 1)]
-                came[b] = int(options[1] < options[0])
-                best[b] = options[came[b]] + emit[b]
-        cost = best
-        back.append(came)
-    return np.array(cost), back
-
-
-def _summary(g: pd.DataFrame) -> pd.DataFrame:
-    rows, declared = _rows(g := g.sort_values("seq")), int(g["declared"].iloc[0])
-    emit = _emission(rows[0], declared)
-    m = []
-    for a in (0, 1):
-        start = np.array([np.inf, np.inf])
-        start[a] = emit[a]
-        m += list(_forward(rows, declared, start)[0])
-    first, last = rows[0], rows[-1]
-    return pd.DataFrame([[g["src"].iloc[0], g["block"].iloc[0], first[0], first[1], last[0], last[1], *m]], columns=[c.split()[0] for c in _SUMMARY.split(", ")])
-
-
-_SUMMARY = "src string, block long, f0 long, f1 long, l0 long, l1 long, m00 double, m01 double, m10 double, m11 double"
-
-
-def _chain(g: pd.DataFrame) -> pd.DataFrame:
-    """Chooses the readings of each block's first and last record; a row per block."""
-    g = g.sort_values("block")
-    none = lambda x: None if x is pd.NA or x != x else int(x)
-    firsts = [(none(a), none(b)) for a, b in zip(g["f0"].astype(object), g["f1"].astype(object))]
-    lasts = [(none(a), none(b)) for a, b in zip(g["l0"].astype(object), g["l1"].astype(object))]
-    cost, ways = None, []
-    for k, m in enumerate(g[["m00", "m01", "m10", "m11"]].to_numpy().reshape(-1, 2, 2)):
-        enter, came = [0.0, 0.0], [0, 0]
-        if cost is not None:
-            for b in (0, 1):
-                o = [cost[a] + _step(lasts[k - 1], firsts[k], a, b) if cost[a] < np.inf and firsts[k][b] is not None else np.inf for a in (0, 1)]
-                came[b] = int(o[1] < o[0])
-                enter[b] = o[came[b]]
-        new, via = [np.inf, np.inf], [0, 0]
-        for b in (0, 1):
-            o = [enter[a] + m[a, b] for a in (0, 1)]
-            via[b] = int(o[1] < o[0])
-            new[b] = o[via[b]]
-        ways.append((came, via))
-        cost = new
-    state, out = int(cost[1] < cost[0]), []
-    for block, (came, via) in zip(reversed(g["block"].tolist()), reversed(ways)):
-        first = via[state]
-        out.append((g["src"].iloc[0], block, first, state))
-        state = came[first]
-    return pd.DataFrame(out, columns=["src", "block", "first", "last"])
-
-
-def _resolve(g: pd.DataFrame) -> pd.DataFrame:
-    rows, declared = _rows(g := g.sort_values("seq")), int(g["declared"].iloc[0])
-    start = np.array([np.inf, np.inf])
-    first = int(g["first"].iloc[0])
-    start[first] = _emission(rows[0], declared)[first]
-    _, back = _forward(rows, declared, start)
-    state, out = int(g["last"].iloc[0]), []
-    for k in range(len(rows) - 1, -1, -1):
-        out.append(rows[k][state])
-        if k:
-            state = back[k - 1][state]
-    return pd.DataFrame({"id": g["id"], "published_us": pd.array(out[::-1], dtype="Int64")})
+        usual, other = (_instant(y, mo, int(g["d"]), g, home, x) for x in (False, True))
+        return [usual, usual, other, other]
+    return [None] * N
+
+
+_SWITCHES = np.array([[SWITCH * ((a ^ b) & 1) + SWITCH * ((a ^ b) >> 1) for b in range(N)] for a in range(N)])
+
+
+def emissions(us: np.ndarray, ok: np.ndarray, declared: np.ndarray) -> np.ndarray:
+    """Cost of each reading by itself."""
+    cost = np.zeros(us.shape)
+    for s in range(N):
+        order, other = s & 1, s >> 1
+        depends = (ok[:, s] != ok[:, s ^ 1]) | (us[:, s] != us[:, s ^ 1])
+        cost[:, s] = PRIOR * (depends & (declared >= 0) & (declared != order)) + LIKE_FIRST * (depends & (order == 1))
+        cost[:, s] += NONE * (~ok[:, s] & (declared != order))
+        if other:
+            cost[:, s] += RULE * ((ok[:, s] != ok[:, s ^ 2]) | (us[:, s] != us[:, s ^ 2]))
+    return cost
+
+
+def transitions(p: np.ndarray, q: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """Cost of each pair of readings of neighbours, instants as doubles with NaN for none; nothing between records that aren't linked."""
+    back = (p[..., :, None] - q[..., None, :]) / YEAR
+    return np.where(linked[..., None, None], _SWITCHES + BACK * np.clip(np.nan_to_num(back), 0, 1), 0.0)
+
+
+class Lanes:
+    """A sequence of records cut into blocks of about its square root, which go step by step side by side."""
+
+    def __init__(self, t: np.ndarray, cost: np.ndarray, linked: np.ndarray):
+        """t: instants as doubles; linked[k]: record k belongs to the source of record k - 1."""
+        n = len(t)
+        self.n, self.steps = n, max(1, isqrt(n))
+        self.k = ceil(n / self.steps)
+        more = self.k * self.steps - n
+        shape = (self.k, self.steps, N)
+        self.t = np.concatenate((t, np.full((more, N), np.nan))).reshape(shape)
+        self.cost = np.concatenate((cost, np.zeros((more, N)))).reshape(shape)
+        self.linked = np.concatenate((linked, np.zeros(more, bool))).reshape(shape[:2])
+
+    def _step(self, b: int) -> np.ndarray:
+        return transitions(self.t[:, b - 1], self.t[:, b], self.linked[:, b])
+
+    def matrices(self) -> tuple[np.ndarray, np.ndarray]:
+        """Per block the least cost from each state of its first record to each of its last; and the costs from a block to the next."""
+        m = np.full((self.k, N, N), np.inf)
+        m[:, range(N), range(N)] = self.cost[:, 0]
+        for b in range(1, self.steps):
+            m = (m[:, :, :, None] + self._step(b)[:, None]).min(2) + self.cost[:, b][:, None, :]
+        return m, transitions(self.t[:-1, -1], self.t[1:, 0], self.linked[1:, 0])
+
+    def product(self) -> np.ndarray:
+        """The same from the first record to the last one."""
+        m, between = self.matrices()
+        out = m[0]
+        for k in range(1, self.k):
+            out = _times(_times(out, between[k - 1]), m[k])
+        return out
+
+    def states(self) -> np.ndarray:
+        """The cheapest state of every record."""
+        first, last = chain(*self.matrices())
+        cost = np.full((self.k, N), np.inf)
+        rows = np.arange(self.k)
+        cost[rows, first] = self.cost[rows, 0, first]
+        came = np.zeros((self.steps, self.k, N), np.int8)
+        for b in range(1, self.steps):
+            options = cost[:, :, None] + self._step(b)
+            came[b] = options.argmin(1)
+            cost = options.min(1) + self.cost[:, b]
+        out = np.zeros((self.k, self.steps), np.int64)
+        state = last
+        for b in range(self.steps - 1, -1, -1):
+            out[:, b] = state
+            state = came[b][rows, state].astype(np.int64)
+        return out.reshape(-1)[: self.n]
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a[:, :, None] + b[None]).min(1)
+
+
+def chain(matrices: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The states of the first and last record of each matrix on the cheapest way through all of them."""
+    enter, came, via = np.zeros(N), [], []
+    for k, m in enumerate(matrices):
+        options = enter[:, None] + m
+        via.append(options.argmin(0))
+        left = options.min(0)
+        if k < len(between):
+            options = left[:, None] + between[k]
+            came.append(options.argmin(0))
+            enter = options.min(0)
+    state, first, last = int(left.argmin()), [], []
+    for k in range(len(matrices) - 1, -1, -1):
+        last.append(state)
+        first.append(int(via[k][state]))
+        state = int(came[k - 1][first[-1]]) if k else 0
+    return np.array(first[::-1]), np.array(last[::-1])
+
+
+_US = [f"us{k}" for k in range(N)]
+_LONGS = ", ".join(f"{c} long" for c in _US)
+_ORDERED = f"src string, id string, declared int, {_LONGS}, part int, seq long, ends array<double>"
 
 
 def _read(batches):
     for g in batches:
-        pairs = [interpretations(v, z) for v, z in zip(g["value"], g["home_zone"])]
-        pairs = [(a, b) if a == b or k < 0 else (a, None) if k == 0 else (None, b) for (a, b), k in zip(pairs, g["declared"])]
-        g["us0"], g["us1"] = (pd.array([p[k] for p in pairs], dtype="Int64") for k in (0, 1))
-        yield g[["id", "src", "at", "declared", "us0", "us1"]]
+        got = [interpretations(v, z) for v, z in zip(g["value"], g["home_zone"])]
+        for k, c in enumerate(_US):
+            g[c] = pd.array([r[k] for r in got], dtype="Int64")
+        yield g[["id", "src", "at", "declared", *_US]]
+
+
+def _arrays(t: pa.Table) -> tuple[np.ndarray, ...]:
+    """Instants, which of them there are, and as doubles; the costs; and which record continues the source of the one before."""
+    us = np.stack([t[c].fill_null(0).to_numpy() for c in _US], 1)
+    ok = np.stack([t[c].is_valid().to_numpy() for c in _US], 1)
+    src = t["src"].combine_chunks().dictionary_encode().indices.to_numpy()
+    linked = np.append(False, src[1:] == src[:-1])[: len(src)]
+    return us, ok, np.where(ok, us, np.nan).astype(float), emissions(us, ok, t["declared"].to_numpy()), linked
+
+
+def _summarise(batches):
+    """Numbers a part's records, and adds for the first and the last source in it a row with its matrix and the instants at its ends."""
+    batches = list(batches)
+    if not batches or not (t := pa.Table.from_batches(batches)).num_rows:
+        return
+    n, part = t.num_rows, TaskContext.get().partitionId()
+    _, _, x, cost, linked = _arrays(t)
+    yield from pa.Table.from_arrays([*(t[c] for c in ("src", "id", "declared", *_US)), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(n)), pa.nulls(n, pa.list_(pa.float64()))], [c.split()[0] for c in _ORDERED.split(", ")]).to_batches()
+    begins = np.flatnonzero(~linked)
+    pieces = {(0, int(begins[1]) if len(begins) > 1 else n), (int(begins[-1]), n)}
+    ends = [[*Lanes(x[a:b], cost[a:b], linked[a:b] & (np.arange(a, b) > a)).product().ravel(), *x[a], *x[b - 1]] for a, b in pieces]
+    src = pa.array([t["src"][a].as_py() for a, _ in pieces], pa.string())
+    k = len(pieces)
+    yield pa.RecordBatch.from_arrays([src, pa.nulls(k, pa.string()), pa.nulls(k, pa.int32()), *[pa.nulls(k, pa.int64())] * N, pa.array(np.full(k, part, np.int32)), pa.nulls(k, pa.int64()), pa.array(ends, pa.list_(pa.float64()))], [c.split()[0] for c in _ORDERED.split(", ")])
+
+
+def _chained(g: pd.DataFrame) -> pd.DataFrame:
+    """Of one source: the states of its first and last record in each part."""
+    g = g.sort_values("part")
+    e = np.stack(g["ends"].to_numpy())
+    first, last = e[:, N * N : N * N + N], e[:, N * N + N :]
+    a, b = chain(e[:, : N * N].reshape(-1, N, N), transitions(last[:-1], first[1:], np.ones(len(e) - 1, bool)))
+    return pd.DataFrame({"src": g["src"], "part": g["part"], "first": a.astype(np.int32), "last": b.astype(np.int32)})
+
+
+def _resolve(t: pa.Table) -> pa.Table:
+    t = t.sort_by("seq")
+    us, ok, x, cost, linked = _arrays(t)
+    fixed = {r["src"]: r for r in t["fixed"][0].as_py()}
+    begins = np.flatnonzero(~linked)
+    for a, b in {(0, int(begins[1]) if len(begins) > 1 else len(us)), (int(begins[-1]), len(us))}:
+        r = fixed[t["src"][a].as_py()]
+        for at, state in ((a, r["first"]), (b - 1, r["last"])):
+            cost[at, np.arange(N) != state] = np.inf
+    state = Lanes(x, cost, linked).states()
+    rows = np.arange(len(us))
+    return pa.table({"id": t["id"], "published_us": pa.array(us[rows, state], mask=~ok[rows, state])})
 
 
 def resolve_instants(rows: DataFrame, sources: DataFrame, use_declared_order: bool = True) -> DataFrame:
@@ -253,16 +327,16 @@ def resolve_instants(rows: DataFrame, sources: DataFrame, use_declared_order: bo
         rows.where("value IS NOT NULL AND id IS NOT NULL").select(F.col("id").cast("string"), "value", key("source").alias("src"), F.col("at").cast("timestamp").alias("at"))
         .join(known, "src", "left")
         .select("id", "src", "at", "value", "home_zone", declared.alias("declared"))
-        .mapInPandas(_read, "id string, src string, at timestamp, declared int, us0 long, us1 long")
-        .where("us0 IS NOT NULL OR us1 IS NOT NULL")
+        .mapInPandas(_read, f"id string, src string, at timestamp, declared int, {_LONGS}")
+        .where(" OR ".join(f"{c} IS NOT NULL" for c in _US))
     )
     read = materialize(read, "interpretations")
     alone = read.where("src IS NULL").select("id", F.coalesce("us0", "us1").alias("published_us"))
-    blocks = (
-        read.where("src IS NOT NULL").repartitionByRange("src", "at", "id").sortWithinPartitions("src", "at", "id")
-        .withColumn("block", F.spark_partition_id().cast("long")).withColumn("seq", F.monotonically_increasing_id())
-    )
-    blocks = materialize(blocks, "blocks")
-    ends = blocks.groupBy("src", "block").applyInPandas(_summary, _SUMMARY).groupBy("src").applyInPandas(_chain, "src string, block long, first int, last int")
-    chosen = blocks.join(ends, ["src", "block"]).groupBy("src", "block").applyInPandas(_resolve, "id string, published_us long")
-    return chosen.unionByName(alone).groupBy("id").agg(F.min("published_us").alias("published_us"))
+    sourced = read.where("src IS NOT NULL")
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(sourced.count() / PART))
+    order = ["src", "at", "id", *_US]
+    ordered = materialize(sourced.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("src", "id", "declared", *_US).mapInArrow(_summarise, _ORDERED), "ordered")
+    ends = ordered.where("ends IS NOT NULL").select("src", "part", "ends").groupBy("src").applyInPandas(_chained, "src string, part int, first int, last int")
+    fixed = ends.groupBy("part").agg(F.collect_list(F.struct("src", "first", "last")).alias("fixed"))
+    chosen = ordered.where("ends IS NULL").drop("ends").join(fixed, "part").groupBy("part").applyInArrow(_resolve, "id string, published_us long")
+    return chosen.unionByName(alone).where("published_us IS NOT NULL").groupBy("id").agg(F.min("published_us").alias("published_us"))

@@ -3,6 +3,7 @@ from datetime import UTC, datetime
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from pressmill.operators import timestamps as T
@@ -28,54 +29,82 @@ def us(*a):
     ],
 )
 def test_single_readings(value, expected):
-    assert T.interpretations(value, "Europe/Berlin") == (expected, expected)
+    assert T.interpretations(value, "Europe/Berlin")[:2] == [expected, expected]
 
 
 def test_order_and_zone():
-    a, b = T.interpretations("03/04/2020 10:00", "UTC")
-    assert (a, b) == (us(2020, 4, 3, 10), us(2020, 3, 4, 10))
+    assert T.interpretations("03/04/2020 10:00", "UTC")[:2] == [us(2020, 4, 3, 10), us(2020, 3, 4, 10)]
     assert T.interpretations("25/04/2020 10:00", "UTC")[1] is None
-    assert T.interpretations("2020-04-25 10:00", None) == (None, None)
+    assert T.interpretations("2020-04-25 10:00", None) == [None] * 4
     assert T.interpretations("2020-04-25 10:00 GMT", None)[0] == us(2020, 4, 25, 10)
 
 
-def best_by_force(rows, declared):
-    """All readings of a whole sequence; the cheapest, the first of equals."""
-    best, out = float("inf"), None
-    for states in itertools.product((0, 1), repeat=len(rows)):
-        cost = sum(T._emission(r, declared)[k] for r, k in zip(rows, states))
-        cost += sum(T._step(p, q, a, b) for p, q, a, b in zip(rows, rows[1:], states, states[1:]))
-        if cost < best:
-            best, out = cost, states
-    return best, out
+def test_other_readings():
+    """The later of a repeated hour, the other zone of an abbreviation, the finer unit of a count."""
+    assert T.interpretations("2021-10-31 02:30:00", "Europe/Berlin")[::2] == [us(2021, 10, 31, 0, 30), us(2021, 10, 31, 1, 30)]
+    assert T.interpretations("2021-12-18 14:30 IST", None)[::2] == [us(2021, 12, 18, 9), us(2021, 12, 18, 12, 30)]
+    assert T.interpretations("1504243736", None)[::2] == [1_504_243_736_000_000, 1_504_243_736_000]
 
 
-def cost_of(rows, chosen, declared):
-    states = [[k for k in (0, 1) if r[k] == c] for r, c in zip(rows, chosen)]
-    return min(
-        sum(T._emission(r, declared)[k] for r, k in zip(rows, s)) + sum(T._step(p, q, a, b) for p, q, a, b in zip(rows, rows[1:], s, s[1:]))
-        for s in itertools.product(*states)
-    )
+def sequence(rng, n):
+    """Readings of n records: instants as doubles with NaN, own costs, and which are linked."""
+    t = np.cumsum([[rng.uniform(-1, 2) * T.YEAR / 8] * 4 for _ in range(n)], 0) + np.array([[rng.choice([0, 0, rng.uniform(-1, 1) * T.YEAR]) for _ in range(4)] for _ in range(n)])
+    t[np.array([[rng.random() < 0.1 for _ in range(4)] for _ in range(n)])] = np.nan
+    cost = np.array([[rng.choice([0.0, 0.0, 1.0, 3.0]) + rng.random() / 1e6 for _ in range(4)] for _ in range(n)])
+    return t, cost, np.array([k > 0 and rng.random() < 0.9 for k in range(n)])
 
 
-def test_blocks_equal_brute_force(spark):
+def cost_of(t, cost, linked, states):
+    steps = sum(T.transitions(t[k - 1], t[k], linked[k])[states[k - 1], states[k]] for k in range(1, len(t)))
+    return sum(c[s] for c, s in zip(cost, states)) + steps
+
+
+def test_lanes_equal_brute_force():
+    rng = random.Random(1)
+    for n in (1, 2, 3, 5, 6):
+        for _ in range(5):
+            t, cost, linked = sequence(rng, n)
+            best = min(cost_of(t, cost, linked, s) for s in itertools.product(range(4), repeat=n))
+            lanes = T.Lanes(t, cost, linked)
+            assert cost_of(t, cost, linked, lanes.states()) == pytest.approx(best) and lanes.product().min() == pytest.approx(best)
+
+
+def test_lanes_equal_one_pass():
+    t, cost, linked = sequence(random.Random(2), 500)
+    forward, came = cost[0].copy(), []
+    for k in range(1, len(t)):
+        options = forward[:, None] + T.transitions(t[k - 1], t[k], linked[k])
+        came.append(options.argmin(0))
+        forward = options.min(0) + cost[k]
+    assert cost_of(t, cost, linked, T.Lanes(t, cost, linked).states()) == pytest.approx(forward.min())
+
+
+def test_parts_equal_brute_force(spark, monkeypatch):
     rng = random.Random(5)
     rows, sources = [], []
     for s in range(6):
         order = rng.choice(["dmy", "mdy"])
-        for i in range(9):
+        for i in range(8):
             d, m = rng.randint(1, 28), rng.randint(1, 12)
             text = f"{d:02}/{m:02}/2020 10:00" if order == "dmy" else f"{m:02}/{d:02}/2020 10:00"
             rows.append((f"{s}-{i}", text, f"  Source {s}" if i % 2 else f"SOURCE {s} ", datetime(2021, 1, 1, 0, i)))
         sources.append((f"source {s}", "UTC", order))
+    rows.append(("alone", "05/04/2020 10:00", None, datetime(2021, 1, 1)))
     df = spark.createDataFrame(rows, "id string, value string, source string, at timestamp")
     known = spark.createDataFrame(sources, "source string, home_zone string, date_order string")
     got = {r[0]: r[1] for r in T.resolve_instants(df, known, False).collect()}
+    monkeypatch.setattr(T, "PART", 4)  # sources are cut into several parts then
+    assert {r[0]: r[1] for r in T.resolve_instants(df, known, False).collect()} == got
     for s in range(6):
         seq = [r for r in rows if r[0].startswith(f"{s}-")]
         readings = [T.interpretations(r[1], "UTC") for r in seq]
-        best, _ = best_by_force(readings, -1)
-        assert cost_of(readings, [got[r[0]] for r in seq], -1) == pytest.approx(best)
+        ok = np.array([[x is not None for x in r] for r in readings])
+        values = np.array([[x or 0 for x in r] for r in readings])
+        t, linked = np.where(ok, values, np.nan), np.arange(len(seq)) > 0
+        cost = T.emissions(values, ok, np.full(len(seq), -1))
+        best = min(cost_of(t, cost, linked, x) for x in itertools.product((0, 1), repeat=len(seq)))
+        least = min(cost_of(t, cost, linked, x) for x in itertools.product(*[[k for k in (0, 1) if r[k] == got[q[0]]] for r, q in zip(readings, seq)]))
+        assert least == pytest.approx(best)
     declared = {r[0]: r[1] for r in T.resolve_instants(df, known).collect()}
     for s, (_, _, order) in enumerate(sources):
         for r in (r for r in rows if r[0].startswith(f"{s}-")):
