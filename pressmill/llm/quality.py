@@ -1,14 +1,21 @@
-"""Statistics of each document's text that tell running prose from lists, tables and junk.
-
-Layout: runs of lines with the same number of the same delimiter (vertical alignment) and list marks mark tables and lists;
-periodic indentation, the autocorrelation of line lengths and lines that end in punctuation are only reported. Content: shares
-of letters and symbols, word lengths, and common words of the supported languages over a line and its neighbours (sentences
-may be wrapped anywhere). A line counts as prose if it is made of words, common ones other than articles
-among them, and isn't part of an aligned run without them. Words thrown together at random have common words enough, but not
-in a usual order: how usually one follows the other is counted over the whole collection for pairs of the listed words
-(so the counts have a fixed bound), and a block whose pairs are unusual isn't prose. Texts of the same words count once and a
-text's own pairs don't count for it, so that neither it nor its copies make their own order usual. Everything is computed on
-arrays over a chunk of documents; only the listed words of each text, the pair counts, added up in each task, and repeated ids
+"""Statistics of each document's text that tell running prose from lists, tables and junk, in any language.
+
+Layout of each block of lines: vertical alignment (runs of lines with as many of a delimiter or bracket, or of wide gaps, and short cells
+between), list marks, the period of the indentation and the autocorrelation of line lengths. Lines that these show to be rows of a table or
+items of a list stand by themselves; all other text of a block runs on over its line ends.
+
+Running text is cut into sentences, and a sentence counts as prose if it can be read as one: it begins with a capital (or a letter of a
+script without case) and is closed by . ! ? or …, has between LEAST_WORDS and MOST_WORDS words of ordinary length, most of them different,
+is made of letters rather than digits and symbols, and isn't for its greater part in rows or items. So word lists, word salad, code,
+encoded bytes and records aren't prose, whatever their language, and wrapped, indented or bulleted sentences are. Scripts without blanks between
+words aren't covered.
+
+Words thrown together at random may have capitals and stops, but not in a usual order: how usually one of the COMMON words that most texts
+of the collection have follows another is counted over the whole collection (so the counts have a fixed bound), and a block whose pairs of common words are unusual isn't prose.
+Texts of the same words count once and a text's own pairs don't count for it, so that neither it nor its copies make their own order
+usual. Nothing is listed per language: a language that is rare in the collection has few common words and is judged by layout and sentences alone.
+
+Everything is computed on arrays over a chunk of documents; only the common words of each text, counts added up in each task, and repeated ids
 are shuffled.
 
 Defined results: a null or blank text has no characters, so that its shares are null and it isn't reported as lacking prose.
@@ -22,24 +29,20 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pressmill.llm.splitting import _white
 from pressmill.llm.text_arrays import Words, chunks, is_word, mix, words
 
-# Frequent function words of English, German, French, Spanish and Serbian (both scripts); articles by themselves.
-COMMON = (
-    "of and to in that was were has had been have from by is for with as at not be will would its it who why what when neither nor on after before since than about more but which said",
-    "und ist nicht von wurde werden wird sagte am im für auch nach noch soll sie ob mehr als haben dass niemand zu wir weil",
-    "de du et est dans que qui pour par sur pas ne au aux avec plus ce cette sont été selon il elle même déjà depuis où",
-    "del y en por para con no se ha fue su al más según es sido lo como pero donde ya hay sin nadie",
-    "je da na ne koje za od su mesta mestu već ali bude sve nije iz još jer kod će bez kako što iako gde",
-    "је да на не које за од су места месту већ али буде све није из још јер код ће без како што иако где",
-)
-ARTICLES = "the a an der die das den dem ein eine le la les un une el los las una"
-LEAST_COMMON, LEAST_USUAL, RUN, LAGS = 0.1, -4.5, 3, 4
-_DELIMITERS = (ord("|"), ord("\t"), ord(","), ord(";"), ord("="))
+RUN, LAGS, PERIODIC, CHANCE, COMMON, LEAST_USUAL = 3, 4, 0.5, 3.0, 100, -5.5
+LEAST_WORDS, MOST_WORDS, MOST_IN_CELL = 4, 80, 3.5
+LEAST_LETTERS, MOST_SYMBOLS, LEAST_DIFFERENT = 0.7, 0.2, 0.5
+WORD_LENGTH = (2.0, 12.0)
+_DELIMITERS = tuple(map(ord, "|\t,;=(<"))
 _BULLETS = np.array([ord(c) for c in "-*•·–+"], np.uint32)
-_CLOSING = np.array([ord(c) for c in ".!?…:;\"”“»)"], np.uint32)
+_ENDS = np.array([ord(c) for c in ".!?…"], np.uint32)
+_CLOSERS = np.array([ord(c) for c in "\"'”“’»)]"], np.uint32)
+_CLOSING = np.concatenate((_ENDS, _CLOSERS, np.array([58, 59], np.uint32)))
 STATS = (
     "doc_id long, words long, mean_word_length double, symbol_ratio double, digit_ratio double, closed_lines double, common_words double, "
     "aligned_share double, list_share double, indent_period double, length_autocorrelation double, prose_share double"
@@ -47,15 +50,21 @@ STATS = (
 NAMES = [c.split()[0] for c in STATS.split(", ")]
 
 
-def _autocorrelation(x: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
-    """The largest autocorrelation of a text's series at lags up to LAGS; 0 where it doesn't vary."""
-    size = np.maximum(np.bincount(text, minlength=n), 1)
-    c = x - (np.bincount(text, x, n) / size)[text]
-    power = np.bincount(text, c * c, n)
+@lru_cache(1)
+def _begins() -> np.ndarray:
+    """By code point: whether a sentence may begin with it."""
+    return np.fromiter(((x := chr(c)).isupper() or x.istitle() or x.isalpha() and x.lower() == x.upper() for c in range(0x110000)), bool, 0x110000)
+
+
+def _autocorrelation(x: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """The largest autocorrelation of each group's series at lags up to LAGS; 0 where it doesn't vary."""
+    size = np.maximum(np.bincount(group, minlength=n), 1)
+    c = x - (np.bincount(group, x, n) / size)[group]
+    power = np.bincount(group, c * c, n)
     best = np.full(n, -1.0)
     for lag in range(1, LAGS + 1):
-        same = text[lag:] == text[:-lag]
-        r = np.bincount(text[lag:][same], (c[lag:] * c[:-lag])[same], n)
+        same = group[lag:] == group[:-lag]
+        r = np.bincount(group[lag:][same], (c[lag:] * c[:-lag])[same], n)
         best = np.maximum(best, np.where(power > 0, r / np.maximum(power, 1e-9), 0))
     return best
 
@@ -66,33 +75,21 @@ def _run_lengths(same: np.ndarray) -> np.ndarray:
     return np.bincount(run)[run]
 
 
-@lru_cache(1)
-def _listed() -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the listed words, sorted, and which of them are articles."""
-    both = sorted({*" ".join(COMMON).split(), *ARTICLES.split()})
-    h = np.array([words([x]).hash[0] for x in both])
-    order = np.argsort(h)
-    return h[order], np.isin(h[order], words([ARTICLES]).hash)
-
-
-def _which(w: Words) -> np.ndarray:
-    """The number of each word in the list, or -1."""
-    h = _listed()[0]
-    k = np.minimum(np.searchsorted(h, w.hash), len(h) - 1)
-    return np.where(h[k] == w.hash, k, -1)
+def _ahead(x: np.ndarray, k: int, fill) -> np.ndarray:
+    return np.concatenate((x[k:], np.full(min(k, len(x)), fill, x.dtype)))
 
 
-def _pairs(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the first word, number of the pair) of all adjacent listed words."""
-    k, n = _which(w), len(_listed()[0])
-    at = np.flatnonzero((k[:-1] >= 0) & (k[1:] >= 0) & (w.text[:-1] == w.text[1:])) if len(k) else k
-    return at, k[at] * n + k[at + 1]
+def _which(w: Words, common: np.ndarray) -> np.ndarray:
+    """The number of each word among the common ones, or their number if it is none."""
+    if not len(common):
+        return np.zeros(len(w.hash), np.int64)
+    k = np.minimum(np.searchsorted(common, w.hash), len(common) - 1)
+    return np.where(common[k] == w.hash, k, len(common))
 
 
-def _streams(w: Words) -> tuple[np.ndarray, list[bytes]]:
-    """Per text a hash of its words in order, and the numbers of its listed words, with a mark where others stand between."""
-    k, n = _which(w), len(_listed()[0])
-    k = np.where(k < 0, n, k)
+def _streams(w: Words, common: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Per text a hash of its words in order, and the numbers of its common words, with a mark where others stand between."""
+    k, n = _which(w, common), len(common)
     keep = k < n
     keep[1:] |= (k[:-1] < n) & (w.text[1:] == w.text[:-1])
     place = np.arange(len(k)) - w.first[w.text]
@@ -102,15 +99,15 @@ def _streams(w: Words) -> tuple[np.ndarray, list[bytes]]:
     return (sums[w.first[1:]] - sums[w.first[:-1]]).view(np.int64), [codes[x:y].tobytes() for x, y in zip(at[:-1], at[1:])]
 
 
-def usual_pairs(docs: DataFrame) -> np.ndarray:
-    """How often each pair of listed words (as in _pairs), then each listed word, occurs in all documents; texts of the same words count once."""
-    n = len(_listed()[0])
+def usual_pairs(docs: DataFrame, common: np.ndarray) -> np.ndarray:
+    """How often each pair of common words, then each common word, occurs in all documents; texts of the same words count once."""
+    n = len(common)
 
     def listed(batches):
         for b in batches:
             texts = b.column(0).to_pylist()
             for s, e in chunks(texts):
-                key, streams = _streams(words(texts[s:e]))
+                key, streams = _streams(words(texts[s:e]), common)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(streams, pa.binary())], ["key", "listed"])
 
     def count(batches):
@@ -122,7 +119,7 @@ def usual_pairs(docs: DataFrame) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["pair", "n"])
 
-    # only the listed words of a text are shuffled; in the end at most n * n + n rows, whatever the input
+    # only the common words of a text are shuffled; in the end at most n * n + n rows, whatever the input
     once = docs.select("text").mapInArrow(listed, "key long, listed binary").where("length(listed) > 0").dropDuplicates(["key"])
     total = np.zeros(n * n + n)
     for pair, c in once.select("listed").mapInArrow(count, "pair long, n long").groupBy("pair").agg({"n": "sum"}).collect():
@@ -130,12 +127,12 @@ def usual_pairs(docs: DataFrame) -> np.ndarray:
     return total
 
 
-def _usualness(w: Words, usual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the first word, log of how usually the second follows it in other texts) of the adjacent listed words that others tell about."""
-    n = len(_listed()[0])
-    at, pair = _pairs(w)
-    k = _which(w)
-    listed = np.flatnonzero(k >= 0)
+def _usualness(w: Words, common: np.ndarray, usual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the first word, log of how usually the second follows it in other texts) of the adjacent common words that others tell about."""
+    n, k = len(common), _which(w, common)
+    at = np.flatnonzero((k[:-1] < n) & (k[1:] < n) & (w.text[:-1] == w.text[1:])) if len(k) else k
+    pair = k[at] * n + k[at + 1] if len(at) else at
+    listed = np.flatnonzero(k < n)
     _, which, own = np.unique(w.text[listed] * n + k[listed], return_inverse=True, return_counts=True)
     single = np.zeros(len(k))
     single[listed] = usual[n * n + k[listed]] - own[which]
@@ -147,104 +144,158 @@ def _usualness(w: Words, usual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[told], np.log((together + 0.01) / likely)[told]
 
 
-def measure(texts: list[str | None], usual: np.ndarray | None = None) -> dict[str, np.ndarray]:
-    """The statistics of a chunk of texts, by name."""
+def measure(texts: list[str | None], common: np.ndarray | None = None, usual: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """The statistics of a chunk of texts, by name; common: hashes of the common words, in order, and usual: the counts of usual_pairs."""
     n = len(texts)
-    w = words(texts)
+    w = words(texts, keep_case=True)
     codes = w.codes
-    line = np.cumsum(codes == 10) - (codes == 10)
+    feed = codes == 10
+    line = np.cumsum(feed) - feed
     L = int(line[-1]) + 1 if len(line) else 0
     count = lambda mask: np.bincount(line[mask], minlength=L).astype(float)
-    solid = ~_white()[codes]
-    word_char = is_word(codes)
+    white = _white()[codes]
+    solid = ~white
     digit = (codes >= 48) & (codes <= 57)
-    text = np.searchsorted(w.text_at, np.flatnonzero(codes == 10), "right") - 1
-    full, lettered, digits = count(solid), count(word_char & ~digit), count(digit)
+    letter = is_word(codes) & ~digit
+    text = np.searchsorted(w.text_at, np.flatnonzero(feed), "right") - 1
+    full, lettered, digits = count(solid), count(letter), count(digit)
     symbols = full - lettered - digits
-    # words of each line
     wl = line[w.start]
     length = (w.end - w.start).astype(float)
-    some = np.bincount(wl, minlength=L).astype(float)
-    chars = np.bincount(wl, length, L)
-    which, article = _which(w), np.append(_listed()[1], True)
-    common = np.bincount(wl, (~article[which]).astype(float), L)
-    # the first and last solid characters
+    some, chars = np.bincount(wl, minlength=L).astype(float), np.bincount(wl, length, L)
+    # the first and last solid characters of each line
     place = np.flatnonzero(solid)
     first, last = np.full(L, -1), np.full(L, -1)
     first[line[place[::-1]]] = place[::-1]
     last[line[place]] = place
-    begin = np.concatenate(([0], np.flatnonzero(codes == 10)[:-1] + 1))[:L]
+    begin = np.concatenate(([0], np.flatnonzero(feed)[:-1] + 1))[:L]
     indent = np.where(first >= 0, first - begin, 0).astype(float)
     blank = full == 0
     head, after = codes[np.maximum(first, 0)], codes[np.minimum(np.maximum(first, 0) + 1, len(codes) - 1)] if L else first
-    # a number and a mark, or a bullet, before the rest of the line
+    continues = np.zeros(L, bool)
+    if L > 1:
+        continues[1:] = (text[1:] == text[:-1]) & ~blank[1:] & ~blank[:-1]
+    block = np.cumsum(~continues) - 1
+    blocks = int(block[-1]) + 1 if L else 0
+    # list marks: a bullet, or a number and a mark, before the rest of the line
     number_end = np.zeros(L, np.int64)
+    numbered = np.zeros(L, bool)
     if len(w.start):
         opener = np.searchsorted(w.start, np.maximum(first, 0))
         safe = np.minimum(opener, len(w.start) - 1)
         at_word = (w.start[safe] == first) & (first >= 0)
         number_end[at_word] = w.end[safe][at_word]
         numbered = at_word & digit[np.maximum(first, 0)] & np.isin(codes[np.minimum(number_end, len(codes) - 1)], [ord("."), ord(")"), ord(":")])
-    else:
-        numbered = np.zeros(L, bool)
     listed = (np.isin(head, _BULLETS) & _white()[after] | numbered) & ~blank
     closed = np.isin(codes[np.maximum(last, 0)], _CLOSING) & ~blank
-    # vertical alignment: as many of a delimiter as in the line before
+    # vertical alignment: as many of a delimiter as in the lines around it, with few words between
     aligned = np.zeros(L, bool)
-    continues = np.zeros(L, bool)
-    if L > 1:
-        continues[1:] = (text[1:] == text[:-1]) & ~blank[1:] & ~blank[:-1]
     gap = np.zeros(len(codes), bool)
     if len(codes) > 2:
         gap[2:] = solid[2:] & (codes[1:-1] == 32) & (codes[:-2] == 32) & (line[2:] == line[:-2])
         gap &= np.arange(len(codes)) > first[line]
     for mask in [*(codes == c for c in _DELIMITERS), gap]:
         c = count(mask)
-        same = continues & (c >= 2) & np.append(False, c[1:] == c[:-1])[:L]
-        aligned |= (_run_lengths(same) >= RUN) & (c >= 2)
-    # common words over a line and its neighbours, if they are made of words
-    safe_full, safe_some = np.maximum(full, 1), np.maximum(some, 1)
-    wordy = (lettered >= 0.7 * full) & (symbols <= 0.25 * safe_full) & (chars / safe_some >= 2.2) & (chars / safe_some <= 14) & ~blank
-    around_words, around_common = some * wordy, common * wordy
-    spread_w, spread_c = around_words.copy(), around_common.copy()
+        cells = (c >= 1) & (some <= MOST_IN_CELL * (c + 1))
+        same = continues & cells & np.append(False, (c[1:] == c[:-1]) & cells[:-1])[:L]
+        aligned |= (_run_lengths(same) >= RUN) & cells
+    # blocks whose indentation or line lengths come again and again
+    shown = np.flatnonzero(~blank)
+    size = np.bincount(block[shown], minlength=blocks)
+    periodic = np.zeros(blocks, bool)
+    for x in (indent, full):
+        # by chance the autocorrelation of k lines varies by 1 / sqrt(k)
+        periodic |= _autocorrelation(x[shown], block[shown], blocks) >= np.maximum(PERIODIC, CHANCE / np.sqrt(np.maximum(size, 1)))
+    # rows and items stand by themselves, as do the lines of such blocks, unless they end in the middle of a sentence
+    small = is_word(head) & ~_begins()[head] & ~((head >= 48) & (head <= 57))
+    regular = periodic[block] & ~closed & ~(_ahead(small, 1, False) & _ahead(continues, 1, False)) if L else blank
+    item = (aligned | listed | regular) & ~blank
+    # sentences: from a block's, row's or item's beginning, or the stop before, to the next stop
+    opens = np.zeros(len(codes) + 1, bool)
+    stop = np.isin(codes, _ENDS)
+    for k in (1, 2):  # closing marks may follow
+        closer = np.isin(_ahead(codes, k, 0), _CLOSERS)
+        stop |= np.isin(codes, _ENDS) & (_ahead(white, k + 1, True) & closer if k == 1 else _ahead(white, 3, True) & np.isin(_ahead(codes, 1, 0), _CLOSERS) & closer)
+    stop &= _ahead(white, 1, True) | np.isin(_ahead(codes, 1, 0), _CLOSERS)
+    if len(w.start):
+        # a stop behind a number ends a sentence only if the next word begins one
+        at = np.flatnonzero(stop)
+        next_word = np.searchsorted(w.start, at, "right")
+        follows = codes[w.start[np.minimum(next_word, len(w.start) - 1)]]
+        within = (next_word < len(w.start)) & digit[np.maximum(at - 1, 0)] & ~_begins()[follows] & (block[line[w.start[np.minimum(next_word, len(w.start) - 1)]]] == block[line[at]])
+        stop[at[within]] = False
+    opens[1:][stop] = True
+    goes_on = np.zeros(L, bool)  # lines that continue the item before
     if L > 1:
-        spread_w[1:] += (around_words[:-1]) * continues[1:]
-        spread_c[1:] += (around_common[:-1]) * continues[1:]
-        spread_w[:-1] += (around_words[1:]) * continues[1:]
-        spread_c[:-1] += (around_common[1:]) * continues[1:]
-    share = spread_c / np.maximum(spread_w, 1)
-    own = common / safe_some
-    prose = wordy & (share >= LEAST_COMMON) & ((own >= LEAST_COMMON / 2) | (some <= 8) & ~listed) & ~((aligned | listed) & (own < LEAST_COMMON))
+        goes_on[1:] = item[:-1] & ~item[1:] & continues[1:] & ~_begins()[head[1:]]
+    alone = ~continues | item
+    alone[1:] |= item[:-1] & ~goes_on[1:]
+    opens[begin[alone]] = True
+    sentence = np.cumsum(opens[:-1])
+    S = int(sentence[-1]) + 1 if len(sentence) else 0
+    per = lambda mask: np.bincount(sentence[mask], minlength=S).astype(float)
+    s_full, s_letters, s_digits = per(solid), per(letter), per(digit)
+    s_symbols = s_full - s_letters - s_digits
+    ws = sentence[w.start]
+    s_words, s_chars = np.bincount(ws, minlength=S), np.bincount(ws, length, S)
+    pair = np.unique(np.stack((ws.astype(np.uint64), w.hash)), axis=1) if len(ws) else np.zeros((2, 0), np.uint64)
+    different = np.bincount(pair[0].astype(np.int64), minlength=S)
+    ended = per(stop) > 0
+    lead = np.zeros(S, np.int64)
+    alpha = np.flatnonzero(letter)
+    lead[sentence[alpha[::-1]]] = alpha[::-1]
+    mean = s_chars / np.maximum(s_words, 1)
+    in_item = np.bincount(sentence, (item & ~(listed & closed & ~aligned))[line] & solid, S) if S else s_full
+    prose = (
+        ended & _begins()[codes[lead]] & (s_letters > 0) & (s_words >= LEAST_WORDS) & (s_words <= MOST_WORDS) & (mean >= WORD_LENGTH[0]) & (mean <= WORD_LENGTH[1])
+        & (different >= LEAST_DIFFERENT * s_words) & (s_letters >= LEAST_LETTERS * s_full) & (s_symbols <= MOST_SYMBOLS * s_full) & (in_item <= s_full / 2)
+    )
     if usual is not None and L:
-        block = np.cumsum(~continues) - 1
-        at, score = _usualness(w, usual)
+        at, score = _usualness(w, common, usual)
         inner = block[wl[at]] == block[wl[at + 1]]
         at, score = at[inner], score[inner]
-        pairs_n = np.bincount(block[wl[at]], minlength=block[-1] + 1)
-        odd = (pairs_n >= 2) & (np.bincount(block[wl[at]], score, block[-1] + 1) < LEAST_USUAL * pairs_n)
-        prose &= ~odd[block]
+        pairs_n = np.bincount(block[wl[at]], minlength=blocks)
+        odd = (pairs_n >= 2) & (np.bincount(block[wl[at]], score, blocks) < LEAST_USUAL * pairs_n)
+        prose &= ~odd[block[line[lead]]]
     of_text = lambda x: np.bincount(text, x, n)
     solid_n, lines_n, words_n = of_text(full), of_text((~blank).astype(float)), of_text(some)
     part = lambda x, whole: np.where(whole > 0, x / np.maximum(whole, 1), np.nan)
-    shown = np.flatnonzero(~blank)
+    often = np.zeros(L) if common is None else np.bincount(wl, _which(w, common) < len(common), L)
     return {
         "words": words_n.astype(np.int64), "mean_word_length": part(of_text(chars), words_n), "symbol_ratio": part(of_text(symbols), solid_n),
-        "digit_ratio": part(of_text(digits), solid_n), "closed_lines": part(of_text(closed.astype(float)), lines_n), "common_words": part(of_text(common), words_n),
-        "aligned_share": part(of_text(full * (aligned & (own < LEAST_COMMON))), solid_n), "list_share": part(of_text(full * (listed & (own < LEAST_COMMON))), solid_n),
+        "digit_ratio": part(of_text(digits), solid_n), "closed_lines": part(of_text(closed.astype(float)), lines_n), "common_words": part(of_text(often), words_n),
+        "aligned_share": part(of_text(full * aligned), solid_n), "list_share": part(of_text(full * listed), solid_n),
         "indent_period": _autocorrelation(indent[shown], text[shown], n), "length_autocorrelation": _autocorrelation(full[shown], text[shown], n),
-        "prose_share": part(of_text(full * prose), solid_n),
+        "prose_share": part(of_text(np.bincount(line[solid], prose[sentence[solid]], L) if L else full), solid_n),
     }
 
 
+def common_words(docs: DataFrame, k: int = COMMON) -> np.ndarray:
+    """Hashes of the k words that most rows of the collection contain, in order."""
+
+    def count(batches):
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            for s, e in chunks(texts):
+                w = words(texts[s:e])
+                own = np.unique(np.stack((w.text.astype(np.uint64), w.hash)), axis=1)[1]
+                h, n = np.unique(own, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    top = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(k)
+    return np.sort(np.array([r["h"] for r in top.collect()], np.int64).view(np.uint64))
+
+
 def text_quality(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) to a row of statistics per document."""
-    usual = usual_pairs(docs)
+    common = common_words(docs)
+    usual = usual_pairs(docs, common)
 
     def rows(batches):
         for b in batches:
             texts = b.column(1).to_pylist()
             for s, e in chunks(texts):
-                m = measure(texts[s:e], usual)
+                m = measure(texts[s:e], common, usual)
                 columns = [b.column(0).slice(s, e - s).cast(pa.int64())]
                 for name in NAMES[1:]:
                     columns.append(pa.array(m[name], pa.int64() if name == "words" else pa.float64(), from_pandas=True))

@@ -46,6 +46,12 @@ def _kinds() -> tuple[np.ndarray, np.ndarray]:
     return word, mix(np.arange(1, 0x110001, dtype=np.uint64))
 
 
+@lru_cache(1)
+def lowered() -> np.ndarray:
+    """By code point: its lower case where that is one character, else itself."""
+    return np.fromiter((ord(x) if len(x := chr(c).lower()) == 1 else c for c in range(0x110000)), np.uint32, 0x110000)
+
+
 def is_word(codes: np.ndarray) -> np.ndarray:
     return _kinds()[0][codes]
 
@@ -84,8 +90,9 @@ def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), at
 
 
-def words(texts: list[str | None], lower: bool = True) -> Words:
-    if lower:
+def words(texts: list[str | None], keep_case: bool = False) -> Words:
+    """keep_case: codes are those of the texts as they are; hashes are of lower-cased words all the same."""
+    if not keep_case:
         texts = [t.lower() if t else t for t in texts]
     codes, at = code_points(texts)
     kind, value = _kinds()
@@ -95,7 +102,7 @@ def words(texts: list[str | None], lower: bool = True) -> Words:
     n = len(codes) + 1
     power, inverse = _powers(max(1 << 20, 1 << n.bit_length()))
     sums = np.zeros(n, np.uint64)
-    np.cumsum(value[codes] * power[: n - 1], out=sums[1:])
+    np.cumsum(value[lowered()[codes] if keep_case else codes] * power[: n - 1], out=sums[1:])
     h = mix((sums[end] - sums[start]) * inverse[start])
     text = np.searchsorted(at, start, "right") - 1
     return Words(codes, at, h, text, start, end, np.searchsorted(text, np.arange(len(texts) + 1)))

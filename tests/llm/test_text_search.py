@@ -180,3 +180,17 @@ def test_quality(spark):
     assert len(stats) == 10 and stats[4]["prose_share"] is None and stats[5]["prose_share"] is None and stats[2]["aligned_share"] > 0.9 and stats[6]["list_share"] == 1.0
     assert stats[1]["words"] == len(WORD.findall(prose * 3)) and stats[1]["closed_lines"] == 1.0
     assert quality.lacking_prose(df.limit(0)).count() == 0
+
+
+def test_quality_of_layouts():
+    """By layout and sentences alone, without counts of a collection, in languages that nothing names."""
+    polish = "Rada miasta ogłosiła w piątek, że nowa biblioteka zostanie otwarta dopiero po wakacjach. Mieszkańcy byli zaskoczeni, bo budowa trwała trzy lata."
+    bullets = "- The council said on Friday that the library would open late.\n- Residents were surprised, because the work had taken three years.\n"
+    wrapped = "\n".join(polish[k : k + 40] for k in range(0, len(polish), 40))
+    rows = "\n".join(f"Judge name{k} (Town {k}.)" for k in range(9))
+    code = "def f(x):\n    if x > 3:\n        return x + 1\n    return None\n\n" * 10
+    items = "- milk and eggs\n- bread from the bakery\n- two bottles of water\n" * 4
+    share = quality.measure([polish, bullets, wrapped, rows, code, items, "pier dock " * 50, "", None])["prose_share"]
+    assert (share[:3] == 1).all() and (share[3:7] == 0).all() and (share[7:] != share[7:]).all()
+    stats = quality.measure([items, rows, code])
+    assert stats["list_share"][0] == 1 and stats["aligned_share"][1] == 1 and stats["indent_period"][2] > 0.5
