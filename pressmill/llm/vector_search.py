@@ -1,12 +1,19 @@
-"""The most similar vectors of every vector: stable random projections in a kd-tree, verified until a chi-square test holds.
+"""The most similar vectors of every vector: stable random projections in kd-trees, verified until a chi-square test holds.
 
-Unit vectors are projected onto DIMENSIONS Gaussian directions. The squared distance of two projections is their squared
-distance times a chi-square variable, so once the next projected neighbour is so far that a vector closer than the k-th best
-one found would lie within with probability ``sure``, the search stops. A kd-tree over the first INDEXED projections,
-fitted on about SAMPLE vectors of a model (those with the smallest hashes), cuts each model into cells of about CELL vectors; every vector is indexed. A
-vector goes as a query to each cell that the test can't rule out, in blocks of at most about BLOCK queries; there, a kd-tree of
-the cell gives the leaves in order of projected distance, the remaining projections sieve, and the rest is compared exactly,
-in double. Only vectors with a cosine of at least ``floor`` are wanted; with floor None nothing is ruled out beforehand.
+Unit vectors are projected onto Gaussian directions. A difference of projections is normal with the vectors' distance as deviation, and
+the squared distance of m of them is the squared distance times a chi-square variable.
+
+Coarse trees spread the vectors: level d of a tree cuts its d-th direction at the median, estimated on about SAMPLE vectors of a model, until
+a cell holds about CELL vectors. Every vector lies in one cell of each tree, and looks for neighbours in the cells where one within its radius lies with
+probability ``sure`` together, the likeliest first: crossing a cut costs the normal tail beyond it. From MANY_LEVELS levels on there are
+several trees with a lesser share of that probability each, which takes fewer cells in all (a vector goes to about 4 cells of 8, 36 of 1,024, 180 of
+131,072: work grows with the vectors to the power of about 1.3). Cells are split by what is counted to arrive in them, vectors and queries each, so that no task gets more
+than about BLOCK of either, however unevenly they are spread.
+
+In a cell, a kd-tree over INDEXED further projections gives the leaves in order of projected distance from the queries; what passes the test on
+DIMENSIONS projections is compared exactly, in double; and once the next leaf is so far that a vector closer than the k-th best one
+found would lie within with probability ``sure``, the search stops. Only vectors with a cosine of at least ``floor`` are wanted; with floor None each
+query searches its own cell first, and its k-th best there is its radius for the others.
 
 Equal vectors are one class: a class is searched once, and since ties go to the smaller id, only its k + 1 smallest ids can be
 anybody's neighbours. So copies of one vector cost no more than that, however many there are.
@@ -25,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pressmill.session import materialize
+from pressmill.llm.text_arrays import mix
+from pressmill.session import materialize, release
 
-INDEXED, DIMENSIONS, SAMPLE, CELL, BLOCK, LEAF = 8, 16, 20_000, 8192, 32_768, 64
-SURE = 0.999
+INDEXED, DIMENSIONS, SAMPLE, CELL, BLOCK, LEAF = 8, 16, 20_000, 8192, 32_768, 256
+SURE, MANY_LEVELS, CROSSED = 0.999, 6, 10
 
 
 def chi_square(x: float, m: int) -> float:
@@ -50,8 +58,15 @@ def quantile(p: float, m: int) -> float:
 
 
 @lru_cache(8)
-def directions(dim: int) -> np.ndarray:
-    return np.random.default_rng(20_250_101).standard_normal((dim, DIMENSIONS))
+def directions(dim: int, tree: int = -1, levels: int = DIMENSIONS) -> np.ndarray:
+    """Those that distances are tested on, or those that a coarse tree cuts."""
+    return np.random.default_rng([20_250_101, tree + 1]).standard_normal((dim, levels))
+
+
+def tail(z: np.ndarray) -> np.ndarray:
+    """The normal distribution beyond z >= 0, to seven digits (Abramowitz and Stegun 26.2.17)."""
+    t = 1 / (1 + 0.2316419 * z)
+    return np.exp(-z * z / 2) * 0.3989422804 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -68,33 +83,30 @@ def usable(embedding: str, dim: int) -> Column:
     return F.expr(f"size({embedding}) = {dim} AND forall({embedding}, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists({embedding}, x -> x <> 0)")
 
 
-def split_tree(p: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cuts the space of points p at medians, depth times along the widest dimension of each part: lower and upper bounds of the parts."""
-    parts = [(np.arange(len(p)), np.full(p.shape[1], -np.inf), np.full(p.shape[1], np.inf))]
-    for _ in range(depth):
-        new = []
-        for rows, lo, hi in parts:
-            if len(rows) < 2:
-                new.append((rows, lo, hi))
-                continue
-            q = p[rows]
-            d = int((q.max(0) - q.min(0)).argmax())
-            cut = float(np.median(q[:, d]))
-            left = q[:, d] < cut
-            up, down = hi.copy(), lo.copy()
-            up[d] = down[d] = cut
-            new += [(rows[left], lo, up), (rows[~left], down, hi)]
-        parts = new
-    return np.stack([x[1] for x in parts]), np.stack([x[2] for x in parts])
-
-
-def box_distance(p: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Squared distance of every point to every box."""
-    out = np.zeros((len(p), len(lo)))
-    for d in range(p.shape[1]):
-        x = p[:, d, None]
-        out += np.maximum(np.maximum(lo[None, :, d] - x, x - hi[None, :, d]), 0) ** 2
-    return out
+def cells(x: np.ndarray) -> np.ndarray:
+    """The cell of each point: x are its places relative to the cuts."""
+    return ((x >= 0) << np.arange(x.shape[1])).sum(1, dtype=np.int64)
+
+
+def probes(x: np.ndarray, radius: np.ndarray, sure: float) -> tuple[np.ndarray, np.ndarray]:
+    """(point, cell) for all cells a neighbour within the radius may lie in, but for 1 - sure: likeliest first, crossing the CROSSED nearest cuts at most."""
+    out, most = [], min(x.shape[1], CROSSED)
+    step = max(1, 4_000_000 >> most)
+    home = cells(x)
+    for s in range(0, len(x), step):
+        p = tail(np.abs(x[s : s + step]) / np.maximum(radius[s : s + step, None], 1e-6))
+        near = np.argsort(-p, 1, kind="stable")[:, :most]
+        share = np.ones((len(p), 1))
+        cell = home[s : s + step, None]
+        for f in range(most):
+            q = np.take_along_axis(p, near[:, f : f + 1], 1)
+            share = np.concatenate((share * (1 - q), share * q), 1)
+            cell = np.concatenate((cell, cell ^ (1 << near[:, f : f + 1])), 1)
+        order = np.argsort(-share, 1, kind="stable")
+        share = np.take_along_axis(share, order, 1)
+        row, k = np.nonzero(np.cumsum(share, 1) - share < sure)
+        out.append((row + s, np.take_along_axis(cell, order, 1)[row, k]))
+    return tuple(np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _leaves(p: np.ndarray, size: int) -> list[np.ndarray]:
@@ -111,13 +123,14 @@ def _leaves(p: np.ndarray, size: int) -> list[np.ndarray]:
     return out
 
 
-def nearest(query: np.ndarray, data: np.ndarray, k: int, floor: float | None, sure: float = SURE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, data, cosine) of the k best of each query among unit vectors; ties go to the smaller place in data."""
+def nearest(query: np.ndarray, data: np.ndarray, k: int, farthest: np.ndarray, sure: float = SURE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, data, cosine) of the k best of each query among unit vectors, up to a squared distance each; ties go to the smaller place in data."""
     g = directions(data.shape[1])
     pq, pd = (query @ g).astype(np.float32), (data @ g).astype(np.float32)
+    # the squared distance of two projections as one product
+    lq, ld = np.concatenate((-2 * pq, (pq * pq).sum(1, keepdims=True), np.ones((len(pq), 1), np.float32)), 1), np.concatenate((pd, np.ones((len(pd), 1), np.float32), (pd * pd).sum(1, keepdims=True)), 1)
     leaves = _leaves(pd[:, :INDEXED], LEAF)
     lo, hi = (np.stack([f(pd[x, :INDEXED], axis=0) for x in leaves]).astype(np.float64) for f in (np.min, np.max))
-    farthest = 4.0 if floor is None else 2 - 2 * floor
     t_index, t_all = quantile(sure, INDEXED), quantile(sure, DIMENSIONS)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for rows in _leaves(pq[:, :INDEXED], LEAF) if len(pq) else []:
@@ -125,19 +138,16 @@ def nearest(query: np.ndarray, data: np.ndarray, k: int, floor: float | None, su
         a, b = p[:, :INDEXED].min(0), p[:, :INDEXED].max(0)
         gap = (np.maximum(np.maximum(lo - b, a - hi), 0) ** 2).sum(1)
         order = np.argsort(gap, kind="stable")
-        worst = np.full(len(rows), farthest)  # squared distance that a further neighbour may have
+        worst = farthest[rows].copy()  # squared distance that a further neighbour may have
         found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        at, step = 0, 8
+        at, step = 0, 4
         while at < len(order) and gap[order[at]] <= t_index * worst.max():
             batch = order[at : at + step]
             batch = batch[gap[batch] <= t_index * worst.max()]
-            at, step = at + step, min(step * 2, 64)
-            near = np.concatenate([leaves[x] for x in batch]) if len(batch) else np.zeros(0, np.int64)
-            if not len(near):
-                continue
-            y = pd[near]
-            d2 = (p * p).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (p @ y.T)
-            i, j = np.nonzero(d2 <= (t_all * worst)[:, None])
+            at, step = at + step, min(step * 2, 16)
+            near = np.concatenate([leaves[x] for x in batch])
+            d2 = lq[rows] @ ld[near].T
+            i, j = np.divmod(np.flatnonzero(d2 <= (t_all * worst + 1e-3).astype(np.float32)[:, None]), len(near))
             if len(i) > 0.1 * d2.size:
                 cosine = (query[rows] @ data[near].T)[i, j]
             else:
@@ -157,68 +167,124 @@ def nearest(query: np.ndarray, data: np.ndarray, k: int, floor: float | None, su
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def neighbours(vectors: DataFrame, k: int = 5, floor: float | None = None, dim: int = 64, queries: str | None = None, sure: float = SURE) -> DataFrame:
-    """vectors(id, model, embedding) to (id, neighbour, cosine, rank): the k highest cosines of each id, or of those that the condition ``queries`` picks."""
-    own = vectors.where(usable("embedding", dim) & F.col("id").isNotNull()).withColumn("h", F.xxhash64("embedding")).withColumn("h2", F.hash("embedding"))
-    own = own.groupBy("id").agg(F.min(F.struct("h", "h2", "model", "embedding")).alias("v")).select("id", "v.*")
-    own = materialize(own.withColumn("cls", F.xxhash64("model", "h", "h2")), "vectors")
-    asked = own.where(queries) if queries else own
-    members = asked.select("id", "cls")
-    first = own.withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy("id"))).where(F.col("r") <= k + 1)
-    classes = first.groupBy("cls").agg(F.first("model").alias("model"), F.sort_array(F.collect_list("id")).alias("ids"), F.min_by("embedding", "id").alias("embedding"))
-    if queries:
-        classes = classes.join(asked.select("cls").distinct().withColumn("asked", F.lit(True)), "cls", "left")
-    else:
-        classes = classes.withColumn("asked", F.lit(True))
-    classes = materialize(classes.select("cls", F.coalesce("model", F.lit("")).alias("model"), "ids", "embedding", F.coalesce("asked", F.lit(False)).alias("asked")), "classes")
-    counts = {r["model"]: (r["n"], r["q"]) for r in classes.groupBy("model").agg(F.count("*").alias("n"), F.count_if("asked").alias("q")).collect()}
+_ROUTED = "cls long, model string, ids array<string>, embedding array<float>, radius double, part long, query boolean"
+_FOUND = "cls long, other long, ids array<string>, cosine double"
+
+
+def coarse_trees(classes: DataFrame, dim: int) -> dict[str, list[np.ndarray]]:
+    """Of each model its trees, each as the medians of its cuts: more levels and trees the more vectors there are."""
     trees = {}
-    for model, (n, q) in counts.items():
+    for model, n in sorted((r["model"], r["n"]) for r in classes.groupBy("model").agg(F.count("*").alias("n")).collect()):
+        levels = max(0, math.ceil(math.log2(n / CELL)))
         some = classes.where((F.col("model") == model) & (F.pmod("cls", F.lit(10**15)) < min(1.0, SAMPLE / n) * 10.0**15)).limit(2 * SAMPLE)
-        x = _matrix(some.select("embedding").toArrow()["embedding"], dim)
-        depth = max(0, math.ceil(math.log2(n / CELL)))
-        trees[model] = (*split_tree((_unit(x) @ directions(dim))[:, :INDEXED], depth), max(1, -(-q // BLOCK)))
-    reach = None if floor is None else quantile(sure, INDEXED) * (2 - 2 * floor)
+        x = _unit(_matrix(some.select("embedding").toArrow()["embedding"], dim)) if levels else None
+        trees[model] = [np.median(x @ directions(dim, t, levels), axis=0) if levels else np.zeros(0) for t in range(max(1, levels - MANY_LEVELS + 1))]
+    return trees
+
+
+def _routes(b: pa.RecordBatch, trees: dict[str, list[np.ndarray]], dim: int, sure: float, home: bool | None):
+    """(model, tree, rows, their cells, asking rows, the cells they look into); home: only the own cell, or all but that."""
+    x = _unit(_matrix(b.column(3), dim))
+    models, radius = np.array(b.column(1).to_pylist(), object), b.column(4).fill_null(np.nan).to_numpy(zero_copy_only=False)
+    for model in sorted(set(models)):
+        rows = np.flatnonzero(models == model)
+        asking = np.flatnonzero(~np.isnan(radius[rows]))
+        for t, cuts in enumerate(trees[model]):
+            place = x[rows] @ directions(dim, t, len(cuts)) - cuts
+            own = cells(place)
+            if home:
+                q, cell = asking, own[asking]
+            else:
+                q, cell = probes(place[asking], np.sqrt(radius[rows][asking]), 1 - (1 - sure) ** (1 / len(trees[model])))
+                q = asking[q]
+                if home is False:
+                    q, cell = q[cell != own[q]], cell[cell != own[q]]
+            yield model, t, rows, own, rows[q], cell
+
+
+def _search(classes: DataFrame, trees: dict[str, list[np.ndarray]], k: int, dim: int, sure: float, home: bool | None = None) -> DataFrame:
+    """classes(cls, model, ids, embedding, radius) to (cls, other, ids, cosine): up to k others within the squared distance ``radius``, of each class that has one."""
+
+    def count(batches):
+        for b in batches:
+            if b.num_rows:
+                for model, t, _, own, _, cell in _routes(b, trees, dim, sure, home):
+                    (c, n), (d, m) = np.unique(own, return_counts=True), np.unique(cell, return_counts=True)
+                    size = len(c) + len(d)
+                    yield pa.RecordBatch.from_arrays([pa.array([model] * size), pa.array([t] * size, pa.int32()), pa.array(np.append(c, d)), pa.array(np.append(n, np.zeros_like(m))), pa.array(np.append(np.zeros_like(n), m))], ["model", "tree", "cell", "vectors", "queries"])
+
+    counted = classes.select("cls", "model", "ids", "embedding", "radius").mapInArrow(count, "model string, tree int, cell long, vectors long, queries long")
+    # a row per cell, which are one for CELL vectors
+    blocks, parts = {}, 0
+    for r in counted.groupBy("model", "tree", "cell").agg(F.sum("vectors").alias("v"), F.sum("queries").alias("q")).where("v > 0 AND q > 0").orderBy("model", "tree", "cell").collect():
+        v, q = -(-r["v"] // BLOCK), -(-r["q"] // BLOCK)
+        blocks[r["model"], r["tree"], r["cell"]] = (parts, v, q)
+        parts += v * q
 
     def route(batches):
+        names = ["cls", "model", "ids", "embedding", "radius", "part", "query"]
         for b in batches:
             if not b.num_rows:
                 continue
-            x = _unit(_matrix(b.column(3), dim))
-            p = (x @ directions(dim))[:, :INDEXED]
-            models, cls = np.array(b.column(1).to_pylist(), object), b.column(0).to_numpy()
-            asked = np.array(b.column(4).to_pylist(), bool)
-            for model in set(models):
-                lo, hi, blocks = trees[model]
-                rows = np.flatnonzero(models == model)
-                d = box_distance(p[rows], lo, hi)
-                home = ((p[rows][:, None, :] >= lo[None]) & (p[rows][:, None, :] < hi[None])).all(2).argmax(1)
-                q, cell = np.nonzero(d <= reach) if reach is not None else np.nonzero(np.ones_like(d, bool))
-                go = asked[rows[q]]
-                q, cell = q[go], cell[go]
-                block = (cls[rows[q]] % blocks).astype(np.int64)
-                data_rows, data_block = np.repeat(np.arange(len(rows)), blocks), np.tile(np.arange(blocks), len(rows))
-                take = np.concatenate((rows[data_rows], rows[q]))
-                part = np.concatenate((home[data_rows] * blocks + data_block, cell * blocks + block))
-                role = np.concatenate((np.zeros(len(data_rows), bool), np.ones(len(q), bool)))
-                for s in range(0, len(take), 20_000):
-                    at = pa.array(take[s : s + 20_000])
-                    some = pa.RecordBatch.from_arrays([b.column(c).take(at) for c in (0, 1, 2, 3)], ["cls", "model", "ids", "embedding"])
-                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array(part[s : s + 20_000]), pa.array(role[s : s + 20_000])], ["cls", "model", "ids", "embedding", "part", "query"])
+            cls = mix(b.column(0).to_numpy().astype(np.uint64))
+            for model, t, rows, own, asking, cell in _routes(b, trees, dim, sure, home):
+                for role, who, where in ((False, rows, own), (True, asking, cell)):
+                    kinds, which = np.unique(where, return_inverse=True)
+                    at = np.array([blocks.get((model, t, int(c)), (0, 0, 0)) for c in kinds], np.int64).reshape(-1, 3)[which]
+                    first, v, q = at[:, 0], np.maximum(at[:, 1], 1), np.maximum(at[:, 2], 1)
+                    fixed = (cls[who] % (q if role else v).astype(np.uint64)).astype(np.int64)
+                    n = np.where(at[:, 1] > 0, v if role else q, 0)
+                    each = np.repeat(np.arange(len(who)), n)
+                    other = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+                    part = first[each] + (other * q[each] + fixed[each] if role else fixed[each] * q[each] + other)
+                    for s in range(0, len(each), 20_000):
+                        take = pa.array(who[each[s : s + 20_000]])
+                        some = [b.column(c).take(take) for c in range(5)]
+                        if role:
+                            some[2] = pa.nulls(len(take), some[2].type)
+                        yield pa.RecordBatch.from_arrays([*some, pa.array(part[s : s + 20_000]), pa.array(np.full(len(take), role))], names)
 
     def search(t: pa.Table) -> pa.Table:
         role = t["query"].to_numpy()
         data, query = t.filter(pa.array(~role)), t.filter(pa.array(role))
-        names = ["cls", "ids", "cosine"]
-        kinds = [pa.int64(), pa.list_(pa.string()), pa.float64()]
-        if not len(data) or not len(query):
-            return pa.Table.from_arrays([pa.array([], x) for x in kinds], names)
-        data = data.take(pa.array(np.argsort(np.array([x[0] for x in data["ids"].to_pylist()]))))
-        q, d, c = nearest(_unit(_matrix(query["embedding"], dim)), _unit(_matrix(data["embedding"], dim)), k + 1, floor, sure)
-        return pa.Table.from_arrays([query["cls"].take(pa.array(q)), data["ids"].take(pa.array(d)), pa.array(c)], names)
-
-    routed = classes.mapInArrow(route, "cls long, model string, ids array<string>, embedding array<float>, part long, query boolean")
-    got = routed.groupBy("model", "part").applyInArrow(search, "cls long, ids array<string>, cosine double")
+        data = data.take(pa.array(np.argsort(np.array([x[0] for x in data["ids"].to_pylist()], object)))) if len(data) else data
+        if len(data) and len(query):
+            q, d, c = nearest(_unit(_matrix(query["embedding"], dim)), _unit(_matrix(data["embedding"], dim)), k, query["radius"].to_numpy(), sure)
+        else:
+            q = d = np.zeros(0, np.int64)
+            c = np.zeros(0)
+        return pa.table({"cls": query["cls"].take(pa.array(q)), "other": data["cls"].take(pa.array(d)), "ids": data["ids"].take(pa.array(d)), "cosine": pa.array(c)})
+
+    routed = classes.select("cls", "model", "ids", "embedding", "radius").mapInArrow(route, _ROUTED)
+    found = routed.groupBy("part").applyInArrow(search, _FOUND)
+    return found.dropDuplicates(["cls", "other"]) if any(len(t) > 1 for t in trees.values()) else found
+
+
+def neighbours(vectors: DataFrame, k: int = 5, floor: float | None = None, dim: int = 64, queries: str | None = None, sure: float = SURE) -> DataFrame:
+    """vectors(id, model, embedding) to (id, neighbour, cosine, rank): the k highest cosines of each id, or of those that the condition ``queries`` picks."""
+    own = vectors.where(usable("embedding", dim) & F.col("id").isNotNull()).withColumn("h", F.xxhash64("embedding")).withColumn("h2", F.hash("embedding"))
+    own = own.groupBy("id").agg(F.min(F.struct("h", "h2", "model", "embedding")).alias("v")).select("id", "v.*")
+    own = materialize(own.withColumn("cls", F.xxhash64("model", "h", "h2")), "vectors")
+    asked = own.where(queries) if queries else own
+    first = own.withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy("id"))).where(F.col("r") <= k + 1)
+    classes = first.groupBy("cls").agg(F.first("model").alias("model"), F.sort_array(F.collect_list("id")).alias("ids"), F.min_by("embedding", "id").alias("embedding"))
+    radius = F.lit(4.0 if floor is None else 2 - 2 * floor)
+    if queries:
+        classes = classes.join(asked.select("cls").distinct().withColumn("radius", radius), "cls", "left")
+    else:
+        classes = classes.withColumn("radius", radius)
+    members = materialize(asked.select("id", "cls"), "members")
+    classes = materialize(classes.select("cls", F.coalesce("model", F.lit("")).alias("model"), "ids", "embedding", "radius"), "classes")
+    release(own)
+    trees = coarse_trees(classes, dim)
+    if floor is None and any(len(t[0]) for t in trees.values()):
+        here = materialize(_search(classes, trees, k + 1, dim, sure, home=True), "own-cells")
+        best = here.groupBy("cls").agg(F.sort_array(F.collect_list("cosine"), asc=False).alias("c"))
+        narrowed = classes.drop("radius").join(best.select("cls", F.greatest(2 - 2 * F.coalesce(F.get("c", F.lit(k)), F.lit(-1.0)), F.lit(0.0)).alias("radius")), "cls", "left")
+        got = here.unionByName(_search(materialize(narrowed, "narrowed"), trees, k + 1, dim, sure, home=False))
+        got = got.dropDuplicates(["cls", "other"])
+    else:
+        got = _search(classes, trees, k + 1, dim, sure)
     best = Window.partitionBy("cls").orderBy(F.desc("cosine"), "neighbour")
     lists = got.select("cls", F.explode("ids").alias("neighbour"), "cosine").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
     mine = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")

@@ -194,3 +194,36 @@ def test_quality_of_layouts():
     assert (share[:3] == 1).all() and (share[3:7] == 0).all() and (share[7:] != share[7:]).all()
     stats = quality.measure([items, rows, code])
     assert stats["list_share"][0] == 1 and stats["aligned_share"][1] == 1 and stats["indent_period"][2] > 0.5
+
+
+def test_vectors_in_many_cells(spark, monkeypatch):
+    """Five levels of cells, several trees, and blocks of a few vectors; a third of the vectors close to one another."""
+    monkeypatch.setattr(vector_search, "CELL", 40)
+    monkeypatch.setattr(vector_search, "MANY_LEVELS", 4)
+    monkeypatch.setattr(vector_search, "BLOCK", 100)
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((700, 16))
+    x = np.concatenate((base, base[:150] + 0.15 * rng.standard_normal((150, 16)), base[0] + 0.1 * rng.standard_normal((350, 16)))).astype(np.float32)
+    df = spark.createDataFrame([(f"{i:04}", "m", v.tolist()) for i, v in enumerate(x)], "id string, model string, embedding array<float>")
+    u = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    c = u @ u.T
+    np.fill_diagonal(c, -2)
+    top = np.argsort(-c, 1, kind="stable")[:, :5]
+    want = {tuple(sorted((i, int(j)))) for i in range(len(x)) for j in top[i] if c[i, j] >= 0.9}
+    got = {tuple(map(int, r)) for r in vector_search.similar_pairs(df, dim=16).collect()}
+    assert len(got & want) >= 0.99 * len(want) and len(got) <= 1.01 * len(want)
+    full = vector_search.neighbours(df, 5, None, 16, "id < '0300'").collect()
+    hit = sum(int(r["neighbour"]) in top[int(r["id"])] for r in full)
+    assert len(full) == 1500 and hit >= 0.97 * 1500
+
+
+def test_probes():
+    """The cells that are probed hold a neighbour at the radius as often as asked."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((2000, 7))
+    near = x + 0.4 * rng.standard_normal(x.shape)
+    point, cell = vector_search.probes(x, np.full(2000, 0.4), 0.9)
+    held = np.zeros(2000, bool)
+    held[point[cell == vector_search.cells(near)[point]]] = True
+    assert held.mean() >= 0.88 and len(point) < 2000 * 2**7 * 0.3
+    assert vector_search.tail(np.array([0.0, 1.0, 2.0])) == pytest.approx([0.5, 0.158655, 0.022750], abs=1e-5)
