@@ -10,8 +10,9 @@ most and a document has at most MOST_KEYS keys: 17 chunks of 5 for 0.6, 10 of 8
 deviations above the distance expected of ``similarity`` are dropped, all others are compared set by set.
 
 Documents with the same set are one class, and only class representatives are joined, so that a group of copies costs what
-one document costs. Keys are joined by an ordinary equi-join (skew is split by the engine); the only rows that carry sets are
-those of candidates. ``links`` returns pairs of class representatives, ``pairs`` expands them over the members, ``groups``
+one document costs. Keys are sorted once, and each run of equal keys gives its pairs; a run of more than HOT is cut into blocks of
+that size, and each pair of blocks is a group of its own, so that no key is too much for a task and no pair is left out. The only rows
+that carry sets are those of candidates. ``links`` returns pairs of class representatives, ``pairs`` expands them over the members, ``groups``
 has a row per document.
 
 Defined results: null titles count as empty; null or blank contents, and texts of fewer than WIDTH words, have no set and
@@ -32,7 +33,7 @@ from pressmill.llm.text_arrays import chunks, grams, mix, words
 from pressmill.session import materialize
 
 WIDTH, ERRORS, MISS, MOST_KEYS = 5, 1, 1e-3, 90
-SIMILARITY, SPREAD = 0.8, 4.5
+SIMILARITY, SPREAD, HOT = 0.8, 4.5, 256
 _LOW = np.uint64((1 << 48) - 1)
 
 
@@ -134,6 +135,77 @@ def _close(candidates: DataFrame, most: int) -> DataFrame:
     return candidates.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def _pairs_of_runs(key: np.ndarray, cls: np.ndarray, n: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs a < b of classes with equal keys, of sizes that allow the similarity; keys are in order."""
+    behind = np.searchsorted(key, key, "right") - np.arange(len(key)) - 1
+    one = np.repeat(np.arange(len(key)), behind)
+    two = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(behind) - behind, behind)
+    near = (cls[one] != cls[two]) & (n[one] >= similarity * n[two]) & (n[two] >= similarity * n[one])
+    a, b = cls[one[near]], cls[two[near]]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+_COLLIDING = "a long, b long, key long, n int"
+
+
+def _runs(similarity: float, hot: int):
+    """For sorted (key, cls, n): the pairs of each run of equal keys; rows (cls, null, key, n) of runs longer than ``hot``."""
+
+    def emit(a, b, key, n):
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()) if b is not None else pa.nulls(len(a), pa.int64()), pa.array(key, pa.int64()) if key is not None else pa.nulls(len(a), pa.int64()), pa.array(n, pa.int32()) if n is not None else pa.nulls(len(a), pa.int32())], ["a", "b", "key", "n"])
+
+    def find(batches):
+        held = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32))
+        over = None  # the key of a run that is known to be longer
+        for b in batches:
+            key, cls, n = (np.concatenate((h, b.column(c).to_numpy())) for c, h in enumerate(held))
+            if not len(key):
+                continue
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(starts, len(key)))
+            long = (size > hot) | (key[starts] == over if over is not None else False)
+            tail = starts[-1]
+            over = key[-1] if long[-1] else None
+            rows = np.repeat(long, size)
+            done = np.arange(len(key)) < (len(key) if long[-1] else tail)
+            pick = rows & done
+            if pick.any():
+                yield from emit(cls[pick], None, key[pick], n[pick])
+            pick = ~rows & done & np.repeat(size > 1, size)
+            if pick.any():
+                yield from emit(*_pairs_of_runs(key[pick], cls[pick], n[pick], similarity), None, None)
+            held = tuple(x[done.sum() :] for x in (key, cls, n))
+        if len(held[0]) > 1:
+            yield from emit(*_pairs_of_runs(*held, similarity), None, None)
+
+    return find
+
+
+def colliding(keyed: DataFrame, similarity: float, hot: int = HOT) -> DataFrame:
+    """keyed(key, cls, n) to (a, b), a < b: the classes that share a key; a pair may come several times."""
+    runs = keyed.select("key", "cls", F.col("n").cast("int").alias("n")).repartition("key").sortWithinPartitions("key")
+    found = materialize(runs.mapInArrow(_runs(similarity, hot), _COLLIDING), "collisions")
+    rows = found.where("b IS NULL").select("key", F.col("a").alias("cls"), "n")
+    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / hot).cast("int").alias("blocks"))
+    own = rows.join(blocks, "key").withColumn("x", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    grid = own.select("key", "cls", "n", "x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
+    grid = grid.select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") <= F.col("y")).alias("first"), "cls", "n")
+
+    def pairs(t: pa.Table) -> pa.Table:
+        cls, n = t["cls"].to_numpy(), t["n"].to_numpy()
+        if t["i"][0] == t["j"][0]:
+            a, b = _pairs_of_runs(np.zeros(len(cls), np.int64), cls, n, similarity)
+            return pa.table({"a": pa.array(a), "b": pa.array(b)})
+        first = t["first"].to_numpy()
+        one, two = np.flatnonzero(first), np.flatnonzero(~first)
+        one, two = np.repeat(one, len(two)), np.tile(two, len(one))
+        near = (n[one] >= similarity * n[two]) & (n[two] >= similarity * n[one])
+        a, b = cls[one[near]], cls[two[near]]
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return found.where("b IS NOT NULL").select("a", "b").unionByName(grid.groupBy("key", "i", "j").applyInArrow(pairs, "a long, b long"))
+
+
 def classes_and_links(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(members(id, cls), links(a, b, similarity)) where a < b are classes of different sets."""
     chunks_n, symbols = layout(similarity)
@@ -144,10 +216,8 @@ def classes_and_links(docs: DataFrame, width: int = WIDTH, similarity: float = S
     several = sign.groupBy("cls").agg(F.min("row").alias("first"), F.count("*").alias("rows")).where("rows > 1")
     others = materialize(sign.select("row", "cls").join(several, "cls").where("row <> first").select("row"), "others")
     once = sign.join(others, "row", "left_anti")
-    keyed = once.select("cls", "n", F.explode("keys").alias("key"))
-    left, right = keyed.select("key", F.col("cls").alias("a"), F.col("n").alias("na")), keyed.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"))
-    near = (F.col("a") < F.col("b")) & (F.col("na") >= similarity * F.col("nb")) & (F.col("nb") >= similarity * F.col("na"))
-    candidates = materialize(left.join(right, "key").where(near).select("a", "b").distinct(), "candidates")
+    keyed = once.select(F.explode("keys").alias("key"), "cls", "n")
+    candidates = materialize(colliding(keyed, similarity).distinct(), "candidates")
     sketched = candidates.join(once.select(F.col("cls").alias("a"), F.col("sketch").alias("x")), "a").join(once.select(F.col("cls").alias("b"), F.col("sketch").alias("y")), "b")
     most = int(total * (1 - similarity) + SPREAD * (total * similarity * (1 - similarity)) ** 0.5 + 1)
     pairs = materialize(_close(sketched, most), "close")

@@ -227,3 +227,25 @@ def test_probes():
     held[point[cell == vector_search.cells(near)[point]]] = True
     assert held.mean() >= 0.88 and len(point) < 2000 * 2**7 * 0.3
     assert vector_search.tail(np.array([0.0, 1.0, 2.0])) == pytest.approx([0.5, 0.158655, 0.022750], abs=1e-5)
+
+
+def test_colliding_keys(spark):
+    """Runs of every length, across batches, with copies of a key beyond the bound for one block."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(k, rng.randint(0, 400), 10 + rng.randint(0, 3)) for k in range(60) for _ in range(rng.choice([1, 2, 3, 9, 60]))] + [(1000, c, 10) for c in range(150)]
+    size = {}
+    rows = list({(k, c, size.setdefault(c, n)) for k, c, n in rows})
+    by = {}
+    for k, c, n in rows:
+        by.setdefault(k, []).append(c)
+    want = {tuple(sorted((x, y))) for cs in by.values() for x in cs for y in cs if x != y and min(size[x], size[y]) >= 0.8 * max(size[x], size[y])}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        for hot in (7, 40, 1000):
+            got = near_duplicates.colliding(spark.createDataFrame(rows, "key long, cls long, n int"), 0.8, hot)
+            assert {tuple(r) for r in got.distinct().collect()} == want, hot
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert near_duplicates.colliding(spark.createDataFrame([], "key long, cls long, n int"), 0.8).count() == 0
