@@ -82,26 +82,50 @@ def long_form(metrics: DataFrame) -> DataFrame:
     return metrics.select(*KEYS, "category", "judged", F.expr(f"stack({len(names)}, {stack}) AS (metric, value)"))
 
 
-def aggregate(runs: DataFrame, metrics: DataFrame, by: tuple[str, ...] = ("job", "engine")) -> DataFrame:
-    """Counts of queries, errors and judged queries, and the mean and sample deviation of every metric over judged queries."""
+def aggregate(runs: DataFrame, metrics: DataFrame, by: tuple[str, ...] = ("job", "engine"), samples: DataFrame | None = None) -> DataFrame:
+    """Counts of queries, errors and judged queries, and the mean and sample deviation of every metric over judged queries.
+
+    With samples(job, query_id, engine, ns) also the latency over all samples of executions that didn't fail.
+    """
     counts = executions(runs).groupBy(*by).agg(F.count("*").alias("queries"), F.count_if("failed").alias("errors"))
     names = [c for c in metrics.columns if c not in (*KEYS, "category", "judged")]
     means = metrics.where("judged").groupBy(*by).agg(
         F.count("*").alias("judged"), *[F.avg(c).alias(f"mean_{c}") for c in names], *[F.stddev_samp(c).alias(f"sd_{c}") for c in names if c.startswith("ndcg")]
     )
-    return counts.join(means, list(by), "left").withColumn("judged", F.coalesce("judged", F.lit(0)))
+    out = counts.join(means, list(by), "left").withColumn("judged", F.coalesce("judged", F.lit(0)))
+    if samples is not None:
+        good = samples.join(executions(runs).where("NOT failed").drop("failed"), list(KEYS), "inner")
+        stats = latency(good, by, "ns")
+        out = out.join(stats.select(*by, *[F.col(c).alias(f"latency_{c}") for c in stats.columns if c not in by]), list(by), "left")
+    return out
+
 
+def best_per_column(aggregated: DataFrame, columns: list[str], over: tuple[str, ...] = ("job",)) -> DataFrame:
+    """Adds best_<column> for each: whether no other engine of the job has a higher value; null values are never best."""
+    w = Window.partitionBy(*over)
+    return aggregated.withColumns({f"best_{c}": F.coalesce(F.col(c) == F.max(c).over(w), F.lit(False)) for c in columns})
 
-def by_category(runs: DataFrame, metrics: DataFrame) -> DataFrame:
-    """The same by category, for jobs with at least two of them."""
+
+def by_category(runs: DataFrame, metrics: DataFrame, order: DataFrame | None = None) -> DataFrame:
+    """The same by category, for jobs with at least two of them; with order(query_id, position) also ``place``, where a category is first seen."""
     several = executions(runs).groupBy("job").agg(F.count_distinct("category").alias("c")).where("c > 1").select("job")
-    return aggregate(runs, metrics, ("job", "category", "engine")).join(several, "job", "left_semi")
+    out = aggregate(runs, metrics, ("job", "category", "engine")).join(several, "job", "left_semi")
+    if order is None:
+        return out
+    seen = runs.select("job", "category", "query_id").distinct().join(order, "query_id").groupBy("job", "category").agg(F.min("position").alias("place"))
+    return out.join(seen, ["job", "category"], "left")
+
 
+def pool(runs: DataFrame, depth: int = DEPTH, jobs: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, sources): documents of the first ``depth`` ranks over all engines and jobs.
 
-def pool(runs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(query_id, doc_id, sources): documents of the first ``depth`` ranks over all engines and jobs; the first job counts for an engine."""
+    For each engine the first job counts: by jobs(job, position), which also leaves out jobs that it doesn't name, else by name.
+    """
     ok = runs.where("error IS NULL AND doc_id IS NOT NULL")
-    first = ok.groupBy("query_id", "engine").agg(F.min("job").alias("job"))
+    if jobs is None:
+        first = ok.groupBy("query_id", "engine").agg(F.min("job").alias("job"))
+    else:
+        first = ok.join(jobs, "job").groupBy("query_id", "engine").agg(F.min_by("job", F.struct("position", "job")).alias("job"))
     kept = ok.where(F.col("rank") <= depth).join(first, ["query_id", "engine", "job"], "left_semi")
     return kept.groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_set("engine")).alias("sources"))
 
@@ -118,13 +142,13 @@ def grade_histogram(qrels: DataFrame) -> DataFrame:
     return g.groupBy("judge", "query_id").agg(*[F.count_if(F.col("grade") == k).alias(f"grade_{k}" if k >= 0 else "unjudged") for k in (-1, 0, 1, 2, 3)], F.count_if(F.col("grade") >= 0).alias("graded"))
 
 
-def latency(samples: DataFrame, by: str, value: str) -> DataFrame:
+def latency(samples: DataFrame, by: str | tuple[str, ...], value: str) -> DataFrame:
     """Whole-number statistics of samples: extremes, mean, deviation and interpolated percentiles."""
-    ps = (50, 75, 90, 95, 99)
-    return samples.groupBy(by).agg(
+    ps, by = (50, 75, 90, 95, 99), (by,) if isinstance(by, str) else by
+    return samples.groupBy(*by).agg(
         F.count("*").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.floor(F.avg(value)).alias("mean"), F.floor(F.stddev_samp(value)).alias("sd"),
         F.percentile(value, F.array(*[F.lit(p / 100) for p in ps])).alias("p"),
-    ).select(by, "n", "min", "max", "mean", "sd", *[F.floor(F.col("p")[i]).alias(f"p{p}") for i, p in enumerate(ps)])
+    ).select(*by, "n", "min", "max", "mean", "sd", *[F.floor(F.col("p")[i]).alias(f"p{p}") for i, p in enumerate(ps)])
 
 
 def wilcoxon(metrics: DataFrame, names: tuple[str, ...] = ("ndcg_5", "ndcg_10", "ap", "rr")) -> DataFrame:
@@ -159,3 +183,35 @@ def difference(metrics: DataFrame, base: str, other: str, name: str = "ndcg_10")
     """Two jobs side by side: (query_id, engine, before, after, delta); a null side is missing there."""
     one, two = (metrics.where(F.col("job") == j).select("query_id", "engine", F.col(name).alias(n)) for j, n in ((base, "before"), (other, "after")))
     return one.join(two, ["query_id", "engine"], "full").withColumn("delta", F.floor((F.col("after") - F.col("before")) * 1e6 + 0.5) / 1e6)
+
+
+def significance(metrics: DataFrame, names: tuple[str, ...] = (*(f"ndcg_{k}" for k in KS), "ap", "rr")) -> DataFrame:
+    """The matrix of all pairs of engines and metrics with p and stars; as many rows as pairs of engines."""
+    tests = wilcoxon(metrics, names)
+
+    def judge(batches):
+        for g in batches:
+            g["p"] = [p_value(z) for z in g["z"]]
+            g["stars"] = [stars(p) for p in g["p"]]
+            yield g
+
+    return tests.mapInPandas(judge, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tests.schema) + ", p double, stars string")
+
+
+def regressions(metrics: DataFrame, base: str, other: str, name: str = "ndcg_10") -> DataFrame:
+    """The queries of both jobs, the worst change first."""
+    return difference(metrics, base, other, name).where("delta IS NOT NULL").orderBy("delta", "query_id", "engine")
+
+
+def aggregate_difference(aggregated: DataFrame, base: str, other: str) -> DataFrame:
+    """(engine, metric, before, after, delta) of the means of two jobs; an engine of one job only has a null on the other side."""
+    names = [c for c in aggregated.columns if c.startswith("mean_")]
+    stack = F.expr(f"stack({len(names)}, " + ", ".join(f"'{c.removeprefix('mean_')}', {c}" for c in names) + ") AS (metric, value)")
+    one, two = (aggregated.where(F.col("job") == j).select("engine", stack).withColumnRenamed("value", n) for j, n in ((base, "before"), (other, "after")))
+    return one.join(two, ["engine", "metric"], "full").withColumn("delta", F.floor((F.col("after") - F.col("before")) * 1e6 + 0.5) / 1e6)
+
+
+def same_corpus(counts: DataFrame) -> DataFrame:
+    """counts(engine, articles) with ``agrees``: whether all engines search as many articles."""
+    w = Window.partitionBy(F.lit(1))
+    return counts.withColumn("agrees", F.min("articles").over(w) == F.max("articles").over(w))

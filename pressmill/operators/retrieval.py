@@ -20,6 +20,7 @@ from pressmill.operators import boolean
 from pressmill.session import materialize
 
 FIELDS = ("title", "description", "content")
+ALL_FIELDS = (*FIELDS, "subtitle", "author")
 LABELS = {"title": "A", "description": "B", "content": "C", "subtitle": "D", "author": "D"}
 K1, B, AUTO = 1.2, 0.75, -1
 PAGE_DEFAULT, PAGE_MOST, MOST_SLOP, RRF_K, CANDIDATES = 100, 10_000, 3, 60, 200
@@ -170,16 +171,23 @@ def match_boolean(docs: DataFrame, q: Boolean) -> DataFrame:
     return analyzed(docs, q.fields).select("id", together.alias("all")).where(boolean.predicate(tree, F.col("all"))).select("id").distinct()
 
 
-def page(hits: DataFrame, size: int = PAGE_DEFAULT, after: tuple[float, str] | None = None) -> DataFrame:
+def page(hits: DataFrame, size: int = PAGE_DEFAULT, after: tuple[float, str] | None = None, most: int = PAGE_MOST) -> DataFrame:
     """The next ``size`` hits in order of score and id; ``after`` is the last hit of the page before."""
-    if not 1 <= size <= PAGE_MOST:
-        raise ValueError(f"size must be between 1 and {PAGE_MOST}")
+    if not 1 <= size <= most:
+        raise ValueError(f"size must be between 1 and {most}")
     if after:
         s, i = after
         hits = hits.where((F.col("score") < s) | ((F.col("score") == s) & (F.col("id") < i)))
     return hits.orderBy(F.desc("score"), F.desc("id")).limit(size)
 
 
+def probe(hits: DataFrame, size: int = PAGE_DEFAULT, after: tuple[float, str] | None = None) -> DataFrame:
+    """A page and one hit more, which tells whether others follow."""
+    if not 1 <= size <= PAGE_MOST:
+        raise ValueError(f"size must be between 1 and {PAGE_MOST}")
+    return page(hits, min(size + 1, PAGE_MOST + 1), after, most=PAGE_MOST + 1)
+
+
 def normalized(hits: DataFrame) -> DataFrame:
     """Adds score_normalized (by the highest score), max_score and total_matches."""
     best = hits.agg(F.max("score").alias("top"), F.count("*").alias("n")).first()

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pressmill.operators import embeddings as E
 from pressmill.operators import evaluation as V
+from pressmill.operators import judge_runs as JR
 from pressmill.operators import judging as J
 from pressmill.plans.search_queries import DIM, MODEL, VECTORS, versions
 from pressmill.session import table
@@ -250,6 +251,107 @@ def judge_resume(spark, d):
     return J.remaining(V.pool(table(spark, d, "runs")).select("query_id", "doc_id"), table(spark, d, "qrels"))
 
 
+# Runs in which documents, grades and engines overlap: each engine ranks the documents that were ever graded for a query by a hash of its own,
+# two of them by grade first for every other query, so that the metrics differ from zero and between engines.
+_DERIVED = """runs AS (SELECT job, query_id, category, engine, rank::INT AS rank, doc_id, 1e0 / rank AS score, NULL::VARCHAR AS error FROM (
+SELECT *, row_number() OVER (PARTITION BY job, query_id, engine ORDER BY CASE WHEN by_grade AND substr(md5(job || query_id), 1, 1) < '8' THEN -best ELSE 0 END, md5(job || engine || doc_id)) AS rank
+FROM (SELECT query_id, doc_id, max(grade) AS best, 'kind ' || substr(md5(query_id), 1, 1) AS category FROM qrels GROUP BY query_id, doc_id), (VALUES ('first'), ('second')) AS j(job),
+(VALUES ('alpha', true), ('beta', true), ('gamma', false), ('delta', false)) AS e(engine, by_grade)) WHERE rank <= 10)"""
+
+
+def _derived(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "qrels").groupBy("query_id", "doc_id").agg(F.max("grade").alias("best"))
+    q = q.withColumn("category", F.concat(F.lit("kind "), F.substring(F.md5("query_id"), 1, 1)))
+    named = F.array(*[F.struct(F.lit(n).alias("engine"), F.lit(b).alias("by_grade")) for n, b in (("alpha", True), ("beta", True), ("gamma", False), ("delta", False))])
+    q = q.withColumn("job", F.explode(F.array(F.lit("first"), F.lit("second")))).withColumn("e", F.explode(named)).select("*", "e.*")
+    first = F.when(F.col("by_grade") & (F.substring(F.md5(F.concat("job", "query_id")), 1, 1) < "8"), -F.col("best")).otherwise(0)
+    w = Window.partitionBy("job", "query_id", "engine").orderBy(first, F.md5(F.concat("job", "engine", "doc_id")))
+    ranked = q.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
+    return ranked.select("job", "query_id", "category", "engine", "rank", "doc_id", (1 / F.col("rank")).alias("score"), F.lit(None).cast("string").alias("error"))
+
+
+def _derived_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return V.per_query(_derived(spark, d), V.grades(table(spark, d, "qrels")))
+
+
+@_query(f"WITH {_DERIVED}, {_per_query()} SELECT job, query_id, engine, judged, {_round(METRICS)} FROM m")
+def metrics_of_overlapping_runs(spark, d):
+    """All metrics of runs that overlap with the grades."""
+    return _derived_metrics(spark, d).select("job", "query_id", "engine", "judged", *[_r6(c).alias(c) for c in METRICS])
+
+
+@_query(_aggregate_sql("job, engine").replace("WITH ", f"WITH {_DERIVED}, ", 1))
+def engine_aggregate_overlapping(spark, d):
+    return _rounded_means(V.aggregate(_derived(spark, d), _derived_metrics(spark, d)))
+
+
+@_query(_aggregate_sql("job, category, engine", "WHERE job IN (SELECT job FROM x GROUP BY job HAVING count(DISTINCT category) > 1)").replace("WITH ", f"WITH {_DERIVED}, ", 1))
+def category_aggregate_overlapping(spark, d):
+    return _rounded_means(V.by_category(_derived(spark, d), _derived_metrics(spark, d)))
+
+
+_TESTED = (*(f"ndcg_{k}" for k in V.KS), "ap", "rr")
+_Z = "sum(CASE WHEN {0} THEN r + (t - 1) / 2e0 ELSE 0 END)"
+
+
+@_query(f"""WITH {_DERIVED}, {_per_query()}, l AS ({" UNION ALL ".join(f"SELECT job, query_id, engine, '{n}' AS metric, {n} AS value FROM m WHERE judged" for n in _TESTED)}),
+d AS (SELECT a.job, a.engine AS engine_a, b.engine AS engine_b, metric, floor((a.value - b.value) * 1e9 + 0.5e0) / 1e9 AS d FROM l a JOIN l b USING (job, query_id, metric) WHERE a.engine < b.engine),
+t AS (SELECT *, count(*) OVER (PARTITION BY job, engine_a, engine_b, metric, abs(d)) AS t, rank() OVER (PARTITION BY job, engine_a, engine_b, metric ORDER BY abs(d)) AS r FROM d WHERE d <> 0),
+s AS (SELECT job, engine_a, engine_b, metric, count(*) AS n, {_Z.format("d > 0")} AS up, {_Z.format("d < 0")} AS down, sum((t * t - 1) / 48e0) AS ties FROM t GROUP BY ALL HAVING count(*) >= 4),
+v AS (SELECT *, least(up, down) AS w, n * (n + 1) * (2 * n + 1) / 24e0 - ties AS variance FROM s),
+z AS (SELECT *, floor((CASE WHEN variance > 0 THEN (w - n * (n + 1) / 4e0 + 0.5e0) / sqrt(variance) ELSE 0 END) * 1e6 + 0.5e0) / 1e6 AS z FROM v)
+SELECT job, engine_a, engine_b, metric, n, w, z, CASE WHEN abs(z) > 2.5758293e0 THEN '**' WHEN abs(z) > 1.9599640e0 THEN '*' ELSE '' END AS stars FROM z""")
+def significance_matrix(spark, d):
+    """All pairs of engines on all metrics; the stars are those of p < 0.01 and p < 0.05."""
+    return V.significance(_derived_metrics(spark, d)).drop("p")
+
+
+@_query(f"WITH {_DERIVED}, {_per_query()}, p AS (SELECT * FROM m WHERE job = 'first'), q AS (SELECT * FROM m WHERE job = 'second') SELECT query_id, engine, floor(p.ndcg_10 * 1e6 + 0.5e0) / 1e6 AS before, floor(q.ndcg_10 * 1e6 + 0.5e0) / 1e6 AS after, floor((q.ndcg_10 - p.ndcg_10) * 1e6 + 0.5e0) / 1e6 AS delta FROM p JOIN q USING (query_id, engine)")
+def run_regressions(spark, d):
+    out = V.regressions(_derived_metrics(spark, d), "first", "second")
+    return out.select("query_id", "engine", _r6("before").alias("before"), _r6("after").alias("after"), "delta")
+
+
+@_query(f"""WITH {_DERIVED}, {_per_query()}, l AS ({" UNION ALL ".join(f"SELECT job, engine, '{n}' AS metric, avg({n}) AS v FROM m WHERE judged GROUP BY ALL" for n in METRICS)})
+SELECT engine, metric, floor(a.v * 1e6 + 0.5e0) / 1e6 AS before, floor(b.v * 1e6 + 0.5e0) / 1e6 AS after, floor((b.v - a.v) * 1e6 + 0.5e0) / 1e6 AS delta FROM (SELECT * FROM l WHERE job = 'first') a FULL JOIN (SELECT * FROM l WHERE job = 'second') b USING (engine, metric)""")
+def aggregate_diff(spark, d):
+    out = V.aggregate_difference(V.aggregate(_derived(spark, d), _derived_metrics(spark, d)), "first", "second")
+    return out.select("engine", "metric", _r6("before").alias("before"), _r6("after").alias("after"), "delta")
+
+
+@_query(f"WITH {_DERIVED}, {_per_query()}, a AS (SELECT job, engine, floor(avg(ndcg_10) * 1e6 + 0.5e0) / 1e6 AS ndcg, floor(avg(ap) * 1e6 + 0.5e0) / 1e6 AS map FROM m WHERE judged GROUP BY ALL) SELECT job, engine, ndcg, map, ndcg = max(ndcg) OVER (PARTITION BY job) AS best_ndcg, map = max(map) OVER (PARTITION BY job) AS best_map FROM a")
+def best_engines(spark, d):
+    """The highest mean of each column marked."""
+    a = V.aggregate(_derived(spark, d), _derived_metrics(spark, d)).select("job", "engine", _r6("mean_ndcg_10").alias("ndcg"), _r6("mean_ap").alias("map"))
+    return V.best_per_column(a, ["ndcg", "map"])
+
+
+@_query("""WITH s AS (SELECT job, engine, floor(score * 1e6)::BIGINT + rank AS ns FROM runs WHERE rank IS NOT NULL AND (job, query_id, engine) NOT IN (SELECT (job, query_id, engine) FROM runs WHERE error IS NOT NULL))
+SELECT job, engine, count(*) AS n, min(ns) AS min, max(ns) AS max, floor(quantile_cont(ns, 0.5))::BIGINT AS p50, floor(quantile_cont(ns, 0.95))::BIGINT AS p95 FROM s GROUP BY ALL""")
+def engine_latency(spark, d):
+    """Latency over all samples of an engine, failed executions left out; the runs' scores stand in for samples."""
+    runs = table(spark, d, "runs")
+    samples = runs.where("rank IS NOT NULL").select("job", "query_id", "engine", (F.floor(F.col("score") * 1e6) + F.col("rank")).alias("ns"))
+    a = V.aggregate(runs, _metrics(spark, d), samples=samples).where("latency_n IS NOT NULL")
+    return a.select("job", "engine", *[F.col(f"latency_{c}").alias(c) for c in ("n", "min", "max", "p50", "p95")])
+
+
+@_query("WITH c AS (SELECT 'articles' AS engine, count(DISTINCT id) AS articles FROM articles UNION ALL SELECT 'vectors', count(DISTINCT article_id) FROM article_embeddings) SELECT engine, articles, min(articles) OVER () = max(articles) OVER () AS agrees FROM c")
+def corpus_check(spark, d):
+    """Whether all engines search as many articles."""
+    c = table(spark, d, "articles").agg(F.lit("articles").alias("engine"), F.count_distinct("id").alias("articles"))
+    v = table(spark, d, "article_embeddings").agg(F.lit("vectors").alias("engine"), F.count_distinct("article_id").alias("articles"))
+    return V.same_corpus(c.unionByName(v))
+
+
+@_query(f"WITH {_POOL}, k AS (SELECT query_id, doc_id, max(grade) AS grade FROM qrels WHERE grade >= 0 GROUP BY ALL), t AS (SELECT query_id, doc_id, k.grade FROM pool LEFT JOIN k USING (query_id, doc_id)) SELECT query_id, doc_id, coalesce(grade, CASE WHEN doc_id IN (SELECT id FROM articles WHERE id < '8') THEN 1 ELSE -1 END)::INT AS grade FROM t")
+def judge_run(spark, d):
+    """Grades kept from before, the judge's for the rest, -1 where the article is missing; half of the articles are hidden here."""
+    some = table(spark, d, "articles").where("id < '8'")
+    kept = V.grades(table(spark, d, "qrels"))
+    return JR.run(V.pool(table(spark, d, "runs")), some, lambda texts: texts.select("query_id", "doc_id", F.lit(1).alias("grade")), kept)
+
+
 _UUID = "regexp_matches(article_id, '^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$')"
 
 
