@@ -1,11 +1,9 @@
-"""Analyzers and scalar functions as Column expressions; nothing here leaves the JVM but the stemmer."""
+"""Analyzers and scalar functions as Column expressions; nothing here leaves the JVM."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 # Words that judging queries drop.
 JUDGE_STOP_WORDS = "a an and the or of to in on at by for with from is are was were be been being it its as that this these those news article search query".split()
@@ -88,82 +86,3 @@ def snippet(text: Column, term: str, around: int = 40) -> Column:
     at = F.instr(F.lower(text), term)
     start = F.greatest(at - around, F.lit(1))
     return F.when(at > 0, F.concat(F.substring(text, start, at - start), F.lit("["), F.substring(text, at, F.lit(len(term))), F.lit("]"), F.substring(text, at + len(term), F.lit(around))))
-
-
-_VOWELS = "aeiou"
-
-
-def _is_consonant(w: str, i: int) -> bool:
-    return w[i] not in _VOWELS and not (w[i] == "y" and i > 0 and _is_consonant(w, i - 1))
-
-
-def _measure(w: str) -> int:
-    kinds = [_is_consonant(w, i) for i in range(len(w))]
-    return sum(1 for a, b in zip(kinds, kinds[1:]) if not a and b)
-
-
-def stem_english(w: str) -> str:
-    """Suffix stripping after Porter's published rules: plurals, participles, y, and the usual derivational endings."""
-    if len(w) < 3 or not w.isascii() or not w.isalpha():
-        return w
-    vowel = lambda s: any(not _is_consonant(s, i) for i in range(len(s)))
-    if w.endswith("sses") or w.endswith("ies"):
-        w = w[:-2]
-    elif w.endswith("s") and not w.endswith("ss"):
-        w = w[:-1]
-    if w.endswith("eed"):
-        w = w[:-1] if _measure(w[:-3]) > 0 else w
-    else:
-        for end in ("ed", "ing"):
-            if w.endswith(end) and vowel(w[: -len(end)]):
-                w = w[: -len(end)]
-                if w.endswith(("at", "bl", "iz")):
-                    w += "e"
-                elif len(w) > 1 and w[-1] == w[-2] and _is_consonant(w, len(w) - 1) and w[-1] not in "lsz":
-                    w = w[:-1]
-                elif _measure(w) == 1 and len(w) > 2 and _is_consonant(w, len(w) - 1) and not _is_consonant(w, len(w) - 2) and _is_consonant(w, len(w) - 3) and w[-1] not in "wxy":
-                    w += "e"
-                break
-    if w.endswith("y") and vowel(w[:-1]):
-        w = w[:-1] + "i"
-    rules = (
-        (("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")),
-        (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")),
-    )
-    for step in rules:
-        for end, new in step:
-            if w.endswith(end):
-                if _measure(w[: -len(end)]) > 0:
-                    w = w[: -len(end)] + new
-                break
-    for end in ("ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion", "al", "er", "ic", "ou"):
-        if w.endswith(end):
-            root = w[: -len(end)]
-            if _measure(root) > 1 and (end != "ion" or root.endswith(("s", "t"))):
-                w = root
-            break
-    if w.endswith("e"):
-        root = w[:-1]
-        m = _measure(root)
-        short = len(root) > 2 and _is_consonant(root, len(root) - 1) and not _is_consonant(root, len(root) - 2) and _is_consonant(root, len(root) - 3) and root[-1] not in "wxy"
-        if m > 1 or m == 1 and not short:
-            w = root
-    if w.endswith("ll") and _measure(w) > 1:
-        w = w[:-1]
-    return w
-
-
-def _stem_arrays(toks: pd.Series) -> pd.Series:
-    known: dict[str, str] = {}
-
-    def one(ws):
-        if ws is None:
-            return None
-        return [known[w] if w in known else known.setdefault(w, stem_english(w)) for w in ws]
-
-    return toks.map(one)
-
-
-def stems(toks: Column) -> Column:
-    """Stems of arrays of tokens; each distinct word of a batch is stemmed once."""
-    return F.pandas_udf(_stem_arrays, ArrayType(StringType()))(toks)

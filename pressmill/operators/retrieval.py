@@ -1,8 +1,8 @@
-"""Search over articles: every query is one plan of scan, filter, score and top-k; only ids and scores are ordered.
+"""Search over articles without an index: one plan of scan, filter, score and top-k; only ids and scores are ordered.
 
-Term counts come from each row's own tokens; what is shuffled to count repeated rows of an id once are those counts, never
-texts. The corpus statistics of BM25 are one global aggregate (a row). Article columns are joined to the k best ids afterwards.
-``postings`` gives the inverted form for materialising. Defined results: null fields are empty; repeated rows of an id count
+This reads all texts for each query; ``index`` has the same search over stored postings. Term counts come from each row's own tokens;
+what is shuffled to count repeated rows of an id once are those counts, never texts. The corpus statistics of BM25 are one global
+aggregate (a row). Article columns are joined to the k best ids afterwards. Defined results: null fields are empty; repeated rows of an id count
 once; ties go to the larger id.
 """
 
@@ -12,10 +12,13 @@ import base64
 import json
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pressmill.functions import text as T
+from pressmill.functions import text as A
 from pressmill.operators import boolean
 from pressmill.session import materialize
 
@@ -69,23 +72,13 @@ def articles_once(articles: DataFrame, columns: tuple[str, ...] = FIELDS) -> Dat
 
 def analyzed(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """id and the tokens of each field."""
-    return docs.select("id", *[T.tokens(F.col(f)).alias(f) for f in fields])
+    return docs.select("id", *[A.tokens(F.col(f)).alias(f) for f in fields])
 
 
 def words_of(text: str) -> list[str]:
     return list(dict.fromkeys(w for n in [boolean.lex(text)] for _, v in n for w in v.lower().split()))
 
 
-def postings(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """(id, field, label, term, positions): the inverted form."""
-    toks = analyzed(docs, fields)
-    per = [toks.select("id", F.lit(f).alias("field"), F.lit(LABELS.get(f, "D")).alias("label"), F.posexplode(f).alias("pos", "term")) for f in fields]
-    out = per[0]
-    for p in per[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("id", "field", "label", "term").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
-
-
 def edits(term: str, fuzziness: int) -> int:
     """Edits allowed for a term: none up to two characters, one up to five, two beyond, where fuzziness is AUTO."""
     return (len(term) > 2) + (len(term) > 5) if fuzziness == AUTO else fuzziness
@@ -93,7 +86,7 @@ def edits(term: str, fuzziness: int) -> int:
 
 def _counts(toks: Column, terms: list[str], fuzziness: int) -> list[Column]:
     close = lambda t, n: lambda w: F.levenshtein(w, F.lit(t), n) >= 0
-    return [F.size(F.filter(toks, close(t, edits(t, fuzziness)))) if edits(t, fuzziness) else T.term_count(toks, t) for t in terms]
+    return [F.size(F.filter(toks, close(t, edits(t, fuzziness)))) if edits(t, fuzziness) else A.term_count(toks, t) for t in terms]
 
 
 def bm25(tf: Column, dl: Column, df: int, n: int, average: float, k1: float = K1, b: float = B) -> Column:
@@ -117,12 +110,18 @@ def scored(docs: DataFrame, q: Match) -> DataFrame:
         *[F.avg(f"dl_{f}").alias(f"dl_{f}") for f in q.fields],
         *[F.count_if(F.col(f"tf_{f}_{i}") > 0).alias(f"df_{f}_{i}") for f in q.fields for i in range(len(terms))],
     ).first()
-    per_field, hit = [], [F.lit(False)] * len(terms)
+    df = {(f, i): stats[f"df_{f}_{i}"] for f in q.fields for i in range(len(terms))}
+    return scores(counted, q, len(terms), stats["n"], df, {f: stats[f"dl_{f}"] for f in q.fields})
+
+
+def scores(counted: DataFrame, q: Match, terms: int, n: int, df: dict[tuple[str, int], int], average: dict[str, float]) -> DataFrame:
+    """(id, score, matched) from lengths and term counts per field, and the collection's statistics."""
+    per_field, hit = [], [F.lit(False)] * terms
     for f in q.fields:
         total = F.lit(0.0)
-        for i in range(len(terms)):
+        for i in range(terms):
             tf = F.col(f"tf_{f}_{i}")
-            total = total + bm25(tf, F.col(f"dl_{f}"), stats[f"df_{f}_{i}"], stats["n"], stats[f"dl_{f}"])
+            total = total + bm25(tf, F.col(f"dl_{f}"), df[f, i], n, average[f])
             hit[i] = hit[i] | (tf > 0)
         per_field.append(total * q.weights.get(f, 1.0))
     score = per_field[0]
@@ -131,7 +130,7 @@ def scored(docs: DataFrame, q: Match) -> DataFrame:
     matched = hit[0] if hit else F.lit(False)
     for h in hit[1:]:
         matched = (matched & h) if q.operator == "and" else (matched | h)
-    return counted.select("id", T.round4(score).alias("score"), matched.alias("matched"))
+    return counted.select("id", A.round4(score).alias("score"), matched.alias("matched"))
 
 
 def search(docs: DataFrame, q: Match) -> DataFrame:
@@ -139,20 +138,24 @@ def search(docs: DataFrame, q: Match) -> DataFrame:
     return scored(docs, q).where("matched").select("id", "score")
 
 
-def phrase_predicate(q: Phrase, toks: Column) -> Column:
-    """Slop s: for some distance d up to s, every word is followed by the next at exactly d + 1 places."""
-    words = [w for _, v in boolean.lex(q.text) for w in v.lower().split()]
+def phrase_words(q: Phrase) -> list[str]:
     if not 0 <= q.slop <= MOST_SLOP:
         raise ValueError(f"slop must be between 0 and {MOST_SLOP}")
+    return [w for _, v in boolean.lex(q.text) for w in v.lower().split()]
+
+
+def phrase_predicate(q: Phrase, toks: Column) -> Column:
+    """Slop s: for some distance d up to s, every word is followed by the next at exactly d + 1 places."""
+    words = phrase_words(q)
     if len(words) == 1:
         return F.array_contains(toks, words[0])
     if q.slop == 0:
-        return T.has_phrase(toks, words)
+        return A.has_phrase(toks, words)
     out = F.lit(False)
     for d in range(q.slop + 1):
         every = F.lit(True)
         for a, b in zip(words, words[1:]):
-            every = every & F.coalesce(T.within_distance(toks, a, b, d + 1), F.lit(False))
+            every = every & F.coalesce(A.within_distance(toks, a, b, d + 1), F.lit(False))
         out = out | every
     return out
 
@@ -192,7 +195,7 @@ def normalized(hits: DataFrame) -> DataFrame:
     """Adds score_normalized (by the highest score), max_score and total_matches."""
     best = hits.agg(F.max("score").alias("top"), F.count("*").alias("n")).first()
     safe = best["top"] if best["top"] and best["top"] > 0 else 1.0
-    return hits.withColumns({"max_score": F.lit(best["top"]), "total_matches": F.lit(best["n"]), "score_normalized": T.round4(F.col("score") / safe)})
+    return hits.withColumns({"max_score": F.lit(best["top"]), "total_matches": F.lit(best["n"]), "score_normalized": A.round4(F.col("score") / safe)})
 
 
 def encode_cursor(score: float, id: str) -> str:
@@ -223,14 +226,29 @@ def with_ranks(leg: DataFrame, k: int, order: list[Column]) -> DataFrame:
     return leg.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def _distances(query: list[float]):
+    """Cosine distances of a batch of vectors of the query's length, as one product in double."""
+
+    def find(batches):
+        q = np.array(query, float)
+        for b in batches:
+            x = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, len(q))
+            norm = np.sqrt((x * x).sum(1) * (q * q).sum())
+            cosine = np.where(norm > 0, (x @ q) / np.where(norm > 0, norm, 1), 0.0)
+            names = [c for c in b.schema.names if c != "embedding"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(np.floor((1 - cosine) * 1e6 + 0.5) / 1e6)], [*names, "distance"])
+
+    return find
+
+
 def nearest(vectors: DataFrame, query: list[float], k: int, threshold: float | None = None) -> DataFrame:
     """(id, distance) of the k smallest cosine distances to a query vector, exactly; smaller ids first among equals.
 
-    Where vectors have a column ``version``, the highest one of an id counts; only distances are shuffled for that.
+    Where vectors have a column ``version``, the highest one of an id counts; only distances are shuffled for that. Vectors with nulls take no part.
     """
-    q = F.array(*[F.lit(float(x)) for x in query])
-    d = F.floor((1 - T.cosine(F.col("embedding"), q)) * 1e6 + 0.5) / 1e6
-    out = vectors.where(F.size("embedding") == len(query)).select("id", d.alias("distance"), *[c for c in vectors.columns if c == "version"])
+    own = vectors.where((F.size("embedding") == len(query)) & ~F.exists("embedding", F.isnull))
+    others = [f for f in own.schema.fields if f.name in ("id", "version")]
+    out = own.select(*[f.name for f in others], "embedding").mapInArrow(_distances(query), T.StructType([*others, T.StructField("distance", T.DoubleType())]))
     if "version" in vectors.columns:
         out = out.groupBy("id").agg(F.max_by("distance", "version").alias("distance"))
     if threshold is not None:
@@ -249,19 +267,4 @@ def fuse_weighted(lexical: DataFrame, semantic: DataFrame, weight: float = 0.5)
     """Weighted sum of the legs' own scores: (id, score) each."""
     legs = lexical.select("id", F.col("score").alias("a"), F.lit(0.0).alias("b")).unionByName(semantic.select("id", F.lit(0.0).alias("a"), F.col("score").alias("b")))
     both = legs.groupBy("id").agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    return both.select("id", T.round4(weight * F.col("a") + (1 - weight) * F.col("b")).alias("score"))
-
-
-def ts_rank(docs: DataFrame, terms: list[str], weights: dict[str, float] | None = None) -> DataFrame:
-    """(id, score): stemmed terms in labelled fields, positions weighted by label, as PostgreSQL ranks single terms and OR."""
-    weights = weights or {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
-    wanted = [T.stem_english(t) for t in terms]
-    toks = docs.select("id", *[T.stems(T.tokens(F.col(f))).alias(f) for f in FIELDS])
-    total = F.lit(0.0)
-    for t in wanted:
-        weight_list = F.flatten(F.array(*[F.array_repeat(F.lit(float(weights[LABELS[f]])), T.term_count(F.col(f), t)) for f in FIELDS]))
-        best = F.coalesce(F.array_max(weight_list), F.lit(0.0))
-        first = F.array_position(weight_list, best)
-        series = F.aggregate(F.transform(weight_list, lambda w, j: w / F.pow(j + 1, F.lit(2))), F.lit(0.0), lambda s, x: s + x)
-        total = total + F.when(F.size(weight_list) > 0, (best + series - best / F.pow(first, F.lit(2))) / 1.64493406685).otherwise(0.0)
-    return toks.select("id", T.round4(total / len(wanted)).alias("score")).where("score > 0").distinct()
+    return both.select("id", A.round4(weight * F.col("a") + (1 - weight) * F.col("b")).alias("score"))

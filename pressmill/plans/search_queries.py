@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressmill.functions import text as T
-from pressmill.operators import embeddings, retrieval as R
+from pressmill.operators import embeddings
+from pressmill.operators import index as I
+from pressmill.operators import requests as Q
+from pressmill.operators import retrieval as R
 from pressmill.session import table
 
 MODEL, DIM = "aurora-embed-64", 64
@@ -24,7 +27,7 @@ def _query(sql: str | None = None):
     return add
 
 
-ONCE = "a AS (SELECT id, max(title) AS title, max(description) AS description, max(content) AS content FROM articles GROUP BY id)"
+ONCE = "a AS (SELECT id, " + ", ".join(f"max({c}) AS {c}" for c in R.ALL_FIELDS) + " FROM articles GROUP BY id)"
 
 
 def _toks(column: str) -> str:
@@ -33,7 +36,8 @@ def _toks(column: str) -> str:
 
 def _counted(terms: list[str], fields: tuple[str, ...], fuzz: int = 0) -> str:
     """CTEs c (id, lengths and term counts) and s (statistics)."""
-    hit = lambda t: f"levenshtein(x, '{t}') <= {R.edits(t, fuzz)}" if R.edits(t, fuzz) else f"x = '{t}'"
+    most = lambda t: (0 if len(t) < 3 else 1 if len(t) < 6 else 2) if fuzz == -1 else fuzz
+    hit = lambda t: f"levenshtein(x, '{t}') <= {most(t)}" if most(t) else f"x = '{t}'"
     c = ", ".join(f"len(k_{f}) AS dl_{f}, " + ", ".join(f"len(list_filter(k_{f}, lambda x: {hit(t)})) AS tf_{f}_{i}" for i, t in enumerate(terms)) for f in fields)
     s = ", ".join(f"avg(dl_{f}) AS avg_{f}, " + ", ".join(f"count(*) FILTER (WHERE tf_{f}_{i} > 0) AS df_{f}_{i}" for i in range(len(terms))) for f in fields)
     k = ", ".join(f"{_toks(f)} AS k_{f}" for f in fields)
@@ -54,7 +58,7 @@ def _where(terms: list[str], fields: tuple[str, ...], operator: str) -> str:
 
 
 def _search_sql(q: R.Match, tail: str = "") -> str:
-    terms = R.words_of(q.text)
+    terms = q.text.split(" ")
     return f"WITH {_counted(terms, q.fields, q.fuzziness)} SELECT id, {_bm25(terms, q.fields, q.weights, q.best_fields)} AS score FROM c, s WHERE {_where(terms, q.fields, q.operator.upper())} {tail}"
 
 
@@ -66,7 +70,11 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "articles").select("id", *R.FIELDS)
 
 
-Q_OR, Q_AND = R.Match("council budget"), R.Match("council library", operator="and")
+def _index(spark: SparkSession, d: str) -> I.SearchIndex:
+    return I.of_table(spark, f"{d}/articles.parquet")
+
+
+Q_OR, Q_AND = R.Match("council budget", R.ALL_FIELDS), R.Match("council library", R.ALL_FIELDS, "and")
 Q_TITLE, Q_CONTENT = R.Match("senate restored", ("title",), "and"), R.Match("harbour strike", ("content",))
 Q_BEST = R.Match("library vote", weights={"title": 3.0, "description": 2.0}, best_fields=True)
 Q_ZERO = R.Match("library vote", weights={"title": 0.0})
@@ -74,10 +82,14 @@ Q_AUTO = R.Match("harbor vot", ("title", "content"), "and", fuzziness=R.AUTO)
 Q_FUZZY = R.Match("libary counsil", ("content",), fuzziness=2)
 
 
-@_query(f"WITH {ONCE} SELECT id, title, concat_ws(' ', coalesce(title, ''), coalesce(description, ''), coalesce(content, '')) AS search_text FROM a")
+TOGETHER = ("title", "subtitle", "description", "content")
+_TEXT = "concat_ws(' ', " + ", ".join(f"coalesce({c}, '')" for c in TOGETHER) + ")"
+
+
+@_query(f"WITH {ONCE} SELECT id, title, {_TEXT} AS search_text FROM a")
 def articles_view(spark, d):
-    docs = R.articles_once(table(spark, d, "articles"))
-    return docs.select("id", "title", F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in R.FIELDS]).alias("search_text"))
+    docs = R.articles_once(table(spark, d, "articles"), TOGETHER)
+    return docs.select("id", "title", F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in TOGETHER]).alias("search_text"))
 
 
 @_query("SELECT count(DISTINCT id) AS articles FROM articles")
@@ -85,51 +97,64 @@ def corpus_count(spark, d):
     return table(spark, d, "articles").agg(F.count_distinct("id").alias("articles"))
 
 
-@_query(f"WITH {ONCE}, p AS (" + " UNION ALL ".join(f"SELECT id, '{f}' AS field, unnest({_toks(f)}) AS term FROM a" for f in R.FIELDS) + ") SELECT field, term, count(DISTINCT id) AS df, count(*) AS cf FROM p GROUP BY field, term")
+@_query(f"WITH {ONCE}, p AS (" + " UNION ALL ".join(f"SELECT id, '{f}' AS field, unnest({_toks(f)}) AS term FROM a" for f in R.ALL_FIELDS) + ") SELECT field, term, count(DISTINCT id) AS df, count(*) AS cf FROM p GROUP BY field, term")
 def postings_df(spark, d):
     """Document and collection frequency of every term of every field."""
-    return R.postings(_docs(spark, d)).groupBy("field", "term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).alias("cf"))
+    return _index(spark, d).vocabulary.select("field", "term", "df", "cf")
+
+
+@_query(f"WITH {ONCE}, " + ", ".join(f"k_{f} AS (SELECT id, {_toks(f)} AS k FROM a)" for f in R.FIELDS) + ", p AS (" + " UNION ALL ".join(f"SELECT id, '{f}' AS field, unnest(k) AS term, unnest(range(len(k))) AS pos, len(k) AS dl FROM k_{f}" for f in R.FIELDS) + ") SELECT field, term, id, count(*)::INT AS tf, max(dl)::INT AS dl, (max(pos) - min(pos))::INT AS span FROM p WHERE term IN ('council', 'harbour', 'budget') GROUP BY ALL")
+def stored_postings(spark, d):
+    """What the index holds of three words: lengths, counts and places (from the first to the last)."""
+    p = _index(spark, d).postings.where(F.col("term").isin("council", "harbour", "budget") & F.col("field").isin(*R.FIELDS))
+    return p.select("field", "term", "id", "tf", "dl", (F.array_max("places") - F.array_min("places")).alias("span"))
+
+
+@_query(_search_sql(R.Match("council budget")))
+def dynamic_match_or(spark, d):
+    """Without the index, from the texts."""
+    return R.search(_docs(spark, d), R.Match("council budget"))
 
 
 @_query(_search_sql(Q_OR))
 def query_string_or(spark, d):
-    return R.search(_docs(spark, d), Q_OR)
+    return I.search(_index(spark, d), Q_OR)
 
 
 @_query(_search_sql(Q_AND))
 def query_string_and(spark, d):
-    return R.search(_docs(spark, d), Q_AND)
+    return I.search(_index(spark, d), Q_AND)
 
 
 @_query(_search_sql(Q_TITLE))
 def match_title_and(spark, d):
-    return R.search(_docs(spark, d), Q_TITLE)
+    return I.search(_index(spark, d), Q_TITLE)
 
 
 @_query(_search_sql(Q_CONTENT))
 def match_content_or(spark, d):
-    return R.search(_docs(spark, d), Q_CONTENT)
+    return I.search(_index(spark, d), Q_CONTENT)
 
 
 @_query(_search_sql(Q_BEST))
 def multi_match_best_fields(spark, d):
-    return R.search(_docs(spark, d), Q_BEST)
+    return I.search(_index(spark, d), Q_BEST)
 
 
 @_query(_search_sql(Q_ZERO))
 def multi_match_zero_boost(spark, d):
     """A weight of zero changes scores, never the matches."""
-    return R.search(_docs(spark, d), Q_ZERO)
+    return I.search(_index(spark, d), Q_ZERO)
 
 
 @_query(_search_sql(Q_FUZZY))
 def fuzzy_token_bm25(spark, d):
-    return R.search(_docs(spark, d), Q_FUZZY)
+    return I.search(_index(spark, d), Q_FUZZY)
 
 
 @_query(_search_sql(Q_AUTO))
 def fuzzy_auto(spark, d):
-    return R.search(_docs(spark, d), Q_AUTO)
+    return I.search(_index(spark, d), Q_AUTO)
 
 
 _COUNT = f"WITH {ONCE} " + " UNION ALL ".join(f"SELECT '{f}' AS field, count(*) FILTER (WHERE list_contains({_toks(f)}, 'strike')) AS matches FROM a" for f in R.FIELDS)
@@ -137,9 +162,7 @@ _COUNT = f"WITH {ONCE} " + " UNION ALL ".join(f"SELECT '{f}' AS field, count(*)
 
 @_query(_COUNT)
 def field_match_counts(spark, d):
-    toks = R.analyzed(_docs(spark, d))
-    each = toks.select("id", *[F.array_contains(f, "strike").alias(f) for f in R.FIELDS]).groupBy("id").agg(*[F.max(f).alias(f) for f in R.FIELDS])
-    one = each.agg(*[F.count_if(f).alias(f) for f in R.FIELDS])
+    one = _index(spark, d).vocabulary.where("term = 'strike'").agg(*[F.coalesce(F.sum(F.when(F.col("field") == f, F.col("df"))), F.lit(0)).alias(f) for f in R.FIELDS])
     return one.select(F.expr(f"stack({len(R.FIELDS)}, " + ", ".join(f"'{f}', {f}" for f in R.FIELDS) + ") AS (field, matches)"))
 
 
@@ -149,9 +172,33 @@ def _padded(f: str) -> str:
 
 @_query(f"WITH {ONCE} SELECT id, fields FROM (SELECT id, " + " + ".join(f"contains({_padded(f)}, ' in a letter to ')::INT" for f in R.FIELDS) + " AS fields FROM a) WHERE fields > 0")
 def phrase_exact(spark, d):
+    return I.match_phrase(_index(spark, d), R.Phrase("in a letter to")).select("id", "fields")
+
+
+@_query(f"WITH {ONCE} SELECT id, fields FROM (SELECT id, " + " + ".join(f"contains({_padded(f)}, ' in a letter to ')::INT" for f in R.FIELDS) + " AS fields FROM a) WHERE fields > 0")
+def dynamic_phrase(spark, d):
     return R.match_phrase(_docs(spark, d), R.Phrase("in a letter to"))
 
 
+_WORDS = ["over", "the", "weekend"]
+_TIMES = f"(length({{0}}) - length(replace({{0}}, ' {' '.join(_WORDS)} ', ' ')))::DOUBLE / {len(' '.join(_WORDS)) + 1}"
+
+
+def _phrase_ranked_sql() -> str:
+    per = []
+    for f in ("title", "content"):
+        idf = " + ".join(f"ln(1e0 + (n - df_{f}_{i} + 0.5e0) / (df_{f}_{i} + 0.5e0))" for i in range(3))
+        per.append(f"CASE WHEN x_{f} > 0 THEN ({idf}) * x_{f} * 2.2e0 / (x_{f} + 1.2e0 * (0.25e0 + 0.75e0 * dl_{f} / avg_{f})) ELSE 0 END")
+    times = ", ".join(f"{_TIMES.format(_padded(f))} AS x_{f}" for f in ("title", "content"))
+    return f"WITH {_counted(_WORDS, ('title', 'content'))}, x AS (SELECT id, {times} FROM a) SELECT id, floor(({' + '.join(per)}) * 1e4 + 0.5e0) / 1e4 AS score FROM c JOIN x USING (id), s WHERE x_title + x_content > 0 ORDER BY score DESC, id DESC LIMIT 20"
+
+
+@_query(_phrase_ranked_sql())
+def phrase_ranked(spark, d):
+    """A page of phrase matches by BM25 of the phrase."""
+    return R.page(I.match_phrase(_index(spark, d), R.Phrase(" ".join(_WORDS), ("title", "content"))).select("id", "score"), 20)
+
+
 def _slop_sql(words: list[str], slop: int, field: str) -> str:
     alternatives = []
     for g in range(1, slop + 2):
@@ -162,11 +209,11 @@ def _slop_sql(words: list[str], slop: int, field: str) -> str:
 
 @_query(_slop_sql(["warned", "the", "could"], 2, "content"))
 def phrase_slop2(spark, d):
-    return R.match_phrase(_docs(spark, d), R.Phrase("warned the could", ("content",), 2))
+    return I.match_phrase(_index(spark, d), R.Phrase("warned the could", ("content",), 2)).select("id", "fields")
 
 
 def _boolean(spark, d, expression):
-    return R.match_boolean(_docs(spark, d), R.Boolean(expression))
+    return I.match_boolean(_index(spark, d), R.Boolean(expression)).select("id")
 
 
 _ANY = f"WITH {ONCE}, t AS (SELECT id, " + " || '\n ' || ".join(_padded(f) for f in R.FIELDS) + " AS k FROM a) SELECT id FROM t WHERE "
@@ -187,14 +234,37 @@ def boolean_phrase(spark, d):
     return _boolean(spark, d, '"over the weekend" AND library')
 
 
+@_query(_ANY + "contains(k, ' harbour ') AND (contains(k, ' strike ') OR contains(k, ' vote '))")
+def dynamic_boolean(spark, d):
+    return R.match_boolean(_docs(spark, d), R.Boolean("harbour (strike OR vote)"))
+
+
+@_query(_ANY + "NOT contains(k, ' council ') AND NOT contains(k, ' over the weekend ')")
+def boolean_only_not(spark, d):
+    return _boolean(spark, d, 'NOT council NOT "over the weekend"')
+
+
+@_query(f"WITH {_counted(['harbour', 'strike'], R.FIELDS)}, tt AS (SELECT id, " + " || '\n ' || ".join(_padded(f) for f in R.FIELDS) + f" AS k FROM a) SELECT id, {_bm25(['harbour', 'strike'], R.FIELDS)} AS score FROM c JOIN tt USING (id), s WHERE contains(k, ' harbour ') AND contains(k, ' strike ') AND NOT contains(k, ' budget ') {TOP.format(20)}")
+def boolean_ranked(spark, d):
+    """A page of boolean matches by BM25 of the words that aren't negated."""
+    return R.page(I.match_boolean(_index(spark, d), R.Boolean("harbour AND strike NOT budget")), 20)
+
+
+@_query(f"WITH h AS ({_search_sql(Q_OR)}), p AS (SELECT *, row_number() OVER (ORDER BY score DESC, id DESC) AS r FROM h) SELECT count(*) > 10 AS has_more, count(*) AS total_matches, max(score) AS max_score, max(id) FILTER (r = least(10, (SELECT count(*) FROM h))) AS last_id FROM p")
+def page_contract(spark, d):
+    """What a page tells besides its hits."""
+    p = Q.page_of(I.search(_index(spark, d), Q_OR), 10)
+    return spark.createDataFrame([(p.has_more, p.total_matches, p.max_score, R.decode_cursor(p.next_cursor)[1] if p.next_cursor else p.hits[-1]["id"] if p.hits else None)], "has_more boolean, total_matches long, max_score double, last_id string")
+
+
 @_query(_search_sql(Q_OR, TOP.format(10)))
 def page_first(spark, d):
-    return R.page(R.search(_docs(spark, d), Q_OR), 10)
+    return R.page(I.search(_index(spark, d), Q_OR), 10)
 
 
 @_query(f"WITH h AS ({_search_sql(Q_OR)}), p AS (SELECT * FROM h {TOP.format(10)}), l AS (SELECT * FROM p ORDER BY score, id LIMIT 1) SELECT h.id, h.score FROM h, l WHERE h.score < l.score OR h.score = l.score AND h.id < l.id ORDER BY h.score DESC, h.id DESC LIMIT 10")
 def page_after_cursor(spark, d):
-    hits = R.search(_docs(spark, d), Q_OR)
+    hits = I.search(_index(spark, d), Q_OR)
     last = R.page(hits, 10).orderBy("score", "id").first()
     cursor = R.encode_cursor(last["score"], last["id"]) if last else None
     return R.page(hits, 10, R.decode_cursor(cursor) if cursor else None)
@@ -202,18 +272,21 @@ def page_after_cursor(spark, d):
 
 @_query(f"WITH h AS ({_search_sql(Q_OR)}) SELECT id, score, max(score) OVER () AS max_score, count(*) OVER () AS total_matches, floor(score / CASE WHEN max(score) OVER () > 0 THEN max(score) OVER () ELSE 1 END * 1e4 + 0.5e0) / 1e4 AS score_normalized FROM h")
 def score_normalized(spark, d):
-    return R.normalized(R.search(_docs(spark, d), Q_OR))
+    return R.normalized(I.search(_index(spark, d), Q_OR))
 
 
 @_query(f"WITH h AS ({_search_sql(Q_OR)}) SELECT id, score FROM h ORDER BY score DESC, id DESC LIMIT 10 OFFSET 10")
 def offset_page(spark, d):
-    return R.search(_docs(spark, d), Q_OR).orderBy(F.desc("score"), F.desc("id")).offset(10).limit(10)
+    return I.search(_index(spark, d), Q_OR).orderBy(F.desc("score"), F.desc("id")).offset(10).limit(10)
 
 
-@_query(f"WITH {_counted(['council', 'budget'], ('content',))} SELECT id, {_bm25(['council', 'budget'], ('content',))} AS score FROM c, s {TOP.format(100)}")
+_ALL = f"WITH {ONCE}, t AS (SELECT id, {_toks(_TEXT)} AS k FROM a), c AS (SELECT id, len(k) AS dl_x, len(list_filter(k, lambda x: x = 'council')) AS tf_x_0, len(list_filter(k, lambda x: x = 'budget')) AS tf_x_1 FROM t), s AS (SELECT count(*) AS n, avg(dl_x) AS avg_x, count(*) FILTER (tf_x_0 > 0) AS df_x_0, count(*) FILTER (tf_x_1 > 0) AS df_x_1 FROM c)"
+
+
+@_query(f"{_ALL} SELECT id, {_bm25(['council', 'budget'], ('x',))} AS score FROM c, s {TOP.format(100)}")
 def rank_all_bm25(spark, d):
-    """The best of the whole corpus without a match condition."""
-    return R.top(R.scored(_docs(spark, d), R.Match("council budget", ("content",))).select("id", "score"), 100)
+    """The best of the whole corpus by its fields put together, without a match condition."""
+    return I.rank_all(_index(spark, d), R.Match("council budget", TOGETHER), 100)
 
 
 _VALID = f"len(embedding) = {DIM} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {DIM} AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
@@ -258,7 +331,7 @@ _FUSED = "SELECT coalesce(l.id, m.id) AS id, floor((coalesce(1e0 / (60e0 + l.ran
 
 def _legs(spark, d):
     v = versions(spark, d)
-    lexical = R.with_ranks(R.search(_docs(spark, d), Q_HYBRID), R.CANDIDATES, [F.desc("score"), F.desc("id")])
+    lexical = R.with_ranks(I.search(_index(spark, d), Q_HYBRID), R.CANDIDATES, [F.desc("score"), F.desc("id")])
     semantic = R.with_ranks(R.nearest(v, _query_vector(v), R.CANDIDATES), R.CANDIDATES, [F.col("distance"), F.col("id")])
     return lexical, semantic
 
@@ -304,13 +377,23 @@ def fuzzy_levenshtein(spark, d):
 
 @_query(f"WITH {ONCE}, t AS (SELECT id, {_toks('content')} AS k FROM a) SELECT id FROM t WHERE len(list_filter(range(1, len(k) + 1), lambda i: k[i] = 'council' AND list_contains(k[greatest(i - 5, 1):i + 5], 'budget'))) > 0")
 def proximity_unordered(spark, d):
-    return R.analyzed(_docs(spark, d), ("content",)).where(T.near(F.col("content"), "council", "budget", 5)).select("id").distinct()
+    return I.near(_index(spark, d), "council", "budget", 5, "content")
+
+
+@_query(f"WITH {ONCE}, t AS (SELECT id, {_toks('content')} AS k FROM a) SELECT id FROM t WHERE len(list_filter(range(1, len(k) + 1), lambda i: k[i] = 'council' AND list_contains(k[i + 1:i + 8], 'budget'))) > 0")
+def proximity_ordered(spark, d):
+    return I.near(_index(spark, d), "council", "budget", 8, "content", ordered=True)
+
+
+@_query(f"WITH {ONCE}, t AS (SELECT id, {_toks('title')} AS k FROM a) SELECT id, 2e0 AS score FROM t WHERE list_has_any(k, ['council', 'harbour', 'library'])")
+def term_set_constant(spark, d):
+    """Any of a set of terms, all with one score."""
+    return I.term_set(_index(spark, d), ["council", "harbour", "library"], ("title",), 2.0)
 
 
 @_query(f"WITH {ONCE}, t AS (SELECT id, {_toks('content')} AS k FROM a) SELECT id, len(list_filter(k, lambda x: starts_with(x, 'librar'))) AS hits FROM t WHERE len(list_filter(k, lambda x: starts_with(x, 'librar'))) > 0")
 def prefix_terms(spark, d):
-    hits = F.size(F.filter("content", lambda w: F.startswith(w, F.lit("librar"))))
-    return R.analyzed(_docs(spark, d), ("content",)).select("id", hits.alias("hits")).where("hits > 0").distinct()
+    return I.prefix(_index(spark, d), "librar", ("content",))
 
 
 @_query(f"WITH {ONCE}, t AS (SELECT id, content, instr(lower(content), 'harbour') AS p FROM a) SELECT id, substr(content, greatest(p - 40, 1), p - greatest(p - 40, 1)) || '[' || substr(content, p, 7) || ']' || substr(content, p + 7, 40) AS snippet FROM t WHERE p > 0")
@@ -318,10 +401,54 @@ def snippets(spark, d):
     return _docs(spark, d).select("id", T.snippet(F.col("content"), "harbour").alias("snippet")).where("snippet IS NOT NULL").distinct()
 
 
-@_query()
+# Surface forms of the queried stems, by hand: the SQL has no stemmer.
+_FORMS = {"library": ["library", "libraries", "librarys"], "restored": ["restore", "restored", "restores", "restoring"], "council": ["council", "councils"], "budget": ["budget", "budgets", "budgeted", "budgeting"]}
+_LABELLED = (("title", 1.0), ("description", 0.4), ("content", 0.2), ("subtitle", 0.1), ("author", 0.1))
+
+
+def _places(words: list[str]) -> str:
+    """CTEs: g (id, lexeme number i, place, weight), in the order of the fields."""
+    lists = ", ".join(f"{_toks(f)} AS k_{f}" for f, _ in _LABELLED)
+    parts = []
+    for n, (f, w) in enumerate(_LABELLED):
+        before = " + ".join(["0", *(f"len(k_{g})" for g, _ in _LABELLED[:n])])
+        parts += [f"SELECT id, {i} AS i, {before} + unnest(list_filter(range(1, len(k_{f}) + 1), lambda p: list_contains({_FORMS[word]!r}, k_{f}[p]))) AS place, {w}e0 AS w FROM t" for i, word in enumerate(words)]
+    return f"{ONCE}, t AS (SELECT id, {lists} FROM a), g AS ({' UNION ALL '.join(parts)})"
+
+
+def _rank_or_sql(words: list[str]) -> str:
+    return f"""WITH {_places(words)}, o AS (SELECT id, i, w, row_number() OVER (PARTITION BY id, i ORDER BY place) AS j FROM g),
+b AS (SELECT id, i, max(w) AS best, sum(w / (j * j)) AS series, arg_min(j, (-w, j)) AS first FROM o GROUP BY ALL)
+SELECT id, floor(sum((best + series - best / (first * first)::DOUBLE) / 1.64493406685e0) / {len(words)} * 1e4 + 0.5e0) / 1e4 AS score FROM b GROUP BY id"""
+
+
+def _rank_and_sql(words: list[str], phrase: bool = False) -> str:
+    apart = "JOIN (SELECT DISTINCT a.id FROM g a JOIN g b ON a.id = b.id AND a.i = 0 AND b.i = 1 AND b.place = a.place + 1) USING (id)" if phrase else ""
+    return f"""WITH {_places(words)}, p AS (SELECT a.id, abs(a.place - b.place) AS d, a.w AS u, b.w AS v FROM g a JOIN g b ON a.id = b.id AND a.i < b.i)
+SELECT id, floor((1 - product(1 - sqrt(u * v * CASE WHEN d > 100 THEN 1e-30 ELSE 1 / (1.005e0 + 0.05e0 * exp(d / 1.5e0 - 2)) END))) * 1e4 + 0.5e0) / 1e4 AS score FROM p {apart} GROUP BY id"""
+
+
+@_query(_rank_or_sql(["restored", "council"]))
 def stemmed_match_tsrank(spark, d):
-    """Stemmed terms with weighted labels; the stemmer has no counterpart in SQL."""
-    return R.ts_rank(_docs(spark, d), ["restored", "councils"])
+    """Stemmed words in labelled fields; either counts."""
+    return I.ts_rank(_index(spark, d), "restored councils")
+
+
+@_query(_rank_and_sql(["library", "budget"]))
+def tsrank_and(spark, d):
+    """Both words, and a stop word that counts for nothing."""
+    return I.ts_rank(_index(spark, d), "the libraries budget", "and")
+
+
+@_query(_rank_and_sql(["restored", "library"], phrase=True))
+def tsrank_phrase(spark, d):
+    return I.ts_rank(_index(spark, d), "restore library", "phrase")
+
+
+@_query(_rank_or_sql(["library"]).replace("FROM g)", "FROM g WHERE w >= 0.4e0)"))
+def tsrank_labels(spark, d):
+    """Only the fields with labels A and B."""
+    return I.ts_rank(_index(spark, d), "libraries", fields=("title", "description"))
 
 
 @_query("WITH i AS (SELECT DISTINCT doc_id AS id FROM runs WHERE rank <= 3) SELECT id, max(title) AS title FROM articles WHERE id IN (SELECT id FROM i) GROUP BY id")
@@ -330,11 +457,12 @@ def lookup_by_ids(spark, d):
     return R.articles_once(embeddings.by_ids(table(spark, d, "articles"), ids), ("title",))
 
 
-@_query(f"WITH {VECTORS}, i AS (SELECT DISTINCT doc_id AS id FROM runs WHERE rank <= 3) SELECT id, len(e) AS size FROM v WHERE id IN (SELECT id FROM i)")
+@_query(f"WITH {VECTORS}, i AS (SELECT DISTINCT doc_id AS id FROM runs WHERE rank <= 3) SELECT id, len(e) AS size, floor(list_sum(list_transform(e, lambda x: abs(x))) * 1e4 + 0.5e0) / 1e4 AS total, floor(e[1] * 1e6 + 0.5e0) / 1e6 AS first FROM v WHERE id IN (SELECT id FROM i)")
 def vectors_by_ids(spark, d):
     ids = table(spark, d, "runs").where("rank <= 3").select(F.col("doc_id").alias("id"))
     own = embeddings.by_ids(versions(spark, d), ids)
-    return own.groupBy("id").agg(F.max_by("embedding", "version").alias("embedding")).select("id", F.size("embedding").cast("long").alias("size"))
+    total = F.aggregate(F.transform("embedding", lambda x: F.abs(x.cast("double"))), F.lit(0.0), lambda a, x: a + x)
+    return own.groupBy("id").agg(F.max_by("embedding", "version").alias("embedding")).select("id", F.size("embedding").cast("long").alias("size"), T.round4(total).alias("total"), (F.floor(F.col("embedding")[0].cast("double") * 1e6 + 0.5) / 1e6).alias("first"))
 
 
 def queries() -> dict:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 log = logging.getLogger(__name__)
 FOLDER = "spark.checkpoint.dir"
 _written: dict[str, SparkSession] = {}
+_kept: dict[str, SparkSession] = {}
 _own: list[str] = []
 
 
@@ -47,35 +48,43 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     The result survives lost executors, is computed once, and has a known size, so that the planner's broadcast
-    threshold is checked against real bytes. Files are removed by ``release``, at the latest when the driver ends.
+    threshold is checked against real bytes. Files are removed by ``release``, at the latest when the driver ends; with keep only then.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/pressmill-{name}-{uuid.uuid4().hex}"
-    _written[path] = spark
+    (_kept if keep else _written)[path] = spark
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._pressmill_path = path
     return out
 
 
+def _delete(path: str, spark: SparkSession) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception as e:  # the session may have ended
+        log.warning("could not delete %s: %s", path, e)
+
+
 def release(*tables: DataFrame) -> None:
-    """Delete what materialize has written: the given tables, which nothing may read any more, or all of them."""
+    """Delete what materialize has written: the given tables, which nothing may read any more, or all but the kept ones."""
     for path in [t._pressmill_path for t in tables] if tables else list(_written):
-        spark = _written.pop(path, None)
-        if spark is None:
-            continue
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception as e:  # the session may have ended
-            log.warning("could not delete %s: %s", path, e)
+        if (spark := _written.pop(path, None)) is not None:
+            _delete(path, spark)
+
+
+def _release_all() -> None:
+    release()
+    while _kept:
+        _delete(*_kept.popitem())
 
 
-atexit.register(release)
+atexit.register(_release_all)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

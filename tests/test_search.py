@@ -1,8 +1,9 @@
 import pytest
 
-from pressmill.functions.text import stem_english
+from pressmill.functions.stemming import stem as stem_english
 from pressmill.operators import boolean as B
 from pressmill.operators import embeddings as E
+from pressmill.operators import index as I
 from pressmill.operators import retrieval as R
 
 
@@ -38,7 +39,7 @@ def test_match(docs):
     assert ids(R.match_phrase(docs, R.Phrase("the council", ("content",)))) == ["1", "2"]
     assert ids(R.match_phrase(docs, R.Phrase("council the", ("content",), 1))) == ["1"]
     assert ids(R.match_boolean(docs, R.Boolean("council AND NOT harbour"))) == ["1", "4"]
-    assert R.ts_rank(docs, ["votes"]).collect()[0]["id"] == "1"
+    assert I.ts_rank(I.build(docs, R.FIELDS), "votes", fields=R.FIELDS).collect()[0]["id"] == "1"
     with pytest.raises(ValueError):
         R.match_phrase(docs, R.Phrase("a b", slop=4))
 
