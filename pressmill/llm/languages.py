@@ -12,7 +12,9 @@ smallest hash. Labels may be wrong and documents mixed: lines are relabelled by
 modelled from LEAST_WORDS words of LEAST_DOCS documents on (a language's main script from one), whatever its share, unless
 another language explains its lines.
 
-Defined results: null and empty contents have no lines; a line without words with letters has no language; repeated rows of an
+A line that changes language is several segments, runs of sentences with one language each (``language_of_segments``).
+
+Defined results: null and empty contents have no lines, and such documents, like those all of whose lines are rejected, have no language, with a confidence of 0; a line without words with letters has no language; repeated rows of an
 id count once, rows without an id not at all; labels that name no supported language train nothing. Without any usable label there is no model and no row.
 """
 
@@ -38,6 +40,7 @@ LABELS = {
     "spanish": "spanish español espanol castellano es spa",
 }
 LINES = "id string, label string, line_no int, words int, language string, confidence double, bits double"
+SEGMENTS = "id string, line_no int, begin int, length int, words int, language string, confidence double"
 _START, _END, _SPREAD = 1, 2, np.uint64(0x9E3779B97F4A7C15)
 _STOPS = np.array([ord(c) for c in ".!?…"], np.uint32)
 
@@ -171,19 +174,24 @@ def _sum(groups: np.ndarray, n: int, rows: np.ndarray) -> np.ndarray:
     return np.stack([np.bincount(groups, r, n) for r in rows])
 
 
-def judge_lines(w: Words, bits: np.ndarray, classes: np.ndarray, n_classes: int) -> tuple[np.ndarray, ...]:
-    """Per line with words: (index of line, words, class by words, bits of each class, characters)."""
+def _sentences(w: Words, bits: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Per word its line and sentence; per line its index and bits; per sentence its line and bits, the line's own model favoured; and which words have letters."""
     line, sentence, alpha = _units(w)
     lines, li = np.unique(line, return_inverse=True)
-    n = len(lines)
     b = bits * alpha
-    total = _sum(li, n, b)
-    of_line = total.argmin(0)
+    total = _sum(li, len(lines), b)
     sentences, si = np.unique(sentence, return_inverse=True)
     of_sentence = _sum(si, len(sentences), b)
     owner = np.zeros(len(sentences), np.int64)
     owner[si] = li
-    of_sentence[of_line[owner], np.arange(len(sentences))] -= STAY
+    of_sentence[total.argmin(0)[owner], np.arange(len(sentences))] -= STAY
+    return li, si, lines, total, owner, of_sentence, alpha
+
+
+def judge_lines(w: Words, bits: np.ndarray, classes: np.ndarray, n_classes: int) -> tuple[np.ndarray, ...]:
+    """Per line with words: (index of line, words, class by words, bits of each class, characters)."""
+    li, si, lines, total, _, of_sentence, alpha = _sentences(w, bits)
+    n = len(lines)
     chosen = classes[of_sentence.argmin(0)]
     votes = np.bincount(li * n_classes + chosen[si], alpha, n * n_classes).reshape(n, n_classes)
     size = np.bincount(li, (w.end - w.start + 1) * alpha, n)
@@ -346,12 +354,58 @@ def language_of_lines(docs: DataFrame, models: LanguageModels | None, least_word
     return docs.mapInArrow(judge, LINES)
 
 
-def language_of_documents(lines: DataFrame) -> DataFrame:
-    """(id, language, confidence, share): the language of most words of each document."""
+def language_of_segments(docs: DataFrame, models: LanguageModels | None) -> DataFrame:
+    """docs(id, content) to a row per segment: a run of a line's sentences in one language, by its place in the content; language is null where rejected."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("id").cast("string"), "content").where("content IS NOT NULL AND id IS NOT NULL")
+    if models is None:
+        return spark.createDataFrame([], SEGMENTS)
+    sent = spark.sparkContext.broadcast(models)
+
+    def judge(batches):
+        m = sent.value
+        scorer, names = Scorer(m.models), np.array([*m.languages, None], object)
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for s, e in chunks(texts):
+                w = words(texts[s:e])
+                if not len(w.hash):
+                    continue
+                bits = scorer(w)
+                li, si, lines, _, owner, of_sentence, alpha = _sentences(w, bits)
+                chosen = m.classes[of_sentence.argmin(0)]
+                run = np.cumsum(np.append(True, (np.diff(owner) != 0) | (np.diff(chosen) != 0))) - 1
+                n = int(run[-1]) + 1
+                of_word = run[si]
+                total = _sum(of_word, n, bits * alpha)
+                language = np.zeros(n, np.int64)
+                language[run] = chosen
+                confidence = _confidence(total, m.classes, len(m.languages), m.temperature)[language, np.arange(n)]
+                size = np.bincount(of_word, (w.end - w.start + 1) * alpha, n)
+                own = np.stack([total[m.classes == a].min(0) for a in range(len(m.languages))])[language, np.arange(n)]
+                refused = (size == 0) | (confidence < LEAST_CONFIDENCE) | (own / np.maximum(size, 1) > m.limits[language])
+                first, last = np.searchsorted(of_word, np.arange(n)), np.searchsorted(of_word, np.arange(n), "right") - 1
+                text = w.text[first]
+                feeds = np.cumsum(w.codes == 10)
+                base = np.where(w.text_at[:-1] > 0, feeds[np.maximum(w.text_at[:-1] - 1, 0)], 0)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0).take(pa.array(text + s)), pa.array(feeds[w.start[first]] - base[text], pa.int32()), pa.array(w.start[first] - w.text_at[text], pa.int32()), pa.array(w.end[last] - w.start[first], pa.int32()),
+                        pa.array(np.bincount(of_word, minlength=n), pa.int32()), pa.array(names[np.where(refused, len(m.languages), language)], pa.string()), pa.array(confidence),
+                    ],
+                    ["id", "line_no", "begin", "length", "words", "language", "confidence"],
+                )
+
+    return docs.mapInArrow(judge, SEGMENTS)
+
+
+def language_of_documents(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, language, confidence, share): the language of most words of each of docs(id), null with confidence 0 where no line has one."""
     lines = lines.where("language IS NOT NULL").dropDuplicates(["id", "line_no"])
     per = lines.groupBy("id", "language").agg(F.sum("words").alias("words"), (F.sum(F.col("words") * F.col("confidence")) / F.sum("words")).alias("confidence"))
     best = per.groupBy("id").agg(F.max_by(F.struct("language", "confidence", "words"), F.struct("words", "language")).alias("best"), F.sum("words").alias("all"))
-    return best.select("id", "best.language", "best.confidence", (F.col("best.words") / F.col("all")).alias("share"))
+    every = docs.where("id IS NOT NULL").select(F.col("id").cast("string").alias("id")).distinct().join(best, "id", "left")
+    return every.select("id", "best.language", F.coalesce("best.confidence", F.lit(0.0)).alias("confidence"), F.coalesce(F.col("best.words") / F.col("all"), F.lit(0.0)).alias("share"))
 
 
 def mislabelled_lines(docs: DataFrame, models: LanguageModels | None, least_words: int = 8) -> DataFrame:

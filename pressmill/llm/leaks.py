@@ -5,11 +5,12 @@ SHARED - K + 1 of them, any SHARED consecutive words that two texts have in comm
 each hit is then extended to both sides over the words themselves, so a reported span has at least SHARED words.
 
 The held-out side is sent to all tasks only if it has at most MOST_HELD_OUT_WORDS words (its size is counted first). A
-larger one goes the other way: fingerprints of both sides are shuffled by hash, candidate pairs are reduced to distinct
-(document, item), and the texts of just those are joined and compared. Both ways give the same rows.
+larger one goes the other way: fingerprints of both sides are shuffled by hash (and a salt, so that one that a third of the documents have is
+SALT groups), candidate pairs are reduced to distinct texts and items, and the texts of just those are joined and compared, a
+batch at a time. Both ways give the same rows.
 
-Defined results: null and short texts have no fingerprints and no leaks; repeated rows of an id count once, rows without an id not at all; words are
-compared by 64-bit hashes. An item that is repeated under several ids is reported under each.
+Defined results: null and short texts have no fingerprints and no leaks; rows without an id don't count, of an id with several texts
+the longest shared span is reported; words are compared by 64-bit hashes. An item that is repeated under several ids is reported under each.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pressmill.llm.text_arrays import chunks, grams, words
 from pressmill.session import materialize
 
 SHARED, K = 12, 7
-MOST_HELD_OUT_WORDS = 4_000_000
+MOST_HELD_OUT_WORDS, SALT = 4_000_000, 8
 FOUND = "doc_id long, item_id long, words long"
 
 
@@ -57,6 +58,16 @@ class HeldOut:
         self.word, self.item, self.ids = w.hash, w.text, np.array(ids, np.int64)
 
 
+_built: list[tuple] = []
+
+
+def _held_out(value: tuple, shared: int, k: int) -> HeldOut:
+    """Built once in each worker process for a broadcast value."""
+    if not _built or _built[0][0] is not value or _built[0][1:3] != (shared, k):
+        _built[:] = [(value, shared, k, HeldOut(*value, shared, k))]
+    return _built[0][3]
+
+
 def _run(a: np.ndarray, ta: np.ndarray, i: np.ndarray, b: np.ndarray, tb: np.ndarray, j: np.ndarray, step: int) -> np.ndarray:
     """How many words agree from places i and j on, going by step, within one text on each side."""
     n = np.zeros(len(i), np.int64)
@@ -99,7 +110,7 @@ def leaks(docs: DataFrame, items: DataFrame, shared: int = SHARED, k: int = K, m
     sent = spark.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows]))
 
     def find(batches):
-        held = HeldOut(*sent.value, shared, k)
+        held = _held_out(sent.value, shared, k)
         for b in batches:
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
             for s, e in chunks(texts):
@@ -109,31 +120,42 @@ def leaks(docs: DataFrame, items: DataFrame, shared: int = SHARED, k: int = K, m
     return docs.mapInArrow(find, FOUND).groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
 
 
-def _fingerprints(rows: DataFrame, key: str, shared: int, k: int) -> DataFrame:
+def _fingerprints(rows: DataFrame, shared: int, k: int) -> DataFrame:
+    """rows(key, text) to (key, h)."""
+
     def find(batches):
         for b in batches:
-            ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
+            keys, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
             for s, e in chunks(texts):
                 w = words(texts[s:e])
                 h, at = grams(w, k)
                 kept = winnow(h, w.text[at], shared - k + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[s:e][w.text[at[kept]]], pa.int64()), pa.array(h[kept].view(np.int64))], [key, "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[s:e][w.text[at[kept]]], pa.int64()), pa.array(h[kept].view(np.int64))], ["key", "h"])
 
-    return rows.mapInArrow(find, f"{key} long, h long").distinct()
+    return rows.select("key", "text").mapInArrow(find, "key long, h long").distinct()
 
 
 def _leaks_by_join(docs: DataFrame, items: DataFrame, shared: int, k: int) -> DataFrame:
-    pairs = _fingerprints(docs, "doc_id", shared, k).join(_fingerprints(items, "item_id", shared, k), "h").select("doc_id", "item_id").distinct()
-    pairs = materialize(pairs, "leak-candidates")
-    both = (
-        pairs.join(docs.dropDuplicates(["doc_id"]), "doc_id").withColumnRenamed("text", "doc_text")
-        .join(items.dropDuplicates(["item_id"]), "item_id").select("doc_id", "item_id", "doc_text", "text")
-    )
+    # a text is known by the hash of it and its id, so that an id may have several
+    d = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    i = items.select("item_id", F.col("text").alias("item_text"), F.xxhash64("item_id", "text").alias("item_key"))
+    salt = F.pmod(F.xxhash64("key"), F.lit(SALT)).cast("int").alias("salt")
+    ours = _fingerprints(d, shared, k).select("key", "h", salt)
+    theirs = _fingerprints(i.select(F.col("item_key").alias("key"), F.col("item_text").alias("text")), shared, k).select(F.col("key").alias("item_key"), "h", F.explode(F.array(*[F.lit(x) for x in range(SALT)])).alias("salt"))
+    pairs = materialize(ours.join(theirs, ["h", "salt"]).select("key", "item_key").distinct(), "leak-candidates")
+    both = pairs.join(d.dropDuplicates(["key"]), "key").join(i.dropDuplicates(["item_key"]), "item_key").select("key", "doc_id", "text", "item_id", "item_text")
 
     def compare(batches):
         for b in batches:
-            for d, i, a, t in zip(*(c.to_pylist() for c in b.columns)):
-                found = hits(np.array([d]), [a], HeldOut([i], [t], shared, k), shared, k)
+            if not b.num_rows:
+                continue
+            # each text of the batch once; what else they share is a leak just as well
+            rows = b.to_pydict()
+            texts = list({x: (x, y, z) for x, y, z in zip(rows["key"], rows["doc_id"], rows["text"])}.values())
+            held = dict(zip(zip(rows["item_id"], rows["item_text"]), rows["item_id"]))
+            h = HeldOut(list(held.values()), [t for _, t in held], shared, k)
+            for s, e in chunks([t for _, _, t in texts]):
+                found = hits(np.array([x for _, x, _ in texts[s:e]]), [t for _, _, t in texts[s:e]], h, shared, k)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["doc_id", "item_id", "words"])
 
     return both.mapInArrow(compare, FOUND).groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))

@@ -62,7 +62,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_documents(spark: SparkSession, d: str) -> DataFrame:
     docs = _labelled(spark, d)
-    return languages.language_of_documents(languages.language_of_lines(docs, languages.train(docs)))
+    return languages.language_of_documents(languages.language_of_lines(docs, languages.train(docs)), docs)
+
+
+def p5_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every passage in one language within a line, with its place and confidence."""
+    docs = _labelled(spark, d)
+    return languages.language_of_segments(docs, languages.train(docs)).distinct()
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -142,6 +148,27 @@ def _longest(text: str, separator: str) -> str:
     return f"list_max(list_transform(regexp_split_to_array({text}, '{separator}'), lambda x: length(regexp_replace(x, '^{WHITE}+|{WHITE}+$', '', 'g'))))"
 
 
+# The longest shared passage of each leaked item: common runs of twelve words at one distance of places (an island each) joined up.
+_ITEMS = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM bench_items WHERE text IS NOT NULL),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 11], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - 10)) AS i)),
+y AS (SELECT item_id, j, array_to_string(w[j:j + 11], ' ') AS g FROM b, LATERAL (SELECT unnest(range(1, len(w) - 10)) AS j)),
+h AS (SELECT doc_id, item_id, i, i - j AS apart FROM x JOIN y USING (g)),
+r AS (SELECT doc_id, item_id, apart, i, i - row_number() OVER (PARTITION BY doc_id, item_id, apart ORDER BY i) AS island FROM h),
+s AS (SELECT doc_id, item_id, count(*) + 11 AS words FROM r GROUP BY doc_id, item_id, apart, island)
+SELECT item_id, count(DISTINCT doc_id) AS docs, max(words) AS longest FROM s GROUP BY item_id"""
+# Classes of equal sets of five consecutive words, and to how many documents of other sets they are similar by 0.8.
+_GROUPS = r"""
+WITH a AS (SELECT id, max(coalesce(title, '')) || ' ' || max(content) AS t FROM articles WHERE trim(content, chr(9) || chr(10) || chr(13) || ' ') <> '' GROUP BY id),
+w AS (SELECT id, list_filter(regexp_split_to_array(lower(t), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM a),
+s AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS g FROM w, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i)),
+c AS (SELECT id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS cls FROM s GROUP BY id),
+p AS (SELECT x.id AS one, y.id AS two, count(*) AS shared FROM s x JOIN s y USING (g) WHERE x.id <> y.id GROUP BY ALL),
+l AS (SELECT one, count(*) AS links FROM p JOIN c a ON a.id = one JOIN c b ON b.id = two WHERE a.cls <> b.cls AND shared >= 0.8e0 * (a.n + b.n - shared) GROUP BY one)
+SELECT id, min(id) OVER (PARTITION BY cls) AS class_id, count(*) OVER (PARTITION BY cls) AS copies, coalesce(links, 0) AS links FROM c LEFT JOIN l ON one = id"""
+
+
 def oracle_sql() -> dict[str, str]:
     words = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
     grams = "SELECT {0}, list_aggregate(w[i:i + 11], 'string_agg', ' ') AS g FROM (SELECT {0}, {1} AS w FROM {2}), LATERAL (SELECT unnest(range(1, len(w) - 10)) AS i)"
@@ -179,6 +206,8 @@ SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE c >= 0.
         "p4_rejoined": f"SELECT DISTINCT id, true AS within, true AS overlapping, md5(regexp_replace(content, '^{WHITE}+|{WHITE}+$', '', 'g')) AS text FROM articles WHERE length(content) > 4000",
         "p8_documents": "SELECT doc_id, strlen(text) + 1 AS tokens, ceil((strlen(text) + 1) / 4096e0)::BIGINT AS pieces FROM documents WHERE text IS NOT NULL",
         "p8_summary": "SELECT 0::BIGINT AS over, sum(strlen(text) + 1)::BIGINT AS tokens, true AS well_used FROM documents WHERE text IS NOT NULL",
+        "p9_items": _ITEMS,
+        "p3_groups": _GROUPS,
         "p8_found": "SELECT doc_id FROM documents WHERE strlen(text) + 1 > 4096",
         "p9_found": f"SELECT DISTINCT doc_id, item_id FROM ({grams.format('doc_id', words, 'documents')}) JOIN ({grams.format('item_id', words, 'bench_items')}) USING (g)",
     }

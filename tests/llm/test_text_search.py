@@ -149,8 +149,14 @@ def test_languages(spark):
             want |= {(f"{lang}{i}", k): lang for k in (0, 1, 3)}
         want[f"{lang}5", 3] = "german" if lang != "german" else "english"
     assert got == want
-    docs = {r["id"]: r for r in languages.language_of_documents(languages.language_of_lines(df, models)).collect()}
-    assert docs["serbian37"]["language"] == "serbian" and 0.5 <= docs["serbian37"]["confidence"] <= 1 and "d" not in docs and "n" not in docs
+    docs = {r["id"]: r for r in languages.language_of_documents(languages.language_of_lines(df, models), df).collect()}
+    assert docs["serbian37"]["language"] == "serbian" and 0.5 <= docs["serbian37"]["confidence"] <= 1 and all((docs[i]["language"], docs[i]["confidence"]) == (None, 0.0) for i in "den")
+    mixed = f"{TEXT['english'].capitalize()}. {TEXT['english'].capitalize()}! {TEXT['german'].capitalize()}.\n{TEXT['french']}"
+    segments = languages.language_of_segments(spark.createDataFrame([("x", mixed), ("y", None), ("z", "")], "id string, content string"), models).orderBy("begin").collect()
+    assert [(r["line_no"], r["language"], mixed[r["begin"] : r["begin"] + r["length"]].split()[0].lower(), r["words"]) for r in segments] == [
+        (0, "english", "the", 2 * len(TEXT["english"].split())), (0, "german", "der", len(TEXT["german"].split())), (1, "french", "la", len(TEXT["french"].split())),
+    ]
+    assert all(0.5 <= r["confidence"] <= 1 for r in segments)
     assert languages.train(df.limit(0)) is None and languages.mislabelled_lines(df, None).count() == 0
 
 
@@ -229,6 +235,16 @@ def test_probes():
     assert vector_search.tail(np.array([0.0, 1.0, 2.0])) == pytest.approx([0.5, 0.158655, 0.022750], abs=1e-5)
 
 
+def test_leaks_of_several_texts(spark):
+    """An id with two texts, a fingerprint that all documents share, and an item under two ids: both ways agree."""
+    w = [f"w{i}" for i in range(60)]
+    docs = [(1, " ".join(w[:14])), (1, " ".join(w[:30])), (2, "x " + " ".join(w[5:40]))] + [(i, " ".join(w[:20]) + f" own{i}") for i in range(3, 40)]
+    items = [(7, " ".join(w)), (8, " ".join(w)), (9, "nothing in common here")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    small, large = ({tuple(r) for r in leaks.leaks(d, i, most_words=n).collect()} for n in (10**6, 1))
+    assert small == large and {(1, 7, 30), (1, 8, 30), (2, 7, 35), (3, 8, 20)} <= small and len(small) == 2 * 39
+
+
 def test_colliding_keys(spark):
     """Runs of every length, across batches, with copies of a key beyond the bound for one block."""
     import random
