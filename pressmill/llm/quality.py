@@ -39,10 +39,8 @@ LEAST_WORDS, MOST_WORDS, MOST_IN_CELL = 4, 80, 3.5
 LEAST_LETTERS, MOST_SYMBOLS, LEAST_DIFFERENT = 0.7, 0.2, 0.5
 WORD_LENGTH = (2.0, 12.0)
 _DELIMITERS = tuple(map(ord, "|\t,;=(<"))
-_BULLETS = np.array([ord(c) for c in "-*•·–+"], np.uint32)
-_ENDS = np.array([ord(c) for c in ".!?…"], np.uint32)
-_CLOSERS = np.array([ord(c) for c in "\"'”“’»)]"], np.uint32)
-_CLOSING = np.concatenate((_ENDS, _CLOSERS, np.array([58, 59], np.uint32)))
+_BULLETS, _ENDS, _CLOSERS, _MARKS = "-*•·–+", ".!?…", "\"'”“’»)]", ".):"
+_CLOSING = _ENDS + _CLOSERS + ":;"
 STATS = (
     "doc_id long, words long, mean_word_length double, symbol_ratio double, digit_ratio double, closed_lines double, common_words double, "
     "aligned_share double, list_share double, indent_period double, length_autocorrelation double, prose_share double"
@@ -56,6 +54,14 @@ def _begins() -> np.ndarray:
     return np.fromiter(((x := chr(c)).isupper() or x.istitle() or x.isalpha() and x.lower() == x.upper() for c in range(0x110000)), bool, 0x110000)
 
 
+@lru_cache(8)
+def _table(characters: str) -> np.ndarray:
+    """By code point: whether it is one of the characters."""
+    out = np.zeros(0x110000, bool)
+    out[[ord(c) for c in characters]] = True
+    return out
+
+
 def _autocorrelation(x: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
     """The largest autocorrelation of each group's series at lags up to LAGS; 0 where it doesn't vary."""
     size = np.maximum(np.bincount(group, minlength=n), 1)
@@ -79,6 +85,11 @@ def _ahead(x: np.ndarray, k: int, fill) -> np.ndarray:
     return np.concatenate((x[k:], np.full(min(k, len(x)), fill, x.dtype)))
 
 
+def _once(group: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Where each hash comes first in its group."""
+    return np.unique(mix(group.astype(np.uint64)) ^ h, return_index=True)[1]
+
+
 def _which(w: Words, common: np.ndarray) -> np.ndarray:
     """The number of each word among the common ones, or their number if it is none."""
     if not len(common):
@@ -185,9 +196,9 @@ def measure(texts: list[str | None], common: np.ndarray | None = None, usual: np
         safe = np.minimum(opener, len(w.start) - 1)
         at_word = (w.start[safe] == first) & (first >= 0)
         number_end[at_word] = w.end[safe][at_word]
-        numbered = at_word & digit[np.maximum(first, 0)] & np.isin(codes[np.minimum(number_end, len(codes) - 1)], [ord("."), ord(")"), ord(":")])
-    listed = (np.isin(head, _BULLETS) & _white()[after] | numbered) & ~blank
-    closed = np.isin(codes[np.maximum(last, 0)], _CLOSING) & ~blank
+        numbered = at_word & digit[np.maximum(first, 0)] & _table(_MARKS)[codes[np.minimum(number_end, len(codes) - 1)]]
+    listed = (_table(_BULLETS)[head] & _white()[after] | numbered) & ~blank
+    closed = _table(_CLOSING)[codes[np.maximum(last, 0)]] & ~blank
     # vertical alignment: as many of a delimiter as in the lines around it, with few words between
     aligned = np.zeros(L, bool)
     gap = np.zeros(len(codes), bool)
@@ -212,11 +223,10 @@ def measure(texts: list[str | None], common: np.ndarray | None = None, usual: np
     item = (aligned | listed | regular) & ~blank
     # sentences: from a block's, row's or item's beginning, or the stop before, to the next stop
     opens = np.zeros(len(codes) + 1, bool)
-    stop = np.isin(codes, _ENDS)
-    for k in (1, 2):  # closing marks may follow
-        closer = np.isin(_ahead(codes, k, 0), _CLOSERS)
-        stop |= np.isin(codes, _ENDS) & (_ahead(white, k + 1, True) & closer if k == 1 else _ahead(white, 3, True) & np.isin(_ahead(codes, 1, 0), _CLOSERS) & closer)
-    stop &= _ahead(white, 1, True) | np.isin(_ahead(codes, 1, 0), _CLOSERS)
+    end, closer = _table(_ENDS)[codes], _table(_CLOSERS)[codes]
+    one, two = _ahead(closer, 1, False), _ahead(closer, 2, False)
+    # up to two closing marks may follow
+    stop = end & (_ahead(white, 1, True) | one & (_ahead(white, 2, True) | two & _ahead(white, 3, True)))
     if len(w.start):
         # a stop behind a number ends a sentence only if the next word begins one
         at = np.flatnonzero(stop)
@@ -238,8 +248,7 @@ def measure(texts: list[str | None], common: np.ndarray | None = None, usual: np
     s_symbols = s_full - s_letters - s_digits
     ws = sentence[w.start]
     s_words, s_chars = np.bincount(ws, minlength=S), np.bincount(ws, length, S)
-    pair = np.unique(np.stack((ws.astype(np.uint64), w.hash)), axis=1) if len(ws) else np.zeros((2, 0), np.uint64)
-    different = np.bincount(pair[0].astype(np.int64), minlength=S)
+    different = np.bincount(ws[_once(ws, w.hash)], minlength=S)
     ended = per(stop) > 0
     lead = np.zeros(S, np.int64)
     alpha = np.flatnonzero(letter)
@@ -278,8 +287,7 @@ def common_words(docs: DataFrame, k: int = COMMON) -> np.ndarray:
             texts = b.column(0).to_pylist()
             for s, e in chunks(texts):
                 w = words(texts[s:e])
-                own = np.unique(np.stack((w.text.astype(np.uint64), w.hash)), axis=1)[1]
-                h, n = np.unique(own, return_counts=True)
+                h, n = np.unique(w.hash[_once(w.text, w.hash)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
     top = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(k)
