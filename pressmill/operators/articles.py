@@ -5,32 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# The fields of an article that a mapping may fill; anything under EXTRA is free.
-TARGETS = ("ID", "Title", "Subtitle", "Content", "Author", "Description", "Language", "URL", "PublishedAt", "CreatedAt", "Metadata.SourceId", "Metadata.SourceName", "Metadata.Category", "Metadata.ImportedAt")
-RENAMED = {"Metadata.PublishedAt": "PublishedAt"}
-EXTRA = "Metadata.Extra."
+from pressmill.sources.mappings import EXTRA, mapping_faults
+
+__all__ = ["as_articles", "bootstrap", "from_canonical", "guard", "mapping_faults", "parsed_time", "upsert"]
+
 SCHEMA = (
     "id string, title string, subtitle string, content string, author string, description string, url string, language string, published_at timestamp, created_at timestamp, "
     "metadata struct<source_id: string, source_name: string, category: string, imported_at: timestamp, extra: map<string,string>>"
 )
 
 
-def mapping_faults(rows: list[dict]) -> list[str]:
-    """What is wrong with a mapping; an empty list if nothing is."""
-    if not rows:
-        return ["there are no field mappings"]
-    out = []
-    for i, r in enumerate(rows):
-        target = r.get("target_field") or ""
-        if not r.get("source_field"):
-            out.append(f"row {i}: no source field")
-        if target in RENAMED:
-            out.append(f"row {i}: {target} is now {RENAMED[target]}")
-        elif not target or target == EXTRA or target not in TARGETS and not target.startswith(EXTRA):
-            out.append(f"row {i}: unknown target {target!r}")
-    return out
-
-
 def parsed_time(text: Column) -> Column:
     """A timestamp of any of the accepted date and time layouts; local values are UTC."""
     return F.regexp_replace(F.regexp_replace(text, r"Z$", "+00:00"), r"^(\S+)T", "$1 ").try_cast("timestamp")

@@ -26,8 +26,8 @@ def p2_inferred_order(spark: SparkSession, d: str) -> DataFrame:
     return _instants(spark, d, False)
 
 
-def _parsed(spark: SparkSession, d: str) -> DataFrame:
-    return parse_records(table(spark, d, "raw_records"), table(spark, d, "field_mappings"))
+def _parsed(spark: SparkSession, d: str, guarded: bool = False) -> DataFrame:
+    return parse_records(table(spark, d, "raw_records"), table(spark, d, "field_mappings"), guarded)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +45,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 def mapped_articles(spark: SparkSession, d: str) -> DataFrame:
     """The records that load, as article rows."""
-    return articles.as_articles(_parsed(spark, d))
+    return articles.as_articles(_parsed(spark, d, guarded=True))
 
 
 def articles_upsert(spark: SparkSession, d: str) -> DataFrame:
@@ -54,5 +54,38 @@ def articles_upsert(spark: SparkSession, d: str) -> DataFrame:
     return articles.upsert(current, mapped_articles(spark, d).select("id", "title", "content", "created_at")).select("id", "title")
 
 
+_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_FIELD = r'(?:"(?:[^"]|"")*"|[^",\r\n]*)'
+_TIME = r"\d{4}-\d{2}-\d{2}(?:[ T]\d{1,2}:\d{2}:\d{2}(?:[.,]\d+)?|T\d{1,2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:\d{2}))"
+# Records by regular expressions over the whole raw text; both CSV feeds have ten columns.
+_PARSED = rf"""
+r AS (SELECT record_id, dataset, fmt, batch, raw, regexp_replace(raw, '\r?\n$', '') AS line FROM raw_records),
+c AS (SELECT *, CASE WHEN fmt = 'csv' THEN coalesce(regexp_full_match(line, '{_FIELD}(?:,{_FIELD}){{9}}'), false) ELSE coalesce(json_valid(raw) AND json_type(CASE WHEN json_valid(raw) THEN raw END) = 'OBJECT' AND NOT regexp_matches(raw, ',\\s*\\}}\\s*$'), false) END AS readable FROM r),
+f AS (SELECT c.record_id, c.dataset, c.batch, m.pos, m.source_type AS kind, m.target_field AS target, m.required,
+CASE WHEN c.fmt = 'csv' THEN regexp_extract_all(',' || line, ',({_FIELD})', 1)[m.pos] ELSE json_extract_string(raw, '$.' || m.source_field) END AS cell, c.fmt
+FROM c JOIN field_mappings m ON m.dataset = c.dataset AND m.fmt = c.fmt WHERE readable),
+v AS (SELECT *, CASE WHEN fmt = 'csv' AND cell[1:1] = '"' THEN replace(cell[2:-2], '""', '"') ELSE cell END AS v FROM f),
+w AS (SELECT *, CASE WHEN v IS NULL THEN 'missing_source_column' WHEN regexp_full_match(v, '{_WHITE}*') THEN 'empty_required_value'
+WHEN kind = 'int' AND (NOT regexp_full_match(v, '[+-]?\d+') OR try_cast(v AS BIGINT) IS NULL) OR kind = 'bool' AND v NOT IN ('1','t','T','TRUE','true','True','0','f','F','FALSE','false','False')
+OR kind = 'uuid' AND NOT regexp_full_match(lower(regexp_replace(v, '^[uU][rR][nN]:[uU][uU][iI][dD]:', '')), '[0-9a-f]{{8}}(?:-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}|\{{[0-9a-f]{{8}}(?:-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}\}}|[0-9a-f]{{32}}')
+OR kind = 'url' AND NOT regexp_matches(trim(v), '^[hH][tT][tT][pP][sS]?://[^/?#\s:]+(?::\d*)?(?:[/?#]|$)')
+OR kind = 'datetime' AND (NOT regexp_full_match(v, '{_TIME}') OR try_cast(replace(v[:10] || ' ' || regexp_extract(v, '[ T](\d{{1,2}}:\d{{2}}:\d{{2}})', 1), ',', '.') AS TIMESTAMP) IS NULL OR v[:4] = '0000') THEN 'conversion_failed' END AS fault FROM v),
+d AS (SELECT record_id, arg_min(fault || '/' || target, pos) AS reason FROM w WHERE required AND fault IS NOT NULL GROUP BY record_id),
+p AS (SELECT c.record_id, c.dataset, c.batch, CASE WHEN NOT readable THEN 'read_failed' ELSE d.reason END AS reason FROM c LEFT JOIN d USING (record_id))"""
+
+
+def oracle_sql() -> dict[str, str]:
+    own = "max(v) FILTER (target = '{}' AND fault IS NULL)"
+    return {
+        "p7_found": f"WITH {_PARSED} SELECT record_id, reason FROM p WHERE reason IS NOT NULL",
+        "p7_report": f"""WITH {_PARSED}, n AS (SELECT dataset, batch, reason, count(*) AS n FROM p GROUP BY ALL)
+SELECT dataset, batch, sum(n)::BIGINT AS total_records, coalesce(sum(n) FILTER (reason IS NULL), 0)::BIGINT AS processed_records, coalesce(sum(n) FILTER (reason IS NOT NULL), 0)::BIGINT AS dropped_records,
+'{{' || coalesce(string_agg('"' || reason || '":' || n, ',' ORDER BY reason) FILTER (reason IS NOT NULL), '') || '}}' AS drops FROM n GROUP BY dataset, batch""",
+        "articles_upsert": f"""WITH {_PARSED}, n AS (SELECT coalesce(lower(replace(replace(regexp_replace({own.format("ID")}, '^[uU][rR][nN]:[uU][uU][iI][dD]:', ''), '{{', ''), '}}', '')), sha1(coalesce(trim({own.format("URL")}), {own.format("Title")}, record_id::VARCHAR))) AS id, {own.format("Title")} AS title
+FROM w JOIN p USING (record_id) WHERE p.reason IS NULL GROUP BY record_id)
+SELECT id, max(title) AS title FROM n GROUP BY id UNION ALL SELECT id, max(title) FROM articles WHERE id NOT IN (SELECT id FROM n) GROUP BY id""",
+    }
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (p2_found, p2_inferred_order, p7_found, p7_loaded, p7_report, mapped_articles, articles_upsert)}

@@ -6,22 +6,48 @@ import json
 import os
 import tempfile
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pressmill.sources.records import _csv_fields, json_fields, raw_records
+
+
+LONGEST_LINE = 10 * 1024 * 1024
+
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text; rows that break quoting or width keep their raw form in _corrupt."""
-    head = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
-    schema = T.StructType([*head.schema.fields, T.StructField("_corrupt", T.StringType())])
-    return spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=False)
+    """All columns as text, by the first line's names; records that break quoting or width keep their raw form in _corrupt. Files are read in splits."""
+    first = spark.read.option("lineSep", "\n").text(path).limit(1).collect()
+    names = (_csv_fields([first[0]["value"].removesuffix("\r")])[0] if first else None) or []
+    if not names:
+        return spark.createDataFrame([], "_corrupt string")
+
+    def cells(batches):
+        for g in batches:
+            rows = [c if c is not None and len(c) == len(names) else None for c in _csv_fields(g["raw"].tolist())]
+            yield pd.DataFrame({**{f"c{k}": [r and r[k] for r in rows] for k in range(len(names))}, "_corrupt": [None if r else x for r, x in zip(rows, g["raw"])]})
+
+    kept = raw_records(spark, path, len(names)).where("raw <> ''").select("raw")
+    out = kept.mapInPandas(cells, ", ".join([*(f"c{k} string" for k in range(len(names))), "_corrupt string"]))
+    return out.toDF(*names, "_corrupt")
+
 
+def read_jsonl(spark: SparkSession, path: str, keys: list[str] | None = None) -> DataFrame:
+    """One object a line as (fields map<string,string>, _corrupt), or a column for each of keys: null values are absent, others their text.
 
-def read_jsonl(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The keys of one object per line as text; lines that aren't an object keep their raw form in _corrupt."""
-    schema = T.StructType([T.StructField(k, T.StringType()) for k in [*keys, "_corrupt"]])
-    return spark.read.json(path, schema=schema, primitivesAsString=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
+    Blank lines are skipped; a line that isn't one object, or is longer than LONGEST_LINE bytes, keeps its (cut) raw form in _corrupt.
+    """
+    lines = spark.read.text(path).where(~F.col("value").rlike("^\\s*\\z"))
+
+    def fields(batches):
+        for g in batches:
+            got = [json_fields(x) if len(x.encode("utf-8", "surrogatepass")) <= LONGEST_LINE else None for x in g["value"]]
+            yield pd.DataFrame({"fields": got, "_corrupt": [None if f is not None else x[:1000] for f, x in zip(got, g["value"])]})
+
+    out = lines.mapInPandas(fields, "fields map<string,string>, _corrupt string")
+    return out if keys is None else out.select(*[F.col("fields")[k].alias(k) for k in keys], "_corrupt")
 
 
 def flattened(df: DataFrame) -> DataFrame:
@@ -58,9 +84,17 @@ def write_canonical(articles: DataFrame, path: str, form: str = "json") -> None:
 
 
 def with_defaults(articles: DataFrame) -> DataFrame:
-    """Load defaults: an id from the url or title if there is none, language english, created now."""
+    """Load defaults: an id from the url or title if there is none, language english, created and imported now."""
     own = F.coalesce(F.when(F.length("id") > 0, F.col("id")), F.sha1(F.coalesce("url", "title", F.lit(""))))
-    return articles.withColumn("id", own).withColumn("language", F.coalesce("language", F.lit("english"))).withColumn("created_at", F.coalesce("created_at", F.current_timestamp()))
+    out = articles.withColumn("id", own).withColumn("language", F.coalesce("language", F.lit("english"))).withColumn("created_at", F.coalesce("created_at", F.current_timestamp()))
+    if "metadata" in articles.columns:
+        out = out.withColumn("metadata", F.coalesce("metadata", F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in articles.schema["metadata"].dataType.fields])).withField("imported_at", F.coalesce("metadata.imported_at", F.current_timestamp())))
+    return out
+
+
+def load(articles: DataFrame, path: str) -> None:
+    """Appends articles with their defaults to the table at path."""
+    with_defaults(articles).write.mode("append").parquet(path)
 
 
 def qrels_lines(qrels: DataFrame) -> DataFrame:
@@ -81,6 +115,14 @@ def nested_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     return rows.orderBy(F.xxhash64(key), key).limit(n)
 
 
+def corpus_slice(rows: DataFrame, key: str, n: int | None = None, way: str = "nested", seed: int = 42) -> DataFrame:
+    """All rows, the first n in order of key ("head"), a sample of n by hash of key and seed ("random"), or one that lies within larger ones ("nested")."""
+    if n is None:
+        return rows
+    order = {"head": [F.col(key)], "random": [F.xxhash64(F.lit(seed), key), F.col(key)], "nested": [F.xxhash64(key), F.col(key)]}
+    return rows.orderBy(*order[way]).limit(n)
+
+
 def normalize_url(url: Column) -> Column:
     """An absolute http(s) URL with a host, trimmed; else empty."""
     u = F.trim(url)

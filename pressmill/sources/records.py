@@ -18,9 +18,12 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pressmill.session import materialize
+from pressmill.sources.mappings import mapping_faults
+
 MOST_MAPPINGS = 10_000
 READ_FAILED = "read_failed"
 TRUE, FALSE = {"1", "t", "T", "TRUE", "true", "True"}, {"0", "f", "F", "FALSE", "false", "False"}
@@ -210,6 +213,106 @@ def _csv_fields(raws: list[str | None]) -> list[list[str] | None]:
     return out
 
 
+RAW_FILE = "file string, block long, seq long, kind string, raw string"
+
+
+def _is_whole(lines: list[str], width: int) -> np.ndarray:
+    """Which lines are whole records by themselves, of the given width."""
+    data = [x.encode("utf-8", "surrogatepass").removesuffix(b"\r") for x in lines]
+    good, columns, _, _ = index_csv(data)
+    return good & (columns == width)
+
+
+class _Assembler:
+    """Puts lines together to records: a record goes on while its quotes are open, until they close or a line comes that is whole by itself."""
+
+    def __init__(self, width: int):
+        self.width, self.held, self.odd = width, [], False
+
+    def feed(self, lines: list[str]) -> list[str]:
+        out = []
+        # with one column any line would be whole by itself
+        whole = _is_whole(lines, self.width) if self.width > 1 else np.zeros(len(lines), bool)
+        parity = np.fromiter((x.count('"') & 1 for x in lines), bool, len(lines))
+        for line, sure, odd in zip(lines, whole.tolist(), parity.tolist()):
+            if self.held and not sure:
+                self.held.append(line)
+                self.odd ^= odd
+                if not self.odd:
+                    out += self.close()
+                continue
+            out += self.close()
+            if odd:
+                self.held, self.odd = [line], True
+            else:
+                out.append(line.removesuffix("\r"))
+        return out
+
+    def close(self) -> list[str]:
+        """What is held, as one record without its line end."""
+        out = ["\n".join(self.held).removesuffix("\r")] if self.held else []
+        self.held = []
+        return out
+
+
+def raw_records(spark: SparkSession, path: str, width: int, header: bool = True) -> DataFrame:
+    """Files of CSV as one raw record a row, (file, block, seq, raw), from splits of any place: no file is one task.
+
+    Within a split the records' ends are where the parity of quotes says so. A line that is a record of ``width`` columns by itself begins a new
+    one: so an open quote costs what lies before the next such line, not the rest of the file, and each split finds its first record by
+    itself. What lies before that belongs to the split before; these pieces, two for a split at most, are put together per file.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+    def assemble(batches):
+        state: dict[tuple[str, int], list] = {}
+
+        def frame(key, rows):
+            return pd.DataFrame({"file": key[0], "block": key[1], "seq": [r[0] for r in rows], "kind": [r[1] for r in rows], "raw": [r[2] for r in rows]})
+
+        for g in batches:
+            for key, part in g.groupby(["file", "block"], sort=False):
+                lines = part["value"].tolist()
+                if key not in state:
+                    state[key] = [_Assembler(width), 0, key[1] == 0, []]
+                    if key[1] == 0 and header:
+                        lines = lines[1:]
+                a, seq, begun, head = state[key]
+                if not begun:
+                    whole = _is_whole(lines, width)
+                    first = int(whole.argmax()) if whole.any() else len(lines)
+                    head += lines[:first]
+                    lines, begun = lines[first:], bool(whole.any())
+                done = a.feed(lines) if lines else []
+                if done:
+                    yield frame(key, [(seq + k, "record", r) for k, r in enumerate(done)])
+                state[key] = [a, seq + len(done), begun, head]
+        for key, (a, seq, begun, head) in state.items():
+            rows = ([(-1, "head", "\n".join(head))] if head else []) + ([(seq, "tail", "\n".join(a.held))] if a.held else []) + ([(0, "through", "")] if not begun else [])
+            if rows:
+                yield frame(key, rows)
+
+    def join(g: pd.DataFrame) -> pd.DataFrame:
+        """Of one file: open ends with the beginnings of the splits behind them."""
+        g = g.sort_values(["block", "seq"])
+        through = set(g.loc[g["kind"] == "through", "block"])
+        out, a, at = [], _Assembler(width), (0, 0)
+        for block, seq, kind, raw in zip(g["block"], g["seq"], g["kind"], g["raw"]):
+            if kind == "tail" or kind == "head" and block == 0:
+                out += [(*at, r) for r in a.close()]
+                at = (block, seq)
+            if kind != "through":
+                out += [(*at, r) for r in a.feed(raw.split("\n"))]
+            if kind == "head" and block not in through:
+                out += [(*at, r) for r in a.close()]
+        out += [(*at, r) for r in a.close()]
+        return pd.DataFrame({"file": g["file"].iloc[0], "block": [x[0] for x in out], "seq": [x[1] for x in out], "raw": [x[2] for x in out]})
+
+    found = materialize(lines.mapInPandas(assemble, RAW_FILE), "raw-records")
+    edges = found.where("kind <> 'record'").groupBy("file").applyInPandas(join, "file string, block long, seq long, raw string")
+    return found.where("kind = 'record'").drop("kind").unionByName(edges)
+
+
 def judge(fields: dict[str, str] | None, mapping: list[tuple]) -> tuple[str | None, dict[str, str] | None]:
     """(reason, None) of a record to drop, (None, target to value) of one to load."""
     if fields is None:
@@ -229,10 +332,11 @@ def judge(fields: dict[str, str] | None, mapping: list[tuple]) -> tuple[str | No
     return None, values
 
 
-def parse_records(records: DataFrame, mappings: DataFrame) -> DataFrame:
+def parse_records(records: DataFrame, mappings: DataFrame, guarded: bool = False) -> DataFrame:
     """records(record_id, dataset, fmt, batch, raw) to (record_id, dataset, batch, reason, fields map<string,string>).
 
-    ``reason`` is null for records that load; ``fields`` is null for the others.
+    ``reason`` is null for records that load; ``fields`` is null for the others. With guarded, mappings with unknown or renamed targets
+    and a data set of which nothing loads are errors.
     """
     rows = mappings.select("dataset", "fmt", "pos", "source_field", "source_type", "target_field", "required").limit(MOST_MAPPINGS + 1).collect()
     if len(rows) > MOST_MAPPINGS:
@@ -240,6 +344,8 @@ def parse_records(records: DataFrame, mappings: DataFrame) -> DataFrame:
     known: dict[tuple[str, str], list[tuple]] = {}
     for r in sorted(rows, key=lambda r: r["pos"]):
         known.setdefault((r["dataset"], r["fmt"]), []).append((r["source_field"], r["source_type"], r["target_field"], bool(r["required"])))
+    if guarded and (faults := mapping_faults([r.asDict() for r in rows])):
+        raise ValueError("; ".join(faults))
 
     def parse(batches):
         for g in batches:
@@ -257,7 +363,12 @@ def parse_records(records: DataFrame, mappings: DataFrame) -> DataFrame:
             judged = [judge(f, known.get(k, [])) for f, k in zip(fields, keys)]
             yield pd.DataFrame({"record_id": pd.array([None if x is None or x != x else int(x) for x in g["record_id"]], dtype="Int64"), "dataset": g["dataset"], "batch": g["batch"], "reason": [j[0] for j in judged], "fields": [j[1] for j in judged]})
 
-    return records.select("record_id", "dataset", "fmt", "batch", "raw").mapInPandas(parse, "record_id long, dataset string, batch string, reason string, fields map<string,string>")
+    out = records.select("record_id", "dataset", "fmt", "batch", "raw").mapInPandas(parse, "record_id long, dataset string, batch string, reason string, fields map<string,string>")
+    if guarded:
+        out = materialize(out, "parsed")
+        for r in out.groupBy("dataset").agg(F.count_if(F.col("reason").isNull()).alias("loaded")).where("loaded = 0").limit(1).collect():
+            raise ValueError(f"all records of {r['dataset']} were dropped")
+    return out
 
 
 def preprocess_report(parsed: DataFrame) -> DataFrame:
