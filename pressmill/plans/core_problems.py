@@ -60,7 +60,7 @@ _TIME = r"\d{4}-\d{2}-\d{2}(?:[ T]\d{1,2}:\d{2}:\d{2}(?:[.,]\d+)?|T\d{1,2}:\d{2}
 # Records by regular expressions over the whole raw text; both CSV feeds have ten columns.
 _PARSED = rf"""
 r AS (SELECT record_id, dataset, fmt, batch, raw, regexp_replace(raw, '\r?\n$', '') AS line FROM raw_records),
-c AS (SELECT *, CASE WHEN fmt = 'csv' THEN coalesce(regexp_full_match(line, '{_FIELD}(?:,{_FIELD}){{9}}'), false) ELSE coalesce(json_valid(raw) AND json_type(CASE WHEN json_valid(raw) THEN raw END) = 'OBJECT' AND NOT regexp_matches(raw, ',\\s*\\}}\\s*$'), false) END AS readable FROM r),
+c AS (SELECT *, CASE WHEN fmt = 'csv' THEN coalesce(regexp_full_match(line, '{_FIELD}(?:,{_FIELD}){{9}}'), false) ELSE coalesce(json_valid(raw) AND json_type(CASE WHEN json_valid(raw) THEN raw END) = 'OBJECT' AND NOT regexp_matches(raw, ',\s*\}}\s*$'), false) END AS readable FROM r),
 f AS (SELECT c.record_id, c.dataset, c.batch, m.pos, m.source_type AS kind, m.target_field AS target, m.required,
 CASE WHEN c.fmt = 'csv' THEN regexp_extract_all(',' || line, ',({_FIELD})', 1)[m.pos] ELSE json_extract_string(raw, '$.' || m.source_field) END AS cell, c.fmt
 FROM c JOIN field_mappings m ON m.dataset = c.dataset AND m.fmt = c.fmt WHERE readable),

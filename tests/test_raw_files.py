@@ -16,7 +16,7 @@ def write(path, rows, quote=csv.QUOTE_MINIMAL):
 
 @pytest.fixture()
 def tiny_splits(spark):
-    keys = {"spark.sql.files.maxPartitionBytes": "97", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    keys = {"spark.sql.files.maxPartitionBytes": "400", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
     for k, v in keys.items():
         spark.conf.set(k, v)
     yield
@@ -30,7 +30,7 @@ def test_splits_anywhere(spark, tmp_path, tiny_splits):
     value = lambda: rng.choice(["a", "", 'say "x"', "two\nlines", "z" * 30, "\n".join(["part"] * rng.choice([1, 3, 60])), "č,š"])
     want = []
     for name in ("a", "b"):
-        rows = [[str(i), value(), value()] for i in range(120)]
+        rows = [[str(i), value(), value()] for i in range(90)]
         write(tmp_path / f"{name}.csv", [["id", "t", "c"], *rows], rng.choice([csv.QUOTE_MINIMAL, csv.QUOTE_ALL]))
         want += rows
     got = files.read_csv(spark, str(tmp_path))
