@@ -86,3 +86,11 @@ def snippet(text: Column, term: str, around: int = 40) -> Column:
     at = F.instr(F.lower(text), term)
     start = F.greatest(at - around, F.lit(1))
     return F.when(at > 0, F.concat(F.substring(text, start, at - start), F.lit("["), F.substring(text, at, F.lit(len(term))), F.lit("]"), F.substring(text, at + len(term), F.lit(around))))
+
+
+def headline(text: Column, terms: list[str], before: int = 40, length: int = 160) -> Column:
+    """A stretch of text from a little before the first of the terms, all terms in it in brackets; null without any. Terms are letters and digits."""
+    either = "|".join(terms)
+    at = F.regexp_instr(F.lower(text), F.lit(rf"\b({either})\b"))
+    cut = F.substring(text, F.greatest(at - before, F.lit(1)), F.lit(length))
+    return F.when(at > 0, F.regexp_replace(cut, rf"(?i)\b({either})\b", "[$1]"))

@@ -22,6 +22,16 @@ def grades(qrels: DataFrame, judge: str | None = None) -> DataFrame:
     return q.groupBy("query_id", "doc_id").agg(F.max("grade").alias("grade"))
 
 
+def of_jobs(runs: DataFrame, names: list[str]) -> DataFrame:
+    """The runs of the named jobs; of all if none are named. A name that no run has is an error."""
+    if not names:
+        return runs
+    known = {r["job"] for r in runs.where(F.col("job").isin(*names)).select("job").distinct().collect()}
+    if missing := [n for n in names if n not in known]:
+        raise ValueError(f"no job {missing[0]}")
+    return runs.where(F.col("job").isin(*names))
+
+
 def executions(runs: DataFrame) -> DataFrame:
     """A row per job, query and engine: whether it failed."""
     return runs.groupBy("job", "query_id", "engine").agg(F.max("category").alias("category"), F.max(F.col("error").isNotNull()).alias("failed"))

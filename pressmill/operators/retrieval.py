@@ -65,6 +65,18 @@ def parse_field(spec: str) -> tuple[str, float] | None:
         return name, 1.0
 
 
+def fields_of(labels: str) -> tuple[str, ...]:
+    """The fields that have one of the labels; D stands for two."""
+    if unknown := set(labels) - set(LABELS.values()):
+        raise ValueError(f"unknown label {sorted(unknown)[0]}")
+    return tuple(f for f in ALL_FIELDS if LABELS[f] in labels)
+
+
+def label_weights(weights: dict[str, float]) -> list[float]:
+    """Weights of D, C, B and A from those of fields; the greater one where two fields share a label, 0 for a label without one."""
+    return [max((w for f, w in weights.items() if LABELS.get(f) == x), default=0.0) for x in "DCBA"]
+
+
 def articles_once(articles: DataFrame, columns: tuple[str, ...] = FIELDS) -> DataFrame:
     """One row per id."""
     return articles.groupBy("id").agg(*[F.max(c).alias(c) for c in columns])

@@ -5,7 +5,9 @@ from __future__ import annotations
 import html
 import json
 import re
+import threading
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -85,21 +87,66 @@ def render(template: str, values: dict) -> str:
     return template
 
 
-def resolve(suite: Suite, q: Query, engine: str) -> str:
+def vector_of(q: Query, engine: str, embed: Callable[[str], list[float]] | None) -> dict:
+    """The query's vector as a parameter, if it asks for one; ValueError without an embedder."""
+    text = q.engines[engine].get("embed")
+    if text is None:
+        return {}
+    if embed is None:
+        raise ValueError(f"{q.id} needs an embedder")
+    return {"vector": [float(x) for x in embed(text)]}
+
+
+def resolve(suite: Suite, q: Query, engine: str, values: dict | None = None) -> str:
     how = q.engines[engine]
-    return render(how["sql"] if "sql" in how else suite.templates[how["template"]], how.get("params", {}))
+    return render(how["sql"] if "sql" in how else suite.templates[how["template"]], how.get("params", {}) | (values or {}))
+
+
+def run_sql(spark: SparkSession, text: str, args: dict | list | None = None, timeout: float | None = None, most: int = 10_000) -> list[dict]:
+    """Rows of a query as dictionaries, ``most`` at most; beyond ``timeout`` seconds its jobs are cancelled and TimeoutError is raised."""
+    if timeout is None:
+        return [r.asDict(recursive=True) for r in spark.sql(text, args=args).limit(most).collect()]
+    tag, late = f"query-{uuid.uuid4().hex}", threading.Event()
+
+    def stop():
+        late.set()
+        spark.sparkContext.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(timeout, stop)
+    spark.sparkContext.addJobTag(tag)
+    timer.start()
+    try:
+        return [r.asDict(recursive=True) for r in spark.sql(text, args=args).limit(most).collect()]
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"cancelled after {timeout} s") from e
+        raise
+    finally:
+        timer.cancel()
+        spark.sparkContext.removeJobTag(tag)
+
 
+def validate(spark: SparkSession, suite: Suite, engines: list[str], embed: Callable[[str], list[float]] | None = None, supported: list[str] | None = None) -> list[tuple[str, str, str]]:
+    """(query, engine, status): analysed but not run. OK, SKIP, UNSUPPORTED, EMBED_ERR, TEMPLATE_ERR or INVALID.
 
-def validate(spark: SparkSession, suite: Suite, engines: list[str]) -> list[tuple[str, str, str]]:
-    """(query, engine, status): analysed but not run. OK, SKIP, TEMPLATE_ERR or INVALID."""
+    A query with an ``embed`` text needs its vector, as the parameter "vector".
+    """
     out = []
     for q in suite.queries:
         for e in engines:
             if e not in q.engines:
                 out.append((q.id, e, "SKIP"))
                 continue
+            if supported is not None and e not in supported:
+                out.append((q.id, e, "UNSUPPORTED"))
+                continue
             try:
-                spark.sql(resolve(suite, q, e)).schema  # noqa: B018
+                values = vector_of(q, e, embed)
+            except Exception:
+                out.append((q.id, e, "EMBED_ERR"))
+                continue
+            try:
+                spark.sql(resolve(suite, q, e, values)).schema  # noqa: B018
                 out.append((q.id, e, "OK"))
             except KeyError:
                 out.append((q.id, e, "TEMPLATE_ERR"))
@@ -108,21 +155,25 @@ def validate(spark: SparkSession, suite: Suite, engines: list[str]) -> list[tupl
     return out
 
 
-def run(spark: SparkSession, spec: Spec, suite: Suite, execute: Callable[[str], list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(runs, latency): every query on every engine, warmed up and timed serially; a failure is one row with its error."""
-    execute = execute or (lambda text: [r[0] for r in spark.sql(text).collect()])
+def run(spark: SparkSession, spec: Spec, suite: Suite, execute: Callable[[str], list[str]] | None = None, embed: Callable[[str], list[float]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(runs, latency): every query on every engine, warmed up and timed serially; a failure is one row with its error.
+
+    Only as many ids as are scored or pooled leave the plan.
+    """
+    most = max(spec.ks[-1], spec.pool_depth)
+    execute = execute or (lambda text: [r[0] for r in spark.sql(text).limit(most).collect()])
     runs, latency = [], []
     for q in suite.queries:
         for e in (e for e in spec.engines if e in q.engines):
             try:
-                text, ids = resolve(suite, q, e), []
+                text, ids = resolve(suite, q, e, vector_of(q, e, embed)), []
                 for k in range(spec.warmup + spec.runs):
                     began = time.perf_counter_ns()
                     ids = execute(text)
                     if k >= spec.warmup:
                         latency.append((spec.id, q.id, e, k - spec.warmup, time.perf_counter_ns() - began))
-                runs += [(spec.id, q.id, q.category, e, i + 1, str(d), None, None) for i, d in enumerate(ids[: max(spec.ks[-1], spec.pool_depth)])]
-            except (PySparkException, KeyError) as x:
+                runs += [(spec.id, q.id, q.category, e, i + 1, str(d), None, None) for i, d in enumerate(ids[:most])]
+            except (PySparkException, KeyError, ValueError) as x:
                 runs.append((spec.id, q.id, q.category, e, None, None, None, str(x).split("\n")[0][:200]))
     return (
         spark.createDataFrame(runs, "job string, query_id string, category string, engine string, rank int, doc_id string, score double, error string"),

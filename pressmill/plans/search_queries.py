@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressmill.functions import text as T
+from pressmill.operators import ann as A
 from pressmill.operators import embeddings
 from pressmill.operators import index as I
 from pressmill.operators import requests as Q
@@ -324,6 +325,16 @@ def semantic_join_articles(spark, d):
     return _docs(spark, d).select("id", "title").join(R.nearest(v, _query_vector(v), 20), "id").select("id", "distance", "title").distinct()
 
 
+@_query("SELECT true AS enough")
+def ann_recall(spark, d):
+    """Whether the stored cells give nine tenths of the exact twenty neighbours of five vectors, one query after the other."""
+    v = versions(spark, d)
+    index = A.build(v, DIM, cell=128)
+    some = [list(r["embedding"]) for r in v.orderBy("id", F.desc("version")).limit(5).collect()]
+    shares = [A.recall(A.nearest(index, q, 20), R.nearest(v, q, 20)) for q in some]
+    return spark.createDataFrame([(not shares or sum(shares) / len(shares) >= 0.9,)], "enough boolean")
+
+
 Q_HYBRID = R.Match("council budget", ("title", "content"))
 _LEGS = f"{VECTORS}, l AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id DESC) AS rank FROM ({_search_sql(Q_HYBRID, TOP.format(200))})), m AS (SELECT id, distance, row_number() OVER (ORDER BY distance, id) AS rank FROM (SELECT id, {DISTANCE} AS distance FROM v, q ORDER BY distance, id LIMIT 200))"
 _FUSED = "SELECT coalesce(l.id, m.id) AS id, floor((coalesce(1e0 / (60e0 + l.rank), 0) + coalesce(1e0 / (60e0 + m.rank), 0)) * 1e6 + 0.5e0) / 1e6 AS score FROM l FULL JOIN m ON l.id = m.id"
@@ -375,6 +386,12 @@ def fuzzy_levenshtein(spark, d):
     return _docs(spark, d).select("id", near.alias("near")).where("near > 0").distinct()
 
 
+@_query(r"WITH a AS (SELECT id, max(content) AS content FROM articles GROUP BY id), p AS (SELECT id, content, regexp_extract(lower(content), '\b(harbour|strike)\b') AS w FROM a), f AS (SELECT id, content, least(coalesce(nullif(length(regexp_extract(lower(content), '^((?s:.*?))\b(?:harbour|strike)\b', 1)), 0), 0) + 1, length(content)) AS pos FROM p WHERE w <> '') SELECT id, regexp_replace(substr(content, greatest(pos - 40, 1), 160), '\b(harbour|strike)\b', '[\1]', 'gi') AS headline FROM f")
+def headlines(spark, d):
+    """A stretch of each text around the first of two words, both in brackets."""
+    return R.articles_once(_docs(spark, d), ("content",)).select("id", T.headline(F.col("content"), ["harbour", "strike"]).alias("headline")).where("headline IS NOT NULL")
+
+
 @_query(f"WITH {ONCE}, t AS (SELECT id, {_toks('content')} AS k FROM a) SELECT id FROM t WHERE len(list_filter(range(1, len(k) + 1), lambda i: k[i] = 'council' AND list_contains(k[greatest(i - 5, 1):i + 5], 'budget'))) > 0")
 def proximity_unordered(spark, d):
     return I.near(_index(spark, d), "council", "budget", 5, "content")
@@ -428,6 +445,15 @@ def _rank_and_sql(words: list[str], phrase: bool = False) -> str:
 SELECT id, floor((1 - product(1 - sqrt(u * v * CASE WHEN d > 100 THEN 1e-30 ELSE 1 / (1.005e0 + 0.05e0 * exp(d / 1.5e0 - 2)) END))) * 1e4 + 0.5e0) / 1e4 AS score FROM p {apart} GROUP BY id"""
 
 
+@_query(f"WITH k AS ({_rank_or_sql(['library'])}) SELECT id, coalesce(score, 0) AS score FROM (SELECT id, max(title) AS title FROM articles GROUP BY id) LEFT JOIN k USING (id) WHERE len(list_filter(string_split(lower(coalesce(title, '')), ' '), lambda w: levenshtein(w, 'libary') <= 2)) > 0 ORDER BY score DESC, id DESC LIMIT 20")
+def fuzzy_levenshtein_ranked(spark, d):
+    """Titles with a word near a misspelt one, ranked by the word that was meant."""
+    near = F.exists(F.split(F.lower(F.coalesce("title", F.lit(""))), " "), lambda w: F.levenshtein(w, F.lit("libary"), 2) >= 0)
+    hits = R.articles_once(_docs(spark, d), ("title",)).where(near).select("id")
+    ranked = I.ts_rank(_index(spark, d), "library")
+    return R.top(hits.join(ranked, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score")), 20)
+
+
 @_query(_rank_or_sql(["restored", "council"]))
 def stemmed_match_tsrank(spark, d):
     """Stemmed words in labelled fields; either counts."""

@@ -40,3 +40,21 @@ def test_streaming_ingest(spark, tmp_path):
     I.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), m, str(tmp_path / "cp")).awaitTermination(120)
     assert [r["record_id"] for r in spark.read.parquet(str(tmp_path / "out/loaded")).collect()] == [1]
     assert [r["reason"] for r in spark.read.parquet(str(tmp_path / "out/rejected")).collect()] == ["empty_required_value/Title"]
+
+
+def test_sql_with_arguments_and_timeout(spark):
+    assert B.run_sql(spark, "SELECT id FROM range(10) WHERE id > :least ORDER BY id", {"least": 7}) == [{"id": 8}, {"id": 9}]
+    assert len(B.run_sql(spark, "SELECT id FROM range(10)", most=3)) == 3
+    with pytest.raises(TimeoutError):
+        B.run_sql(spark, "SELECT count(*) FROM range(100000000000) WHERE sqrt(id) + sin(id) < -2", timeout=1.0)
+    with pytest.raises(Exception, match="nothing"):
+        B.run_sql(spark, "SELECT * FROM nothing", timeout=5.0)
+
+
+def test_statuses_of_vectors(spark):
+    raw = {"id": "s", "queries": [{"id": "q", "engines": {"a": {"sql": "SELECT {{vector}} AS v", "embed": "text"}, "b": {"sql": "SELECT 1"}}}]}
+    suite = B.suite_of(raw)
+    broken = lambda text: 1 / 0
+    assert [x[2] for x in B.validate(spark, suite, ["a", "b", "c"])] == ["EMBED_ERR", "OK", "SKIP"]
+    assert [x[2] for x in B.validate(spark, suite, ["a", "b"], broken, ["a"])] == ["EMBED_ERR", "UNSUPPORTED"]
+    assert B.resolve(suite, suite.queries[0], "a", B.vector_of(suite.queries[0], "a", lambda t: [1, 0.5])) == "SELECT [1,0.5] AS v"

@@ -79,3 +79,32 @@ def test_upsert(spark):
 
 def test_stems():
     assert [stem_english(w) for w in ("councils", "restored", "relational", "hopping", "ponies", "caresses", "is", "élan")] == ["council", "restor", "relat", "hop", "poni", "caress", "is", "élan"]
+
+
+def test_labels_and_jobs(spark):
+    from pressmill.operators import evaluation as V
+
+    assert R.fields_of("AD") == ("title", "subtitle", "author") and R.label_weights({"title": 3.0, "subtitle": 1.0, "author": 2.0}) == [2.0, 0.0, 0.0, 3.0]
+    with pytest.raises(ValueError):
+        R.fields_of("AX")
+    runs = spark.createDataFrame([("a", 1), ("b", 2)], "job string, n int")
+    assert V.of_jobs(runs, ["b"]).count() == 1 and V.of_jobs(runs, []).count() == 2
+    with pytest.raises(ValueError, match="no job c"):
+        V.of_jobs(runs, ["c"])
+
+
+def test_stored_cells(spark):
+    import numpy as np
+
+    from pressmill.operators import ann
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((1500, 16)).astype(np.float32)
+    x[700:] = x[:800] + 0.1 * rng.standard_normal((800, 16))
+    df = spark.createDataFrame([(f"{i:04}", v.tolist()) for i, v in enumerate(x)] + [("n", None), ("z", [0.0] * 16), ("s", [1.0])], "id string, embedding array<float>")
+    index = ann.build(df, 16, cell=40)
+    shares = [ann.recall(ann.nearest(index, x[i].tolist(), 5), R.nearest(df, x[i].tolist(), 5)) for i in range(6)]
+    assert sum(shares) / 6 >= 0.9 and index.vectors.count() == 1500
+    some = ann.nearest(index, x[0].tolist(), 2, radius=0.2, sure=0.95)
+    assert [r["id"] for r in some.collect()] == ["0000", "0700"]
+    assert ann.nearest(ann.build(df.limit(0), 16), [1.0] * 16, 3).count() == 0
