@@ -32,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pressmill.functions.projections import CROSSED, cells, directions, probes, tail, unit  # noqa: F401
 from pressmill.llm.text_arrays import mix
 from pressmill.session import materialize, release
 
 INDEXED, DIMENSIONS, SAMPLE, CELL, BLOCK, LEAF = 8, 16, 20_000, 8192, 32_768, 256
-SURE, MANY_LEVELS, CROSSED = 0.999, 6, 10
+SURE, MANY_LEVELS = 0.999, 6
 
 
 def chi_square(x: float, m: int) -> float:
@@ -57,23 +58,6 @@ def quantile(p: float, m: int) -> float:
     return hi
 
 
-@lru_cache(8)
-def directions(dim: int, tree: int = -1, levels: int = DIMENSIONS) -> np.ndarray:
-    """Those that distances are tested on, or those that a coarse tree cuts."""
-    return np.random.default_rng([20_250_101, tree + 1]).standard_normal((dim, levels))
-
-
-def tail(z: np.ndarray) -> np.ndarray:
-    """The normal distribution beyond z >= 0, to seven digits (Abramowitz and Stegun 26.2.17)."""
-    t = 1 / (1 + 0.2316419 * z)
-    return np.exp(-z * z / 2) * 0.3989422804 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(1, keepdims=True)
-    return x / np.sqrt((x * x).sum(1, keepdims=True))
-
-
 def _matrix(column, dim: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
@@ -83,32 +67,6 @@ def usable(embedding: str, dim: int) -> Column:
     return F.expr(f"size({embedding}) = {dim} AND forall({embedding}, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists({embedding}, x -> x <> 0)")
 
 
-def cells(x: np.ndarray) -> np.ndarray:
-    """The cell of each point: x are its places relative to the cuts."""
-    return ((x >= 0) << np.arange(x.shape[1])).sum(1, dtype=np.int64)
-
-
-def probes(x: np.ndarray, radius: np.ndarray, sure: float) -> tuple[np.ndarray, np.ndarray]:
-    """(point, cell) for all cells a neighbour within the radius may lie in, but for 1 - sure: likeliest first, crossing the CROSSED nearest cuts at most."""
-    out, most = [], min(x.shape[1], CROSSED)
-    step = max(1, 4_000_000 >> most)
-    home = cells(x)
-    for s in range(0, len(x), step):
-        p = tail(np.abs(x[s : s + step]) / np.maximum(radius[s : s + step, None], 1e-6))
-        near = np.argsort(-p, 1, kind="stable")[:, :most]
-        share = np.ones((len(p), 1))
-        cell = home[s : s + step, None]
-        for f in range(most):
-            q = np.take_along_axis(p, near[:, f : f + 1], 1)
-            share = np.concatenate((share * (1 - q), share * q), 1)
-            cell = np.concatenate((cell, cell ^ (1 << near[:, f : f + 1])), 1)
-        order = np.argsort(-share, 1, kind="stable")
-        share = np.take_along_axis(share, order, 1)
-        row, k = np.nonzero(np.cumsum(share, 1) - share < sure)
-        out.append((row + s, np.take_along_axis(cell, order, 1)[row, k]))
-    return tuple(np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
 def _leaves(p: np.ndarray, size: int) -> list[np.ndarray]:
     out, stack = [], [np.arange(len(p))]
     while stack:
@@ -125,7 +83,7 @@ def _leaves(p: np.ndarray, size: int) -> list[np.ndarray]:
 
 def nearest(query: np.ndarray, data: np.ndarray, k: int, farthest: np.ndarray, sure: float = SURE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, data, cosine) of the k best of each query among unit vectors, up to a squared distance each; ties go to the smaller place in data."""
-    g = directions(data.shape[1])
+    g = directions(data.shape[1], -1, DIMENSIONS)
     pq, pd = (query @ g).astype(np.float32), (data @ g).astype(np.float32)
     # the squared distance of two projections as one product
     lq, ld = np.concatenate((-2 * pq, (pq * pq).sum(1, keepdims=True), np.ones((len(pq), 1), np.float32)), 1), np.concatenate((pd, np.ones((len(pd), 1), np.float32), (pd * pd).sum(1, keepdims=True)), 1)
@@ -177,14 +135,14 @@ def coarse_trees(classes: DataFrame, dim: int) -> dict[str, list[np.ndarray]]:
     for model, n in sorted((r["model"], r["n"]) for r in classes.groupBy("model").agg(F.count("*").alias("n")).collect()):
         levels = max(0, math.ceil(math.log2(n / CELL)))
         some = classes.where((F.col("model") == model) & (F.pmod("cls", F.lit(10**15)) < min(1.0, SAMPLE / n) * 10.0**15)).limit(2 * SAMPLE)
-        x = _unit(_matrix(some.select("embedding").toArrow()["embedding"], dim)) if levels else None
+        x = unit(_matrix(some.select("embedding").toArrow()["embedding"], dim)) if levels else None
         trees[model] = [np.median(x @ directions(dim, t, levels), axis=0) if levels else np.zeros(0) for t in range(max(1, levels - MANY_LEVELS + 1))]
     return trees
 
 
 def _routes(b: pa.RecordBatch, trees: dict[str, list[np.ndarray]], dim: int, sure: float, home: bool | None):
     """(model, tree, rows, their cells, asking rows, the cells they look into); home: only the own cell, or all but that."""
-    x = _unit(_matrix(b.column(3), dim))
+    x = unit(_matrix(b.column(3), dim))
     models, radius = np.array(b.column(1).to_pylist(), object), b.column(4).fill_null(np.nan).to_numpy(zero_copy_only=False)
     for model in sorted(set(models)):
         rows = np.flatnonzero(models == model)
@@ -249,7 +207,7 @@ def _search(classes: DataFrame, trees: dict[str, list[np.ndarray]], k: int, dim:
         data, query = t.filter(pa.array(~role)), t.filter(pa.array(role))
         data = data.take(pa.array(np.argsort(np.array([x[0] for x in data["ids"].to_pylist()], object)))) if len(data) else data
         if len(data) and len(query):
-            q, d, c = nearest(_unit(_matrix(query["embedding"], dim)), _unit(_matrix(data["embedding"], dim)), k, query["radius"].to_numpy(), sure)
+            q, d, c = nearest(unit(_matrix(query["embedding"], dim)), unit(_matrix(data["embedding"], dim)), k, query["radius"].to_numpy(), sure)
         else:
             q = d = np.zeros(0, np.int64)
             c = np.zeros(0)
