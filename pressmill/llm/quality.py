@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pressmill.llm.splitting import _white
 from pressmill.llm.text_arrays import Words, chunks, is_word, mix, words
 
-RUN, LAGS, PERIODIC, CHANCE, COMMON, LEAST_USUAL = 3, 4, 0.5, 3.0, 100, -5.5
+RUN, LAGS, PERIODIC, CHANCE, COMMON, LEAST_USUAL, LEAST_PAIRS = 3, 4, 0.5, 3.0, 100, -5.5, 5
 LEAST_WORDS, MOST_WORDS, MOST_IN_CELL = 4, 80, 3.5
 LEAST_LETTERS, MOST_SYMBOLS, LEAST_DIFFERENT = 0.7, 0.2, 0.5
 WORD_LENGTH = (2.0, 12.0)
@@ -200,6 +200,8 @@ def measure(texts: list[str | None], common: np.ndarray | None = None, usual: np
     listed = (_table(_BULLETS)[head] & _white()[after] | numbered) & ~blank
     closed = _table(_CLOSING)[codes[np.maximum(last, 0)]] & ~blank
     # vertical alignment: as many of a delimiter as in the lines around it, with few words between
+    small = is_word(head) & ~_begins()[head] & ~((head >= 48) & (head <= 57))
+    runs_on = (_ahead(small, 1, False) & _ahead(continues, 1, False)) if L else blank  # lines that end in the middle of a sentence
     aligned = np.zeros(L, bool)
     gap = np.zeros(len(codes), bool)
     if len(codes) > 2:
@@ -207,8 +209,9 @@ def measure(texts: list[str | None], common: np.ndarray | None = None, usual: np
         gap &= np.arange(len(codes)) > first[line]
     for mask in [*(codes == c for c in _DELIMITERS), gap]:
         c = count(mask)
-        cells = (c >= 1) & (some <= MOST_IN_CELL * (c + 1))
-        same = continues & cells & np.append(False, (c[1:] == c[:-1]) & cells[:-1])[:L]
+        cells = (c >= 1) & (some <= MOST_IN_CELL * (c + 1)) & ~runs_on
+        # a wide gap may be narrow in a row with a long cell
+        same = continues & cells & np.append(False, (np.abs(c[1:] - c[:-1]) <= (mask is gap)) & cells[:-1])[:L]
         aligned |= (_run_lengths(same) >= RUN) & cells
     # blocks whose indentation or line lengths come again and again
     shown = np.flatnonzero(~blank)
@@ -218,9 +221,10 @@ def measure(texts: list[str | None], common: np.ndarray | None = None, usual: np
         # by chance the autocorrelation of k lines varies by 1 / sqrt(k)
         periodic |= _autocorrelation(x[shown], block[shown], blocks) >= np.maximum(PERIODIC, CHANCE / np.sqrt(np.maximum(size, 1)))
     # rows and items stand by themselves, as do the lines of such blocks, unless they end in the middle of a sentence
-    small = is_word(head) & ~_begins()[head] & ~((head >= 48) & (head <= 57))
-    regular = periodic[block] & ~closed & ~(_ahead(small, 1, False) & _ahead(continues, 1, False)) if L else blank
-    item = (aligned | listed | regular) & ~blank
+    regular = periodic[block] & ~closed & ~runs_on if L else blank
+    sums = np.concatenate(([0], np.cumsum(digit)))
+    numeric = np.bincount(wl, sums[w.end] - sums[w.start] == w.end - w.start, L) > some / 2
+    item = (aligned | listed | regular | numeric) & ~blank
     # sentences: from a block's, row's or item's beginning, or the stop before, to the next stop
     opens = np.zeros(len(codes) + 1, bool)
     end, closer = _table(_ENDS)[codes], _table(_CLOSERS)[codes]
@@ -264,7 +268,7 @@ def measure(texts: list[str | None], common: np.ndarray | None = None, usual: np
         inner = block[wl[at]] == block[wl[at + 1]]
         at, score = at[inner], score[inner]
         pairs_n = np.bincount(block[wl[at]], minlength=blocks)
-        odd = (pairs_n >= 2) & (np.bincount(block[wl[at]], score, blocks) < LEAST_USUAL * pairs_n)
+        odd = (pairs_n >= LEAST_PAIRS) & (np.bincount(block[wl[at]], score, blocks) < LEAST_USUAL * pairs_n)
         prose &= ~odd[block[line[lead]]]
     of_text = lambda x: np.bincount(text, x, n)
     solid_n, lines_n, words_n = of_text(full), of_text((~blank).astype(float)), of_text(some)
