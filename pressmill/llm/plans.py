@@ -131,6 +131,12 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_quality(table(spark, d, "documents"))
 
 
+def p10_ratios(spark: SparkSession, d: str) -> DataFrame:
+    """Of each text its words, their mean length, and the shares of digits and of symbols, to six digits."""
+    r6 = lambda c: (F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c)
+    return quality.text_quality(table(spark, d, "documents")).select("doc_id", "words", r6("mean_word_length"), r6("digit_ratio"), r6("symbol_ratio"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
@@ -207,6 +213,11 @@ SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE c >= 0.
         "p8_documents": "SELECT doc_id, strlen(text) + 1 AS tokens, ceil((strlen(text) + 1) / 4096e0)::BIGINT AS pieces FROM documents WHERE text IS NOT NULL",
         "p8_summary": "SELECT 0::BIGINT AS over, sum(strlen(text) + 1)::BIGINT AS tokens, true AS well_used FROM documents WHERE text IS NOT NULL",
         "p9_items": _ITEMS,
+        "p10_ratios": rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') AS w, length(regexp_replace(text, '{WHITE}+', '', 'g')) AS n, length(regexp_replace(text, '[^0-9]+', '', 'g')) AS d FROM documents),
+l AS (SELECT *, len(w) AS words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::DOUBLE AS chars FROM t)
+SELECT doc_id, coalesce(words, 0) AS words, CASE WHEN words > 0 THEN floor(chars / words * 1e6 + 0.5e0) / 1e6 END AS mean_word_length,
+CASE WHEN n > 0 THEN floor(d / n::DOUBLE * 1e6 + 0.5e0) / 1e6 END AS digit_ratio, CASE WHEN n > 0 THEN floor((n - chars) / n * 1e6 + 0.5e0) / 1e6 END AS symbol_ratio FROM l""",
         "p3_groups": _GROUPS,
         "p8_found": "SELECT doc_id FROM documents WHERE strlen(text) + 1 > 4096",
         "p9_found": f"SELECT DISTINCT doc_id, item_id FROM ({grams.format('doc_id', words, 'documents')}) JOIN ({grams.format('item_id', words, 'bench_items')}) USING (g)",
