@@ -20,7 +20,7 @@ id count once, rows without an id not at all; labels that name no supported lang
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +62,14 @@ class Letters:
     depth: np.ndarray
     grams: list[np.ndarray]
     chars: np.ndarray
+    looked_up: dict[int, tuple[np.ndarray, ...]] = field(default_factory=dict)
+
+    def lookups(self, k: int) -> tuple[np.ndarray, ...]:
+        """The places that an n-gram of k characters predicts; the different n-grams and contexts there, in order, and which is where: the same for every model."""
+        if k not in self.looked_up:
+            place = np.flatnonzero((self.depth > 0) & (self.depth >= k - 1))
+            self.looked_up[k] = (place, *np.unique(self.grams[k - 1][place], return_inverse=True), *np.unique(_context(self, k - 1)[place], return_inverse=True))
+        return self.looked_up[k]
 
 
 def letters(w: Words, which: np.ndarray) -> Letters:
@@ -124,13 +132,12 @@ class CharacterModel:
         """Bits of each word."""
         p = np.full(len(t.word), self.floor)
         for k in range(1, ORDER + 1):
-            place = np.flatnonzero((t.depth > 0) & (t.depth >= k - 1))
-            g, c = t.grams[k - 1][place], _context(t, k - 1)[place]
+            place, g, of_gram, c, of_context = t.lookups(k)
             i = np.minimum(np.searchsorted(self.contexts[k - 1], c), len(self.contexts[k - 1]) - 1)
-            known = self.contexts[k - 1][i] == c
+            weight = np.where(self.contexts[k - 1][i] == c, self.backoff[k - 1][i], 1.0)
             j = np.minimum(np.searchsorted(self.grams[k - 1], g), len(self.grams[k - 1]) - 1)
-            seen = self.grams[k - 1][j] == g
-            p[place] = np.where(known, self.backoff[k - 1][i], 1.0) * p[place] + np.where(seen, self.values[k - 1][j], 0.0)
+            seen = np.where(self.grams[k - 1][j] == g, self.values[k - 1][j], 0.0)
+            p[place] = weight[of_context] * p[place] + seen[of_gram]
         return np.bincount(t.word, -np.log2(p) * (t.depth > 0), size)
 
 
