@@ -14,6 +14,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +24,7 @@ from pressmill.functions import stemming as S
 from pressmill.functions import text as T
 from pressmill.operators import boolean
 from pressmill.operators import retrieval as R
-from pressmill.session import materialize
+from pressmill.session import materialize, release
 
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 
@@ -35,17 +38,41 @@ class SearchIndex:
     average: dict[str, float]
 
 
+def _posted(batches):
+    """Fields of documents (id, field, toks, dl, start) to a row per term in each, with its places: a stable sort of the batch's tokens by row and term."""
+    for b in batches:
+        toks = b.column("toks")
+        size = pc.list_value_length(toks).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(b.num_rows), size)
+        if not len(row):
+            continue
+        place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + b.column("start").to_numpy(zero_copy_only=False).astype(np.int64)[row]
+        words = toks.flatten().dictionary_encode()
+        code = words.indices.to_numpy().astype(np.int64)
+        key = row * len(words.dictionary) + code
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(key[order]) > 0))
+        ends = np.append(first, len(order))
+        at = pa.array(row[order[first]])
+        yield pa.RecordBatch.from_arrays(
+            [
+                words.dictionary.take(pa.array(code[order[first]])), b.column("id").take(at), b.column("field").take(at), pa.array(np.diff(ends).astype(np.int32)), b.column("dl").take(at),
+                pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(place[order].astype(np.int32))),
+            ],
+            ["term", "id", "field", "tf", "dl", "places"],
+        )
+
+
 def build(articles: DataFrame, fields: tuple[str, ...] = R.ALL_FIELDS, keep: bool = False) -> SearchIndex:
     """Writes the index of articles(id, fields) into the shared folder; keep: until the driver ends."""
-    toks = R.analyzed(R.articles_once(articles.where("id IS NOT NULL"), fields), fields)
+    toks = R.analyzed(R.articles_once(articles.where("id IS NOT NULL").withColumn("id", F.col("id").cast("string")), fields), fields)
     sized = toks.select("id", *fields, *[F.size(f).alias(f"dl_{f}") for f in fields])
     starts = [sum((F.col(f"dl_{g}") for g in fields[:k]), F.lit(0)) for k in range(len(fields))]
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("toks"), F.col(f"dl_{f}").alias("dl"), s.alias("start")) for f, s in zip(fields, starts)])
-    rows = sized.select("id", F.inline(each)).select("id", "field", "dl", "start", F.posexplode("toks").alias("pos", "term"))
-    # documents are together already, so that nothing is shuffled to count
-    posted = rows.groupBy("id", "field", "term", "dl").agg(F.sort_array(F.collect_list(F.col("start") + F.col("pos"))).alias("places"))
-    posted = posted.select("term", "id", "field", F.size("places").alias("tf"), "dl", "places")
+    posted = sized.select("id", F.inline(each)).where("dl > 0").mapInArrow(_posted, "term string, id string, field string, tf int, dl int, places array<int>")
+    posted = materialize(posted, "unsorted")  # a range sort evaluates its input twice
     postings = materialize(posted.repartitionByRange("term", "id", "field").sortWithinPartitions("term", "id", "field"), "postings", keep)
+    release(posted)
     lengths = materialize(sized.select("id", *[f"dl_{f}" for f in fields]), "lengths", keep)
     counts = postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     terms = counts.groupBy("term").agg(F.collect_list(F.struct("field", "df", "cf")).alias("f")).select("term", S.stems(F.col("term")).alias("stem"), F.inline("f"))
