@@ -411,7 +411,7 @@ def datetime_fallbacks_all(spark, d):
     return table(spark, d, "articles").where(shape & (hours <= 24) & (minutes <= 60)).select("id", us.alias("us")).where("us IS NOT NULL").distinct()
 
 
-_ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S.%fZ')"
+_ISO = "strftime(timezone('UTC', {}), '%Y-%m-%dT%H:%M:%S.%fZ')"
 
 
 @_query("SELECT " + ", ".join(f"nullif({c}, '') AS {c}" for c in ("id", "title", "subtitle", "content", "author", "description", "url", "language", "published_at")) + f", {_ISO.format('created_at')} AS created_at, nullif(metadata.source_id, '') AS source_id, nullif(metadata.source_name, '') AS source_name, nullif(metadata.category, '') AS category, {_ISO.format('metadata.imported_at')} AS imported_at FROM articles")
@@ -420,7 +420,7 @@ def canonical_records(spark, d):
     return files.canonical(table(spark, d, "articles"))
 
 
-@_query("SELECT id, title, subtitle, content, author, description, url, language, published_at, created_at::TIMESTAMP::VARCHAR AS created_at, metadata.source_id AS \"metadata.source_id\", metadata.source_name AS \"metadata.source_name\", metadata.category AS \"metadata.category\", metadata.imported_at::TIMESTAMP::VARCHAR AS \"metadata.imported_at\", to_json(metadata.extra)::VARCHAR AS \"metadata.extra\" FROM articles")
+@_query("SELECT id, title, subtitle, content, author, description, url, language, published_at, timezone('UTC', created_at)::VARCHAR AS created_at, metadata.source_id AS \"metadata.source_id\", metadata.source_name AS \"metadata.source_name\", metadata.category AS \"metadata.category\", timezone('UTC', metadata.imported_at)::VARCHAR AS \"metadata.imported_at\", to_json(metadata.extra)::VARCHAR AS \"metadata.extra\" FROM articles")
 def flattened_records(spark, d):
     """Every leaf of the nested article rows as text under its dotted name."""
     return files.flattened(table(spark, d, "articles"))
