@@ -6,6 +6,7 @@ import atexit
 import logging
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -78,6 +79,17 @@ def release(*tables: DataFrame) -> None:
             _delete(path, spark)
 
 
+@contextmanager
+def temporary():
+    """Deletes at the end what was written within, but for the tables that the yielded function is told to keep."""
+    before, kept = set(_written), set()
+    try:
+        yield lambda t: kept.add(t._pressmill_path)
+    finally:
+        for path in set(_written) - before - kept:
+            _delete(path, _written.pop(path))
+
+
 def _release_all() -> None:
     release()
     while _kept:

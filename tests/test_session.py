@@ -39,6 +39,18 @@ def test_release(spark):
     session.release(t)  # nothing is left to do
 
 
+def test_temporary(spark):
+    from pressmill import session
+
+    with session.temporary() as keep:
+        one, two = session.materialize(spark.range(1), "one"), session.materialize(spark.range(2), "two")
+        keep(two)
+    assert two.count() == 2
+    with pytest.raises(Exception):
+        spark.read.parquet(one._pressmill_path).count()
+    session.release(two)
+
+
 def test_cluster_needs_a_folder():
     from pressmill import session
 
