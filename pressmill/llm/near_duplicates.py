@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressmill.llm.text_arrays import chunks, grams, mix, words
-from pressmill.session import materialize
+from pressmill.session import materialize, temporary
 
 WIDTH, ERRORS, MISS, MOST_KEYS = 5, 1, 1e-3, 90
 SIMILARITY, SPREAD, HOT = 0.8, 4.5, 256
@@ -210,33 +210,36 @@ def classes_and_links(docs: DataFrame, width: int = WIDTH, similarity: float = S
     """(members(id, cls), links(a, b, similarity)) where a < b are classes of different sets."""
     chunks_n, symbols = layout(similarity)
     total, docs = chunks_n * symbols, docs.where("id IS NOT NULL").select(F.col("id").cast("string"), "title", "content")
-    sign = materialize(signed(docs, width, chunks_n, symbols).withColumn("row", F.monotonically_increasing_id()), "signatures")
-    members = sign.select("id", "cls").distinct()
-    # every class but for its first row leaves the join; where classes have one row each, nothing is shuffled for that
-    several = sign.groupBy("cls").agg(F.min("row").alias("first"), F.count("*").alias("rows")).where("rows > 1")
-    others = materialize(sign.select("row", "cls").join(several, "cls").where("row <> first").select("row"), "others")
-    once = sign.join(others, "row", "left_anti")
-    keyed = once.select(F.explode("keys").alias("key"), "cls", "n")
-    candidates = materialize(colliding(keyed, similarity).distinct(), "candidates")
-    sketched = candidates.join(once.select(F.col("cls").alias("a"), F.col("sketch").alias("x")), "a").join(once.select(F.col("cls").alias("b"), F.col("sketch").alias("y")), "b")
-    most = int(total * (1 - similarity) + SPREAD * (total * similarity * (1 - similarity)) ** 0.5 + 1)
-    pairs = materialize(_close(sketched, most), "close")
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    chosen = materialize(once.select("id", "cls").join(wanted, "cls"), "chosen")
-    sets = materialize(_sets(docs.join(chosen, "id").dropDuplicates(["cls"]), width), "sets")
-    both = (
-        pairs.join(sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("members").alias("ma")), "a")
-        .join(sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("members").alias("mb")), "b")
-        .withColumn("common", F.size(F.array_intersect("ma", "mb")))
-    )
-    found = both.select("a", "b", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("similarity"))
-    return members, materialize(found.where(F.col("similarity") >= similarity), "links")
+    with temporary() as keep:
+        sign = materialize(signed(docs, width, chunks_n, symbols).withColumn("row", F.monotonically_increasing_id()), "signatures")
+        members = materialize(sign.select("id", "cls").distinct(), "members")
+        # every class but for its first row leaves the join; where classes have one row each, nothing is shuffled for that
+        several = sign.groupBy("cls").agg(F.min("row").alias("first"), F.count("*").alias("rows")).where("rows > 1")
+        others = materialize(sign.select("row", "cls").join(several, "cls").where("row <> first").select("row"), "others")
+        once = sign.join(others, "row", "left_anti")
+        keyed = once.select(F.explode("keys").alias("key"), "cls", "n")
+        candidates = materialize(colliding(keyed, similarity).distinct(), "candidates")
+        sketched = candidates.join(once.select(F.col("cls").alias("a"), F.col("sketch").alias("x")), "a").join(once.select(F.col("cls").alias("b"), F.col("sketch").alias("y")), "b")
+        most = int(total * (1 - similarity) + SPREAD * (total * similarity * (1 - similarity)) ** 0.5 + 1)
+        pairs = materialize(_close(sketched, most), "close")
+        wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+        chosen = materialize(once.select("id", "cls").join(wanted, "cls"), "chosen")
+        sets = materialize(_sets(docs.join(chosen, "id").dropDuplicates(["cls"]), width), "sets")
+        both = (
+            pairs.join(sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("members").alias("ma")), "a")
+            .join(sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("members").alias("mb")), "b")
+            .withColumn("common", F.size(F.array_intersect("ma", "mb")))
+        )
+        found = both.select("a", "b", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("similarity"))
+        links = materialize(found.where(F.col("similarity") >= similarity), "links")
+        keep(members)
+        keep(links)
+    return members, links
 
 
 def pairs(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs of ids, copies included."""
     members, links = classes_and_links(docs, width, similarity)
-    members = materialize(members, "members")
     one, two = members.select(F.col("id").alias("x"), F.col("cls").alias("a")), members.select(F.col("id").alias("y"), F.col("cls").alias("b"))
     across = links.select("a", "b").join(one, "a").join(two, "b").select("x", "y")
     within = one.join(two, one.a == two.b).where("x < y").select("x", "y")
