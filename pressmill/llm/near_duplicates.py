@@ -16,7 +16,7 @@ that carry sets are those of candidates. ``links`` returns pairs of class repres
 has a row per document.
 
 Defined results: null titles count as empty; null or blank contents, and texts of fewer than WIDTH words, have no set and
-pair with nothing; repeated rows of an id count once, rows without an id not at all. Sets are compared by 48-bit hashes.
+pair with nothing, but short texts of the same words are one class and other such documents a class each; repeated rows of an id count once, rows without an id not at all. Sets are compared by 48-bit hashes.
 """
 
 from __future__ import annotations
@@ -85,14 +85,30 @@ def _text(title: str | None, content: str | None) -> str | None:
     return None if content is None or not content.strip() else f"{title or ''} {content}"
 
 
+def _word_classes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each text's words in order, and which texts have words."""
+    w = words(texts)
+    place = np.arange(len(w.hash)) - w.first[w.text]
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(w.hash + mix(place + 7)))))
+    return mix(sums[w.first[1:]] - sums[w.first[:-1]]).view(np.int64), w.first[1:] > w.first[:-1]
+
+
 def signed(docs: DataFrame, width: int, chunks_n: int, symbols: int, errors: int = ERRORS) -> DataFrame:
-    """docs(id, title, content) to (id, cls, n, sketch, keys): the class of equal sets, the set's size, a byte of each symbol, the keys."""
+    """docs(id, title, content) to (id, cls, n, sketch, keys): the class of equal sets, the set's size, a byte of each symbol, the keys.
+
+    Texts without a set have n = 0, no keys, and the class of their words in order, null if there are none.
+    """
 
     def sign(batches):
         for b in batches:
             texts = [_text(t, c) for t, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             for s, e in chunks(texts):
                 text, h = shingles(texts[s:e], width)
+                rest = np.setdiff1d(np.arange(e - s), text)
+                if len(rest):
+                    cls, some = _word_classes([texts[s + k] for k in rest.tolist()])
+                    none = pa.ListArray.from_arrays(pa.array(np.zeros(len(rest) + 1, np.int32)), pa.array([], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rest + s)), pa.array(cls, mask=~some), pa.array(np.zeros(len(rest), np.int32)), pa.nulls(len(rest), pa.binary()), none], ["id", "cls", "n", "sketch", "keys"])
                 if not len(text):
                     continue
                 who, signature = _signatures(text, h, chunks_n * symbols)
@@ -207,12 +223,13 @@ def colliding(keyed: DataFrame, similarity: float, hot: int = HOT) -> DataFrame:
 
 
 def classes_and_links(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(members(id, cls), links(a, b, similarity)) where a < b are classes of different sets."""
+    """(members(id, cls, n), links(a, b, similarity)) where a < b are classes of different sets; n is the set's size, 0 without one."""
     chunks_n, symbols = layout(similarity)
     total, docs = chunks_n * symbols, docs.where("id IS NOT NULL").select(F.col("id").cast("string"), "title", "content")
     with temporary() as keep:
         sign = materialize(signed(docs, width, chunks_n, symbols).withColumn("row", F.monotonically_increasing_id()), "signatures")
-        members = materialize(sign.select("id", "cls").distinct(), "members")
+        members = materialize(sign.select("id", "cls", "n").distinct(), "members")
+        sign = sign.where("n > 0")
         # every class but for its first row leaves the join; where classes have one row each, nothing is shuffled for that
         several = sign.groupBy("cls").agg(F.min("row").alias("first"), F.count("*").alias("rows")).where("rows > 1")
         others = materialize(sign.select("row", "cls").join(several, "cls").where("row <> first").select("row"), "others")
@@ -240,6 +257,7 @@ def classes_and_links(docs: DataFrame, width: int = WIDTH, similarity: float = S
 def pairs(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs of ids, copies included."""
     members, links = classes_and_links(docs, width, similarity)
+    members = members.where("n > 0")
     one, two = members.select(F.col("id").alias("x"), F.col("cls").alias("a")), members.select(F.col("id").alias("y"), F.col("cls").alias("b"))
     across = links.select("a", "b").join(one, "a").join(two, "b").select("x", "y")
     within = one.join(two, one.a == two.b).where("x < y").select("x", "y")
@@ -247,9 +265,10 @@ def pairs(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -
 
 
 def groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """A row per document with a set: (id, class_id, copies, links); links counts documents of other texts, class_id is the smallest id with the same set."""
+    """A row per document: (id, class_id, copies, links); links counts documents of other texts, class_id is the smallest id of the class."""
     members, links = classes_and_links(docs, width, similarity)
-    size = members.groupBy("cls").agg(F.count("*").alias("copies"), F.min("id").alias("class_id"))
+    size = members.where("cls IS NOT NULL").groupBy("cls").agg(F.count("*").alias("copies"), F.min("id").alias("class_id"))
     both = links.select(F.col("a").alias("cls"), F.col("b").alias("other")).union(links.select("b", "a"))
     degree = both.join(size.select(F.col("cls").alias("other"), F.col("copies").alias("others")), "other").groupBy("cls").agg(F.sum("others").alias("links"))
-    return members.join(size, "cls").join(degree, "cls", "left").select("id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    own = members.select("id", "cls").join(size, "cls", "left").join(degree, "cls", "left")
+    return own.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -171,8 +171,10 @@ w AS (SELECT id, list_filter(regexp_split_to_array(lower(t), '[^\p{L}\p{N}]+'),
 s AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS g FROM w, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i)),
 c AS (SELECT id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS cls FROM s GROUP BY id),
 p AS (SELECT x.id AS one, y.id AS two, count(*) AS shared FROM s x JOIN s y USING (g) WHERE x.id <> y.id GROUP BY ALL),
-l AS (SELECT one, count(*) AS links FROM p JOIN c a ON a.id = one JOIN c b ON b.id = two WHERE a.cls <> b.cls AND shared >= 0.8e0 * (a.n + b.n - shared) GROUP BY one)
-SELECT id, min(id) OVER (PARTITION BY cls) AS class_id, count(*) OVER (PARTITION BY cls) AS copies, coalesce(links, 0) AS links FROM c LEFT JOIN l ON one = id"""
+l AS (SELECT one, count(*) AS links FROM p JOIN c a ON a.id = one JOIN c b ON b.id = two WHERE a.cls <> b.cls AND shared >= 0.8e0 * (a.n + b.n - shared) GROUP BY one),
+e AS (SELECT DISTINCT id FROM articles WHERE id IS NOT NULL),
+k AS (SELECT id, CASE WHEN cls IS NOT NULL THEN 'set ' || cls WHEN len(w) > 0 THEN 'words ' || array_to_string(w, ' ') ELSE 'id ' || id END AS cls FROM e LEFT JOIN c USING (id) LEFT JOIN w USING (id))
+SELECT id, min(id) OVER (PARTITION BY cls) AS class_id, count(*) OVER (PARTITION BY cls) AS copies, coalesce(links, 0) AS links FROM k LEFT JOIN l ON one = id"""
 
 
 def oracle_sql() -> dict[str, str]:
